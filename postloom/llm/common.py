@@ -97,3 +97,14 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot:
     top = groups.where(F.col(size) > 1)
     top = (top if small is None else top.where(small)).orderBy(F.desc(size), key).limit(hot)
     return rows.join(F.broadcast(top), key).unionByName(rows.join(F.broadcast(top.select(key)), key, "left_anti").join(groups, key))
+
+
+def without(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 1 << 20) -> DataFrame:
+    """``docs`` but for the rows whose (doc_id, XXH64 of the text) are in ``dropped`` (doc_id, h), a table that is cheap to read again.
+
+    Up to ``most`` dropped rows (of 16 bytes and an id) are counted and sent to the
+    documents, which then do not move; more are joined by a shuffle.
+    """
+    gone = dropped.select(F.col(doc_id).alias("gone_id"), F.col("h").alias("gone_h"))
+    gone = F.broadcast(gone) if gone.limit(most + 1).count() <= most else gone
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_h")), "left_anti")

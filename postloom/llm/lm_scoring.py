@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.common import cut
-from postloom.llm.ngrams import context, explode, suffix, sum_weights
+from postloom.llm.ngrams import context, explode, score, suffix
 
 ORDER, BACKOFF, LEAST = 5, 0.4, 2
 
@@ -38,13 +38,14 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
     """Stupid-backoff score of every document: doc_id, n_grams, log_score, mean_log_score.
 
     Count tables of byte n-grams come from all documents; they are hashed by n-gram,
-    joined to the exploded (packed) n-grams and summed per document.
+    joined to the exploded (packed) n-grams and summed per document; the most
+    frequent n-grams are looked up in a bounded table where the documents are.
 
     Null and empty texts have no n-grams: log_score 0 and a null mean.  Repeated rows
     count and are scored each.  Other columns are not read.  An empty table gives none.
     """
-    packed = explode(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), order)
-    grams = cut(packed.where("gram >= 0").groupBy("gram").agg(F.sum("n").alias("c")))
-    weights = cut(stupid_backoff(grams, order, backoff, least))
-    scored = sum_weights(packed.join(weights, "gram", "left"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    grams = cut(explode(rows, order).where("gram >= 0").groupBy("gram").agg(F.sum("n").alias("c")))
+    weights = cut(stupid_backoff(grams, order, backoff, least).join(grams.withColumnRenamed("c", "n"), "gram"))
+    scored = score(rows, order, weights)
     return scored.select("doc_id", F.col("n").alias("n_grams"), F.col("total").alias("log_score"), F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean_log_score"))

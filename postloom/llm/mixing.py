@@ -13,7 +13,7 @@ from postloom.llm.common import cut
 
 #: Most membership patterns that the driver plans for; more is an error, never a cut.
 MAX_PATTERNS = 1 << 18
-PLAN = "pattern array<string>, whole long, base int, want long"
+ADDED = ("pattern", "size", "source_size", "target", "copies", "taken")
 
 
 def word_count(text: str) -> Column:
@@ -118,9 +118,11 @@ def select_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return F.broadcast(plan.join(cut_at, "pattern", "left").join(fill, "pattern", "left").select("pattern", "base", "whole", "cut_key", "fill_key"))
 
 
-def mix(docs: DataFrame, members: Column, size: Column, targets, keep: Sequence[str] = ("doc_id",), seed: int = 11, copies: int = 2) -> DataFrame:
+def mix(docs: DataFrame, members: Column, size: Column, targets, keep: Sequence[str] = ("doc_id",), seed: int = 11, copies: int = 2, prefix: str = "") -> DataFrame:
     """Take documents so that each source's tokens meet its target: keep..., pattern, size, source_size, target, copies, taken.
 
+    The added columns' names start with ``prefix``, and must not be names of ``keep``.
+
     ``members`` is an array<string> column of the sources that hold a document, ``size``
     its tokens; ``targets(names, sizes)`` gives the sources' targets.  Patterns of
     sources are aggregated, their tokens routed by min-cost flow with convex costs for
@@ -131,9 +133,12 @@ def mix(docs: DataFrame, members: Column, size: Column, targets, keep: Sequence[
     are not taken.  Documents of size 0 take 0.  Repeated rows tie and are treated
     alike.  An empty table gives an empty table.  Reruns agree.
     """
+    if clash := {prefix + c for c in ADDED} & set(keep):
+        raise ValueError(f"columns of keep clash with added ones: {sorted(clash)}")
     named = F.array_sort(F.array_distinct(F.transform(members, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("~")))))
     order = F.xxhash64(F.lit(seed), *(F.col(c) for c in keep), size)
-    sized = cut(docs.select(*keep, named.alias("pattern"), size.alias("size"), order.alias("u")))
+    full = cut(docs.select(F.struct(*keep).alias("kept"), named.alias("pattern"), size.alias("size"), order.alias("u")))
+    sized = full.select("pattern", "size", "u")
     rows = sized.groupBy("pattern").agg(F.sum("size").alias("s")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -152,9 +157,10 @@ def mix(docs: DataFrame, members: Column, size: Column, targets, keep: Sequence[
     chosen = select_documents(sized, table.select("pattern", "whole", "base", "want"))
     key = F.col("u").bitwiseXOR(F.lit(-(1 << 63)))
     extra = F.coalesce(key <= F.col("cut_key"), F.lit(False)) | F.coalesce(key == F.col("fill_key"), F.lit(False))
-    out = sized.join(chosen, "pattern").join(F.broadcast(table.select("pattern", "source_size", "target")), "pattern")
+    out = full.join(chosen, "pattern").join(F.broadcast(table.select("pattern", "source_size", "target")), "pattern")
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("base") + extra.cast("int")).otherwise(0))
-    return out.select(*keep, "pattern", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    added = (F.col("pattern"), F.col("size"), F.col("source_size").cast("long"), F.col("target"), F.col("copies"), F.col("size") * F.col("copies"))
+    return out.select(*(F.col(f"kept.`{c}`").alias(c) for c in keep), *(x.alias(prefix + c) for x, c in zip(added, ADDED, strict=True)))
 
 
 def cycling_targets(weights: Sequence[float] = (3.0, 1.0, 2.0), factor: float = 1.5, most: float = 2.0):

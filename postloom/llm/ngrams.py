@@ -55,45 +55,70 @@ def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text: str = "text", trusted: str | None = None, batch_bytes: int = 6 << 20) -> DataFrame:
-    """(gram, base, n, trusted, docs, times, kept): the distinct n-grams of each batch of documents.
+def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text: str = "text", trusted: str | None = None, hot: tuple[np.ndarray, np.ndarray] | None = None, batch_bytes: int = 6 << 20) -> DataFrame:
+    """(gram, base, n, trusted, docs, times, kept, sums, counts): the distinct n-grams of each batch of documents.
 
     ``docs`` are 16-bit offsets from the row number ``base``, ``times`` 16-bit counts,
-    ``n`` and ``trusted`` the sums of times over all and over trusted documents.  A row
-    with a negative gram heads each batch and carries the batch's ``keep`` columns,
-    so that documents without any n-gram are there, too.  Texts longer than a batch
-    go in pieces that overlap by ``order - 1`` bytes: no n-gram is lost or doubled.
+    ``n`` and ``trusted`` the sums of times over all and over trusted documents.  The
+    n-grams of ``hot`` (sorted n-grams and their weights, a bounded number) are summed
+    where they are and not emitted.  A row with a negative gram ends each batch: the
+    ``keep`` columns of its documents and their sums and counts of hot n-grams, so
+    that documents without any n-gram are there, too.  Texts longer than a batch go
+    in pieces that overlap by ``order - 1`` bytes: no n-gram is lost or doubled.
     """
     if not 1 <= order <= MOST_ORDER:
         raise ValueError(f"order is 1 to {MOST_ORDER}")
     each = T.StructType([field(docs, c) for c in keep])
-    schema = T.StructType([*T._parse_datatype_string("gram long, base long, n long, trusted long, docs binary, times binary").fields, T.StructField("kept", T.ArrayType(each))])
+    schema = T.StructType([*T._parse_datatype_string("gram long, base long, n long, trusted long, docs binary, times binary").fields, T.StructField("kept", T.ArrayType(each)), *T._parse_datatype_string("sums array<double>, counts array<long>").fields])
+    names = schema.names
 
-    def pack(base: int, rows: list[int], grams: list[np.ndarray], trust: list[bool], kind: pa.DataType):
-        key, times = _count(np.concatenate([(g.astype(np.uint64) << np.uint64(16)) | np.uint64(r) for r, g in zip(rows, grams, strict=True)]))
+    def pack(base, rows, grams, trust, acc, kind):
+        key, times = _count(np.concatenate([(g.astype(np.uint64) << np.uint64(16)) | np.uint64(r) for r, g in zip(rows, grams, strict=True)])) if rows else (np.zeros(0), None)
         if not len(key):
             return
         gram, who = (key >> np.uint64(16)).astype(np.int64), (key & np.uint64(MOST_DOCS - 1)).astype(np.uint16)
+        if hot is not None and len(hot[0]):
+            k = np.minimum(np.searchsorted(hot[0], gram), len(hot[0]) - 1)
+            own = hot[0][k] == gram
+            for i, x in enumerate((hot[1][k[own]] * times[own], times[own])):
+                acc[i] += np.bincount(who[own], x, MOST_DOCS)
+            gram, who, times = gram[~own], who[~own], times[~own]
+        if not len(gram):
+            return
         start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         ends = np.concatenate((start[1:], [len(gram)]))
+        good = np.array(trust, np.int64)
         for at in range(0, len(start), 50_000):
             a, b = start[at : at + 50_000], ends[at : at + 50_000]
             lo, hi = a[0], b[-1]
-            n, ok = np.add.reduceat(times[lo:hi], a - lo), np.add.reduceat(times[lo:hi] * np.array(trust, np.int64)[who[lo:hi]], a - lo)
-            yield pa.RecordBatch.from_arrays([pa.array(gram[a]), pa.array(np.full(len(a), base)), pa.array(n), pa.array(ok), _binary(who[lo:hi], b - lo), _binary(times[lo:hi].astype(np.uint16), b - lo), pa.nulls(len(a), pa.list_(kind))], schema.names)
+            n, ok = np.add.reduceat(times[lo:hi], a - lo), np.add.reduceat(times[lo:hi] * good[who[lo:hi]], a - lo)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[a]), pa.array(np.full(len(a), base)), pa.array(n), pa.array(ok), _binary(who[lo:hi], b - lo), _binary(times[lo:hi].astype(np.uint16), b - lo), pa.nulls(len(a), pa.list_(kind)), pa.nulls(len(a), pa.list_(pa.float64())), pa.nulls(len(a), pa.list_(pa.int64()))], names)
+
+    def head(base, at, own, acc):
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), x)
+        sums, counts = pa.array(acc[0][at : at + len(own)]), pa.array(acc[1][at : at + len(own)].astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([-1 - base - at]), pa.array([base + at]), pa.array([0]), pa.array([0]), pa.array([b""]), pa.array([b""]), one(own), one(sums), one(counts)], names)
 
     def run(batches):
         ids = row_ids()
         base, rows, grams, trust, held = next(ids), [], [], [], 0
+        acc, waiting = [np.zeros(MOST_DOCS), np.zeros(MOST_DOCS)], []
+
+        def close(kind):
+            yield from pack(base, rows, grams, trust, acc, kind)
+            yield from (head(base, at, own, acc) for at, own in waiting if len(own))
+
+        kind = None
         for batch in batches:
             flags = batch.column(len(keep) + 1).to_pylist() if trusted else [False] * batch.num_rows
             heads = pa.StructArray.from_arrays([batch.column(i) for i in range(len(keep))], names=list(keep))
-            first = 0
+            kind, first = heads.type, 0
             for i, (t, ok) in enumerate(zip(batch.column(len(keep)).cast(pa.large_binary()).to_pylist(), flags, strict=True)):
                 if held >= batch_bytes or len(trust) == MOST_DOCS:
-                    yield head(base, heads[first:i], len(trust))
-                    yield from pack(base, rows, grams, trust, heads.type)
+                    waiting.append((len(trust) - (i - first), heads[first:i]))
+                    yield from close(kind)
                     base, rows, grams, trust, held, first = base + MOST_DOCS, [], [], [], 0, i
+                    acc, waiting = [np.zeros(MOST_DOCS), np.zeros(MOST_DOCS)], []
                 t, row = t or b"", len(trust)
                 trust.append(bool(ok))
                 for at in range(0, len(t), PIECE):
@@ -101,20 +126,35 @@ def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text
                     grams.append(windows(t[max(0, at - order + 1) : at + PIECE], order, at == 0))
                     held += len(grams[-1])
                     if at + PIECE < len(t):
-                        yield from pack(base, rows, grams, trust, heads.type)
+                        yield from pack(base, rows, grams, trust, acc, kind)
                         rows, grams = [], []
-            yield head(base, heads[first:], len(trust))
-        if rows:
-            yield from pack(base, rows, grams, trust, heads.type)
-
-    def head(base: int, own: pa.Array, until: int):
-        lists = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
-        none = pa.array([b""], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([-1 - base]), pa.array([base + until - len(own)]), pa.array([0]), pa.array([0]), none, none, lists], schema.names)
+            waiting.append((len(trust) - (batch.num_rows - first), heads[first:]))
+        if kind is not None:
+            yield from close(kind)
 
     return docs.select(*keep, text, *([trusted] if trusted else [])).mapInArrow(run, schema)
 
 
+#: N-grams whose weights go to every task: a bounded table of 16 bytes a row.
+HOT = 1 << 16
+
+
+def hot_weights(weights: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` most frequent n-grams of (gram, weight, n) and their weights, sorted by n-gram."""
+    top = weights.orderBy(F.desc("n"), "gram").limit(most).select("gram", "weight").toPandas().sort_values("gram")
+    return top["gram"].to_numpy(np.int64), top["weight"].to_numpy(np.float64)
+
+
+def score(docs: DataFrame, order: int, weights: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", most: int = HOT) -> DataFrame:
+    """(row, keep..., total, n): per document the sum of its n-grams' weights, from a table (gram, weight, n).
+
+    Frequent n-grams are summed where the documents are, against a bounded table; all
+    others are exploded and joined to the table by n-gram.
+    """
+    packed = explode(docs, order, keep, text, hot=hot_weights(weights, most))
+    return sum_weights(packed.join(weights.select("gram", "weight"), "gram", "left"), keep)
+
+
 def sum_weights(packed: DataFrame, keep: Sequence[str] = ("doc_id",), weight: str = "weight") -> DataFrame:
     """(row, keep..., total, n): the weights of each document's n-grams, summed.
 
@@ -134,13 +174,13 @@ def sum_weights(packed: DataFrame, keep: Sequence[str] = ("doc_id",), weight: st
         sums: dict[int, np.ndarray] = {}
         kind = None
         for batch in batches:
-            lists = batch.column(4)
+            lists, sums_of, counts_of = (batch.column(i) for i in (4, 5, 6))
             kind = lists.type.value_type
             base, weights = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             is_head = np.asarray(lists.is_valid())
             for i in np.flatnonzero(is_head).tolist():
                 own = lists[i].values
-                yield pa.RecordBatch.from_arrays([pa.array(int(base[i]) + np.arange(len(own))), pa.array(np.zeros(len(own))), pa.array(np.zeros(len(own), np.int64)), own], names)
+                yield pa.RecordBatch.from_arrays([pa.array(int(base[i]) + np.arange(len(own))), sums_of[i].values, counts_of[i].values, own], names)
             docs, counts = (batch.column(i).cast(pa.binary()) for i in (2, 3))
             who, times = (np.frombuffer(b"".join(x.to_pylist()), np.uint16) for x in (docs, counts))
             each = np.repeat(np.arange(len(base)), pa.compute.binary_length(docs).to_numpy() // 2)
@@ -174,7 +214,7 @@ def sum_weights(packed: DataFrame, keep: Sequence[str] = ("doc_id",), weight: st
         else:
             x[:, : own.shape[1]] += own
 
-    rows = packed.select("base", weight, "docs", "times", "kept").mapInArrow(run, schema)
+    rows = packed.select("base", weight, "docs", "times", "kept", "sums", "counts").mapInArrow(run, schema)
     out = rows.groupBy("row").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.first("kept", ignorenulls=True).alias("kept"))
     return out.select("row", *(F.col(f"kept.{c}").alias(c) for c in keep), "total", "n")
 

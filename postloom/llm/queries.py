@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.llm.chat import format_chats
 from postloom.llm.common import table
 from postloom.llm.exact_dedup import exact_duplicates
+from postloom.llm.html_extraction import extract
 from postloom.llm.lm_scoring import lm_scores
 from postloom.llm.mixing import cycling_targets, mix, word_count
+from postloom.llm.nearest import search
 from postloom.llm.packing import pack
 from postloom.llm.quality import score_quality
 from postloom.llm.simhash import hex16, near_duplicates
@@ -40,6 +43,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -48,11 +55,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), every=50)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_simhash_near_dedup, op4_mix_sources, op6_best_fit_packing, op7_exact_dedup, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_simhash_near_dedup, op4_mix_sources, op5_html_extraction, op6_best_fit_packing, op7_exact_dedup, op8_chat_formatting, op9_nearest_neighbours, op10_lm_scoring)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
