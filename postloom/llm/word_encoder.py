@@ -11,10 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterable
 
-import numpy as np
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
@@ -23,11 +22,15 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-ö
 
 def ids_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers."""
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordEncoder:
-    """``table(words)`` maps each word to ``form(ids)``; at most ``max_words`` are remembered."""
+    """``table(words)`` maps each word to ``form(ids)``, where form(a + b) = form(a) + form(b).
+
+    Words are kept in two generations of at most ``max_words``: when the young one is
+    full it becomes the old one, and words that are met again move back.
+    """
 
     def __init__(self, path: str, form: Callable[[list[int]], object], max_words: int = 600_000, batch: int = 8192):
         from tokenizers import Tokenizer
@@ -39,34 +42,60 @@ class WordEncoder:
         self.bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.form, self.max_words, self.batch = form, max_words, batch
         self.known: dict[bytes, object] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.old: dict[bytes, object] = {}
+        self.pieces: dict[bytes, object] = {}
 
     def table(self, words: set[bytes]) -> dict[bytes, object]:
-        new = [w for w in words if w not in self.known]
+        """A mapping that has at least ``words``."""
+        new = words - self.known.keys()
         if len(self.known) + len(new) > self.max_words and self.known:
-            self.known, new = {}, list(words)
+            self.known, self.old, new = {}, self.known, words
+        back = new & self.old.keys()
+        self.known.update((w, self.old[w]) for w in back)
+        new = list(new - back)
         for at in range(0, len(new), self.batch):
             part = new[at : at + self.batch]
-            self.known.update(zip(part, map(self.form, self.encode(part)), strict=True))
+            self.known.update(zip(part, self.encode(part), strict=True))
         return self.known
 
-    def encode(self, words: Iterable[bytes]) -> list[list[int]]:
-        texts = [w.decode() for w in words]
-        split = [PIECES.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        rest = [t for t, p in zip(texts, split, strict=True) if p is None]
+    def encode(self, words: Iterable[bytes]) -> list[object]:
+        split, rest = [], []
+        for w in words:
+            stem = w.rstrip(b".,")
+            if stem.isalpha():  # ASCII letters only
+                split.append((stem.lower(), w[len(stem) :]))
+                continue
+            t = w.decode()
+            if PLAIN.fullmatch(t) and "<|" not in t:
+                split.append([p.encode() for p in PIECES.findall(t.lower())])
+            else:
+                split.append(None)
+                rest.append(t)
         whole = iter(self.full.encode_batch_fast(rest, add_special_tokens=False)) if rest else iter(())
-        self.learn({p for parts in split if parts for p in parts} - self.pieces.keys())
-        return [next(whole).ids if p is None else self.pieces[p[0]] if len(p) == 1 else [i for x in p for i in self.pieces[x]] for p in split]
-
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.pieces) + len(pieces) > self.max_words:
-            pieces = pieces | {p for p in self.pieces if len(p) < 3}
-            self.pieces = {p: i for p, i in self.pieces.items() if len(p) < 3 or p in pieces} if len(pieces) < self.max_words else {}
-            pieces = pieces - self.pieces.keys()
-        self.pieces.update((p, [t.id for t in self.model.tokenize(p)]) for p in pieces if p.isascii())
+        asked = {p for parts in split if parts for p in parts}
+        if len(self.pieces) + len(asked) > self.max_words:
+            self.pieces = {}
+        self.learn(asked - self.pieces.keys())
+        of, form, out = self.pieces, self.form, []
+        for parts in split:
+            if parts is None:
+                out.append(form(next(whole).ids))
+            elif len(parts) == 2:
+                out.append(of[parts[0]] + of[parts[1]])
+            else:
+                x = of[parts[0]]
+                for p in parts[1:]:
+                    x = x + of[p]
+                out.append(x)
+        return out
+
+    def learn(self, pieces: set[bytes]) -> None:
+        self.pieces.setdefault(b"", self.form([]))
+        tokenize, form = self.model.tokenize, self.form
+        self.pieces.update((p, form([t.id for t in tokenize(p.decode())])) for p in pieces if p and p.isascii())
         other = [p for p in pieces if not p.isascii()]
         if other:
-            self.pieces.update((p, e.ids) for p, e in zip(other, self.bare.encode_batch_fast(other, add_special_tokens=False), strict=True))
+            self.pieces.update((p, form(e.ids)) for p, e in zip(other, self.bare.encode_batch_fast([p.decode() for p in other], add_special_tokens=False), strict=True))
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
