@@ -55,12 +55,12 @@ def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text: str = "text", trusted: str | None = None, hot: tuple[np.ndarray, np.ndarray] | None = None, batch_bytes: int = 6 << 20) -> DataFrame:
+def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text: str = "text", trusted: str | None = None, hot=None, batch_bytes: int = 6 << 20) -> DataFrame:
     """(gram, base, n, trusted, docs, times, kept, sums, counts): the distinct n-grams of each batch of documents.
 
     ``docs`` are 16-bit offsets from the row number ``base``, ``times`` 16-bit counts,
     ``n`` and ``trusted`` the sums of times over all and over trusted documents.  The
-    n-grams of ``hot`` (sorted n-grams and their weights, a bounded number) are summed
+    n-grams of ``hot`` (a broadcast of sorted n-grams and their weights, a bounded number) are summed
     where they are and not emitted.  A row with a negative gram ends each batch: the
     ``keep`` columns of its documents and their sums and counts of hot n-grams, so
     that documents without any n-gram are there, too.  Texts longer than a batch go
@@ -77,16 +77,21 @@ def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text
         if not len(key):
             return
         gram, who = (key >> np.uint64(16)).astype(np.int64), (key & np.uint64(MOST_DOCS - 1)).astype(np.uint16)
-        if hot is not None and len(hot[0]):
-            k = np.minimum(np.searchsorted(hot[0], gram), len(hot[0]) - 1)
-            own = hot[0][k] == gram
-            for i, x in enumerate((hot[1][k[own]] * times[own], times[own])):
-                acc[i] += np.bincount(who[own], x, MOST_DOCS)
-            gram, who, times = gram[~own], who[~own], times[~own]
-        if not len(gram):
-            return
         start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         ends = np.concatenate((start[1:], [len(gram)]))
+        if hot is not None and len(hot.value[0]):
+            known, weight = hot.value
+            k = np.minimum(np.searchsorted(known, gram[start]), len(known) - 1)
+            own = known[k] == gram[start]
+            each = np.repeat(own, ends - start)
+            w = np.repeat(weight[k[own]], (ends - start)[own])
+            for i, x in enumerate((w * times[each], times[each])):
+                acc[i] += np.bincount(who[each], x, MOST_DOCS)
+            gram, who, times = gram[~each], who[~each], times[~each]
+            if not len(gram):
+                return
+            start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+            ends = np.concatenate((start[1:], [len(gram)]))
         good = np.array(trust, np.int64)
         for at in range(0, len(start), 50_000):
             a, b = start[at : at + 50_000], ends[at : at + 50_000]
@@ -97,7 +102,7 @@ def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text
     def head(base, at, own, acc):
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), x)
         sums, counts = pa.array(acc[0][at : at + len(own)]), pa.array(acc[1][at : at + len(own)].astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array([-1 - base - at]), pa.array([base + at]), pa.array([0]), pa.array([0]), pa.array([b""]), pa.array([b""]), one(own), one(sums), one(counts)], names)
+        return pa.RecordBatch.from_arrays([pa.array([-1 - base - at]), pa.array([base]), pa.array([0]), pa.array([0]), pa.array([b""]), pa.array([b""]), one(own), one(sums), one(counts)], names)
 
     def run(batches):
         ids = row_ids()
@@ -136,87 +141,75 @@ def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text
 
 
 #: N-grams whose weights go to every task: a bounded table of 16 bytes a row.
-HOT = 1 << 16
+HOT = 1 << 19
 
 
 def hot_weights(weights: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
     """The ``most`` most frequent n-grams of (gram, weight, n) and their weights, sorted by n-gram."""
-    top = weights.orderBy(F.desc("n"), "gram").limit(most).select("gram", "weight").toPandas().sort_values("gram")
-    return top["gram"].to_numpy(np.int64), top["weight"].to_numpy(np.float64)
+    top = weights.orderBy(F.desc("n"), "gram").limit(most).select("gram", "weight").toArrow()
+    gram, weight = top.column("gram").to_numpy(), top.column("weight").to_numpy()
+    order = np.argsort(gram)
+    return gram[order], weight[order]
 
 
 def score(docs: DataFrame, order: int, weights: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", most: int = HOT) -> DataFrame:
-    """(row, keep..., total, n): per document the sum of its n-grams' weights, from a table (gram, weight, n).
+    """(keep..., total, n): per document the sum of its n-grams' weights, from a table (gram, weight, n).
 
     Frequent n-grams are summed where the documents are, against a bounded table; all
     others are exploded and joined to the table by n-gram.
     """
-    packed = explode(docs, order, keep, text, hot=hot_weights(weights, most))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_weights(weights, most))
+    packed = explode(docs, order, keep, text, hot=hot)
     return sum_weights(packed.join(weights.select("gram", "weight"), "gram", "left"), keep)
 
 
 def sum_weights(packed: DataFrame, keep: Sequence[str] = ("doc_id",), weight: str = "weight") -> DataFrame:
-    """(row, keep..., total, n): the weights of each document's n-grams, summed.
+    """(keep..., total, n): the weights of each document's n-grams, summed.
 
-    Sums are formed per task first and handed on whenever a task holds those of 256
-    batches; then per document.
+    The weighted rows of a batch of documents meet in one task, a batch after the
+    other; a task holds the sums of one batch.
     """
     kept = packed.schema["kept"].dataType.elementType
-    schema = T.StructType([*T._parse_datatype_string("row long, total double, n long").fields, T.StructField("kept", kept)])
-    names = schema.names
-
-    def flush(sums, kind):
-        for base, x in sums.items():
-            i = np.flatnonzero(x[1])
-            yield pa.RecordBatch.from_arrays([pa.array(base + i), pa.array(x[0][i]), pa.array(x[1][i].astype(np.int64)), pa.nulls(len(i), kind)], names)
+    schema = T.StructType([*kept.fields, T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
 
     def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        kind = None
+        state = None  # base, sums and counts by document, heads by first document
+
+        def done():
+            _, sums, counts, heads = state
+            for at, own in heads:
+                fields = own.flatten() if len(keep) else []
+                yield pa.RecordBatch.from_arrays([*fields, pa.array(sums[at : at + len(own)]), pa.array(counts[at : at + len(own)].astype(np.int64))], schema.names)
+
         for batch in batches:
-            lists, sums_of, counts_of = (batch.column(i) for i in (4, 5, 6))
-            kind = lists.type.value_type
-            base, weights = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            is_head = np.asarray(lists.is_valid())
-            for i in np.flatnonzero(is_head).tolist():
-                own = lists[i].values
-                yield pa.RecordBatch.from_arrays([pa.array(int(base[i]) + np.arange(len(own))), sums_of[i].values, counts_of[i].values, own], names)
-            docs, counts = (batch.column(i).cast(pa.binary()) for i in (2, 3))
-            who, times = (np.frombuffer(b"".join(x.to_pylist()), np.uint16) for x in (docs, counts))
-            each = np.repeat(np.arange(len(base)), pa.compute.binary_length(docs).to_numpy() // 2)
-            known, code = np.unique(base, return_inverse=True)
-            key = code[each].astype(np.int64) * MOST_DOCS + who
-            w = np.where(is_head, 0.0, weights)[each] * times
-            if len(known) <= 64:
-                total, n = np.bincount(key, w, len(known) * MOST_DOCS), np.bincount(key, times, len(known) * MOST_DOCS)
-                for k, b in enumerate(known.tolist()):
-                    own = np.stack((total[k * MOST_DOCS : (k + 1) * MOST_DOCS], n[k * MOST_DOCS : (k + 1) * MOST_DOCS]))
-                    top = int(np.flatnonzero(own[1])[-1]) + 1 if own[1].any() else 0
-                    add(sums, b, own[:, :top])
-            else:
-                order = np.argsort(key, kind="stable")
-                for own in np.split(order, np.flatnonzero(np.diff(key[order] // MOST_DOCS)) + 1) if len(order) else ():
-                    k, top = int(key[own[0]]) // MOST_DOCS, int(who[own].max()) + 1
-                    add(sums, int(known[k]), np.stack((np.bincount(who[own], w[own], top), np.bincount(who[own], times[own], top))))
-            if len(sums) > 256:
-                yield from flush(sums, kind)
-                sums = {}
-        if kind is not None:
-            yield from flush(sums, kind)
-
-    def add(sums, base, own):
-        x = sums.get(base)
-        if x is None or x.shape[1] < own.shape[1]:
-            own = own.copy()
-            if x is not None:
-                own[:, : x.shape[1]] += x
-            sums[base] = own
-        else:
-            x[:, : own.shape[1]] += own
-
-    rows = packed.select("base", weight, "docs", "times", "kept", "sums", "counts").mapInArrow(run, schema)
-    out = rows.groupBy("row").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.first("kept", ignorenulls=True).alias("kept"))
-    return out.select("row", *(F.col(f"kept.{c}").alias(c) for c in keep), "total", "n")
+            gram, bases, weights = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            docs, counted = (batch.column(i).cast(pa.binary()) for i in (3, 4))
+            lists, sums_of, counts_of = (batch.column(i) for i in (5, 6, 7))
+            size = pa.compute.binary_length(docs).to_numpy(zero_copy_only=False) // 2
+            who, times = (np.frombuffer(b"".join(x.to_pylist()), np.uint16) for x in (docs, counted))
+            w = np.repeat(np.nan_to_num(weights), size) * times
+            reach = np.concatenate(([0], np.cumsum(size)))
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(bases)) + 1, [len(bases)]))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if lo == hi:
+                    continue
+                if state is None or state[0] != bases[lo]:
+                    if state is not None:
+                        yield from done()
+                    state = (bases[lo], np.zeros(MOST_DOCS), np.zeros(MOST_DOCS), [])
+                own = slice(int(reach[lo]), int(reach[hi]))
+                state[1][:] += np.bincount(who[own], w[own], MOST_DOCS)
+                state[2][:] += np.bincount(who[own], times[own], MOST_DOCS)
+                for i in (lo + np.flatnonzero(gram[lo:hi] < 0)).tolist():
+                    at, rows = int(-1 - gram[i] - bases[i]), lists[i].values
+                    state[3].append((at, rows))
+                    state[1][at : at + len(rows)] += sums_of[i].values.to_numpy()
+                    state[2][at : at + len(rows)] += counts_of[i].values.to_numpy()
+        if state is not None:
+            yield from done()
+
+    rows = packed.select("gram", "base", weight, "docs", "times", "kept", "sums", "counts")
+    return rows.repartition("base").sortWithinPartitions("base").mapInArrow(run, schema)
 
 
 def suffix(gram: Column, n: int) -> Column:
