@@ -55,7 +55,7 @@ def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text: str = "text", trusted: str | None = None, hot=None, batch_bytes: int = 6 << 20) -> DataFrame:
+def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text: str = "text", trusted: str | None = None, hot=None, batch_bytes: int = 4 << 20) -> DataFrame:
     """(gram, base, n, trusted, docs, times, kept, sums, counts): the distinct n-grams of each batch of documents.
 
     ``docs`` are 16-bit offsets from the row number ``base``, ``times`` 16-bit counts,

@@ -32,7 +32,7 @@ class WordEncoder:
     full it becomes the old one, and words that are met again move back.
     """
 
-    def __init__(self, path: str, form: Callable[[list[int]], object], max_words: int = 600_000, batch: int = 8192):
+    def __init__(self, path: str, form: Callable[[list[int]], object], max_words: int = 250_000, batch: int = 8192):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
