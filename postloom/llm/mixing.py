@@ -13,6 +13,8 @@ from postloom.llm.common import cut
 
 #: Most membership patterns that the driver plans for; more is an error, never a cut.
 MAX_PATTERNS = 1 << 18
+#: Documents of fitting sizes that close the gap that the cut leaves, one after the other.
+FILLS = 3
 ADDED = ("pattern", "size", "source_size", "target", "copies", "taken")
 
 
@@ -95,12 +97,12 @@ def _cumulated(part: DataFrame, key: str) -> DataFrame:
 
 
 def select_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """Which documents get one copy more: per pattern a cut in the seeded order and one document that closes the gap.
+    """Which documents get one copy more: per pattern a cut in the seeded order and few documents that close the gap.
 
     ``sized`` has pattern, u (the seeded order) and size.  The cut is found by two
     histograms of 1,024 buckets per pattern and an exact order inside one bucket, a
     millionth of the pattern's documents; a pattern of any size is never sorted.
-    Returns pattern, base, cut_u, fill_u.
+    Returns pattern, base, whole, cut_key, fills.
     """
     need = F.broadcast(plan.where("want > 0"))  # at most MAX_PATTERNS rows
     part = sized.where("size > 0").join(need, "pattern").withColumn("b1", F.shiftrightunsigned("u", 54)).withColumn("b2", F.shiftrightunsigned("u", 44).bitwiseAND(1023))
@@ -112,10 +114,13 @@ def select_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
     key = F.col("u").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
     run = in_two.withColumn("key", key).withColumn("cum", F.sum("s").over(w))
     bucket = run.groupBy("pattern").agg(F.min("key").alias("least"), F.max(F.when(F.col("cum") <= F.col("want"), F.struct("key", "cum"))).alias("last"), F.first("want").alias("want"))
-    cut_at = cut(bucket.select("pattern", F.coalesce("last.key", F.col("least") - 1).alias("cut_key"), (F.col("want") - F.coalesce("last.cum", F.lit(0))).alias("gap")))
-    rest = part.withColumn("key", key).join(F.broadcast(cut_at), "pattern").where("key > cut_key and abs(size - gap) < gap")
-    fill = rest.groupBy("pattern").agg(F.min_by("key", F.struct(F.abs(F.col("size") - F.col("gap")), F.col("key"))).alias("fill_key"))
-    return F.broadcast(plan.join(cut_at, "pattern", "left").join(fill, "pattern", "left").select("pattern", "base", "whole", "cut_key", "fill_key"))
+    state = cut(bucket.select("pattern", F.coalesce("last.key", F.col("least") - 1).alias("cut_key"), (F.col("want") - F.coalesce("last.cum", F.lit(0))).alias("gap"), F.array().cast("array<long>").alias("fills")))
+    part = part.select("pattern", "size", key.alias("key"))
+    for _ in range(FILLS):
+        rest = part.join(F.broadcast(state), "pattern").where("gap > 0 and key > cut_key and abs(size - gap) < gap and not array_contains(fills, key)")
+        near = rest.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "size")).alias("x"))
+        state = cut(state.join(near, "pattern", "left").select("pattern", "cut_key", (F.col("gap") - F.coalesce("x.size", F.lit(0))).alias("gap"), F.when(F.col("x").isNotNull(), F.array_append("fills", F.col("x.key"))).otherwise(F.col("fills")).alias("fills")))
+    return F.broadcast(plan.join(state, "pattern", "left").select("pattern", "base", "whole", "cut_key", "fills"))
 
 
 def mix(docs: DataFrame, members: Column, size: Column, targets, keep: Sequence[str] = ("doc_id",), seed: int = 11, copies: int = 2, prefix: str = "") -> DataFrame:
@@ -156,7 +161,7 @@ def mix(docs: DataFrame, members: Column, size: Column, targets, keep: Sequence[
     table = spark.createDataFrame(plan, T._parse_datatype_string("pattern array<string>, whole long, base int, want long, source_size double, target double"))
     chosen = select_documents(sized, table.select("pattern", "whole", "base", "want"))
     key = F.col("u").bitwiseXOR(F.lit(-(1 << 63)))
-    extra = F.coalesce(key <= F.col("cut_key"), F.lit(False)) | F.coalesce(key == F.col("fill_key"), F.lit(False))
+    extra = F.coalesce(key <= F.col("cut_key"), F.lit(False)) | F.coalesce(F.array_contains("fills", key), F.lit(False))
     out = full.join(chosen, "pattern").join(F.broadcast(table.select("pattern", "source_size", "target")), "pattern")
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("base") + extra.cast("int")).otherwise(0))
     added = (F.col("pattern"), F.col("size"), F.col("source_size").cast("long"), F.col("target"), F.col("copies"), F.col("size") * F.col("copies"))

@@ -98,8 +98,15 @@ def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int
     From the longest length down, one, two or three lengths that exactly fill the gap
     are used as often as they are available.  What is left is packed best-fit,
     longest first, and each of its gaps is closed exactly where that can be done.
-    Every step uses up a length, so patterns are bounded by the capacity.
+    Where long pieces prevail, short ones are spent too early by that; so best-fit
+    alone is planned, too, and the plan of fewer bins returned.  Every step uses up a
+    length, so patterns are bounded by the capacity.
     """
+    plans = (_plan(counts, capacity, True), _plan(counts, capacity, False))
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, exact: bool) -> list[tuple[tuple[int, ...], int]]:
     av = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         av[n] = c
@@ -114,13 +121,13 @@ def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int
 
     if av[capacity]:
         use((capacity,))
-    for residual in (False, True):
+    for residual in (False, True) if exact else (True,):
         for n in range(capacity - 1, 0, -1):
             while av[n] > 0:
                 taken, gap = [n], capacity - n
                 av[n] -= 1
                 while gap > 0:
-                    if combo := _exact(av, gap):
+                    if combo := _exact(av, gap) if exact else None:
                         taken += combo
                         for x in combo:
                             av[x] -= 1
