@@ -40,6 +40,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch of whole texts: 10,000 long texts would not fit in a worker.
+TEXT_BATCH = 8 << 20
+
+
+def map_texts(rows: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` over rows with whole texts: batches of about ``TEXT_BATCH`` bytes, at least a row each.
+
+    The bound is a session setting, read when a job runs, so it stays set; a session
+    that names a smaller one keeps it.
+    """
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    named = str(conf.get(key))
+    if not (named.isdigit() and 0 < int(named) <= TEXT_BATCH):
+        conf.set(key, str(TEXT_BATCH))
+    return rows.mapInArrow(run, schema)
+
+
 def row_ids() -> Iterator[int]:
     """Numbers that no other row of this task's output table has.
 

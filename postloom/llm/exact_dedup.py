@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postloom.llm.common import attach_groups, cut, field, row_ids
+from postloom.llm.common import attach_groups, cut, field, map_texts, row_ids
 
 #: Chunk sizes in bytes: least, mean (a power of two) and largest.
 LEAST, MEAN, LARGEST = 2048, 4096, 16384
@@ -66,7 +66,7 @@ def chunk_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             chunks = pa.StructArray.from_arrays([pa.array(h, pa.int64()), pa.array(size, pa.int32()), pa.array(sha, pa.binary())], ["h", "len", "sha"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([next(ids) for _ in whole], pa.int64()), pa.array(whole), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), chunks)], schema.names)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return map_texts(docs.select(doc_id, text), run, schema)
 
 
 def identify_chunks(recipes: DataFrame) -> DataFrame:

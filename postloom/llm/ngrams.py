@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postloom.llm.common import field, row_ids
+from postloom.llm.common import field, map_texts, row_ids
 
 #: Never in UTF-8; stands before the first byte of a text.
 PAD = 0xFF
 #: A key holds the n-gram and 16 bits for the document.
 MOST_ORDER, MOST_DOCS, MOST_TIMES = 6, 1 << 16, (1 << 16) - 1
-PIECE = 8 << 20
+PIECE = 2 << 20
 
 
 def windows(data: bytes, order: int, start: bool = True) -> np.ndarray:
@@ -55,7 +55,7 @@ def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text: str = "text", trusted: str | None = None, hot=None, batch_bytes: int = 4 << 20) -> DataFrame:
+def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text: str = "text", trusted: str | None = None, hot=None, batch_bytes: int = 2 << 20) -> DataFrame:
     """(gram, base, n, trusted, docs, times, kept, sums, counts): the distinct n-grams of each batch of documents.
 
     ``docs`` are 16-bit offsets from the row number ``base``, ``times`` 16-bit counts,
@@ -72,10 +72,13 @@ def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text
     schema = T.StructType([*T._parse_datatype_string("gram long, base long, n long, trusted long, docs binary, times binary").fields, T.StructField("kept", T.ArrayType(each)), *T._parse_datatype_string("sums array<double>, counts array<long>").fields])
     names = schema.names
 
-    def pack(base, rows, grams, trust, acc, kind):
-        key, times = _count(np.concatenate([(g.astype(np.uint64) << np.uint64(16)) | np.uint64(r) for r, g in zip(rows, grams, strict=True)])) if rows else (np.zeros(0), None)
-        if not len(key):
+    def pack(base, keys, trust, acc, kind):
+        if not sum(map(len, keys)):
             return
+        joined = np.concatenate(keys)
+        keys.clear()  # a batch is held once
+        key, times = _count(joined)
+        del joined
         gram, who = (key >> np.uint64(16)).astype(np.int64), (key & np.uint64(MOST_DOCS - 1)).astype(np.uint16)
         start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         ends = np.concatenate((start[1:], [len(gram)]))
@@ -106,11 +109,11 @@ def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text
 
     def run(batches):
         ids = row_ids()
-        base, rows, grams, trust, held = next(ids), [], [], [], 0
+        base, keys, trust, held = next(ids), [], [], 0
         acc, waiting = [np.zeros(MOST_DOCS), np.zeros(MOST_DOCS)], []
 
         def close(kind):
-            yield from pack(base, rows, grams, trust, acc, kind)
+            yield from pack(base, keys, trust, acc, kind)
             yield from (head(base, at, own, acc) for at, own in waiting if len(own))
 
         kind = None
@@ -122,22 +125,23 @@ def explode(docs: DataFrame, order: int, keep: Sequence[str] = ("doc_id",), text
                 if held >= batch_bytes or len(trust) == MOST_DOCS:
                     waiting.append((len(trust) - (i - first), heads[first:i]))
                     yield from close(kind)
-                    base, rows, grams, trust, held, first = base + MOST_DOCS, [], [], [], 0, i
+                    base, keys, trust, held, first = base + MOST_DOCS, [], [], 0, i
                     acc, waiting = [np.zeros(MOST_DOCS), np.zeros(MOST_DOCS)], []
                 t, row = t or b"", len(trust)
                 trust.append(bool(ok))
                 for at in range(0, len(t), PIECE):
-                    rows.append(row)
-                    grams.append(windows(t[max(0, at - order + 1) : at + PIECE], order, at == 0))
-                    held += len(grams[-1])
+                    key = windows(t[max(0, at - order + 1) : at + PIECE], order, at == 0).view(np.uint64)
+                    key <<= np.uint64(16)
+                    key |= np.uint64(row)
+                    keys.append(key)
+                    held += len(key)
                     if at + PIECE < len(t):
-                        yield from pack(base, rows, grams, trust, acc, kind)
-                        rows, grams = [], []
+                        yield from pack(base, keys, trust, acc, kind)
             waiting.append((len(trust) - (batch.num_rows - first), heads[first:]))
         if kind is not None:
             yield from close(kind)
 
-    return docs.select(*keep, text, *([trusted] if trusted else [])).mapInArrow(run, schema)
+    return map_texts(docs.select(*keep, text, *([trusted] if trusted else [])), run, schema)
 
 
 #: N-grams whose weights go to every task: a bounded table of 16 bytes a row.

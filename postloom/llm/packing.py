@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postloom.llm.common import balanced, cut, field
+from postloom.llm.common import balanced, cut, field, map_texts
 from postloom.llm.word_encoder import encoder, ids_bytes
 
 
@@ -63,7 +63,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(keep))), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(parts, pa.int32()), pa.array(nth, pa.int64())], schema.names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return map_texts(docs.select(*keep, text), run, schema)
 
 
 def _exact(av: np.ndarray, gap: int) -> tuple[int, ...] | None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postloom.llm.common import attach_groups, cut, field
+from postloom.llm.common import attach_groups, cut, field, map_texts
 from postloom.llm.graph import components
 
 BITS = 64
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             fps = np.fromiter((fingerprint(t, words, seed) for t in batch.column(1).cast(pa.large_binary()).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema.names)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return map_texts(docs.select(doc_id, text), run, schema)
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:

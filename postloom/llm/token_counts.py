@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from postloom.llm.common import balanced, field
+from postloom.llm.common import balanced, field, map_texts
 from postloom.llm.word_encoder import encoder
 
 
@@ -38,4 +38,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
             sizes = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)], names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return map_texts(docs.select(*keep, text), run, schema)
