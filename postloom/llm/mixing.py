@@ -13,8 +13,6 @@ from postloom.llm.common import cut
 
 #: Most membership patterns that the driver plans for; more is an error, never a cut.
 MAX_PATTERNS = 1 << 18
-#: Documents of fitting sizes that close the gap that the cut leaves, one after the other.
-FILLS = 3
 ADDED = ("pattern", "size", "source_size", "target", "copies", "taken")
 
 
@@ -89,38 +87,54 @@ def route(supply: Sequence[int], members: Sequence[Sequence[int]], quota: Sequen
 
 
 def _cumulated(part: DataFrame, key: str) -> DataFrame:
-    """For each pattern the key (at most 1,024 of them) in which the wanted tokens are reached, and what lies before it."""
+    """For each pattern the key (at most 1,024 of them) in which the wanted tokens are exceeded, and what lies before it."""
     w = Window.partitionBy("pattern").orderBy(key)
     sums = part.groupBy("pattern", "want", key).agg(F.sum("size").alias("s"))
-    sums = sums.withColumn("cum", F.sum("s").over(w)).where("cum >= want")
+    sums = sums.withColumn("cum", F.sum("s").over(w)).where("cum > want")
     return sums.groupBy("pattern").agg(F.min(F.struct(key, (F.col("want") - F.col("cum") + F.col("s")).alias("want"))).alias("x")).select("pattern", f"x.{key}", "x.want")
 
 
 def select_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """Which documents get one copy more: per pattern a cut in the seeded order and few documents that close the gap.
-
-    ``sized`` has pattern, u (the seeded order) and size.  The cut is found by two
-    histograms of 1,024 buckets per pattern and an exact order inside one bucket, a
-    millionth of the pattern's documents; a pattern of any size is never sorted.
-    Returns pattern, base, whole, cut_key, fills.
+    """Which documents get one copy more: per pattern those that fit in the seeded order, and one that closes the gap.
+
+    ``sized`` has pattern, u (the seeded order) and size.  A cut takes documents up to
+    the first that overshoots; that one is passed over, and the cut is repeated on
+    the documents behind it that are not larger than the gap, until none is left.
+    The gap then is smaller than every document left, and the one that comes closest
+    is taken if it overshoots by less than the gap.  A cut is
+    found by two histograms of 1,024 buckets per pattern and an exact order inside
+    one bucket, a millionth of the pattern's documents; a pattern of any size is
+    never sorted.  Returns pattern, base, whole, ranges (lo, hi, most: keys between
+    lo and hi, both exclusive and null for none, of at most that size), fill.
     """
-    need = F.broadcast(plan.where("want > 0"))  # at most MAX_PATTERNS rows
-    part = sized.where("size > 0").join(need, "pattern").withColumn("b1", F.shiftrightunsigned("u", 54)).withColumn("b2", F.shiftrightunsigned("u", 44).bitwiseAND(1023))
-    one = _cumulated(part.select("pattern", "want", "b1", "size"), "b1")
-    in_one = part.drop("want").join(F.broadcast(one), ["pattern", "b1"])
-    two = _cumulated(in_one.select("pattern", "want", "b2", "size"), "b2")
-    in_two = in_one.drop("want").join(F.broadcast(two), ["pattern", "b2"]).groupBy("pattern", "want", "b1", "b2", "u").agg(F.sum("size").alias("s"))
-    w = Window.partitionBy("pattern").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     key = F.col("u").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
-    run = in_two.withColumn("key", key).withColumn("cum", F.sum("s").over(w))
-    bucket = run.groupBy("pattern").agg(F.min("key").alias("least"), F.max(F.when(F.col("cum") <= F.col("want"), F.struct("key", "cum"))).alias("last"), F.first("want").alias("want"))
-    state = cut(bucket.select("pattern", F.coalesce("last.key", F.col("least") - 1).alias("cut_key"), (F.col("want") - F.coalesce("last.cum", F.lit(0))).alias("gap"), F.array().cast("array<long>").alias("fills")))
-    part = part.select("pattern", "size", key.alias("key"))
-    for _ in range(FILLS):
-        rest = part.join(F.broadcast(state), "pattern").where("gap > 0 and key > cut_key and abs(size - gap) < gap and not array_contains(fills, key)")
-        near = rest.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "size")).alias("x"))
-        state = cut(state.join(near, "pattern", "left").select("pattern", "cut_key", (F.col("gap") - F.coalesce("x.size", F.lit(0))).alias("gap"), F.when(F.col("x").isNotNull(), F.array_append("fills", F.col("x.key"))).otherwise(F.col("fills")).alias("fills")))
-    return F.broadcast(plan.join(state, "pattern", "left").select("pattern", "base", "whole", "cut_key", "fills"))
+    state = cut(plan.where("want > 0").selectExpr("pattern", "want as gap", "cast(null as long) as lo", "array() :: array<struct<lo: long, hi: long, most: long>> as ranges", "true as open"))  # at most MAX_PATTERNS rows
+    part = sized.where("size > 0").select("pattern", "u", key.alias("key"), "size", F.shiftrightunsigned("u", 54).alias("b1"), F.shiftrightunsigned("u", 44).bitwiseAND(1023).alias("b2"))
+    w = Window.partitionBy("pattern").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    while not state.where("open").isEmpty():  # every round passes over a document and lessens the gap, or ends
+        now = F.broadcast(state.where("open").select("pattern", F.col("gap").alias("want"), "lo"))
+        fit = part.join(now, "pattern").where("size <= want and (lo is null or key > lo)").drop("lo")
+        total = fit.groupBy("pattern").agg(F.sum("size").alias("total"))
+        one = _cumulated(fit.select("pattern", "want", "b1", "size"), "b1")
+        in_one = fit.drop("want").join(F.broadcast(one), ["pattern", "b1"])
+        two = _cumulated(in_one.select("pattern", "want", "b2", "size"), "b2")
+        in_two = in_one.drop("want").join(F.broadcast(two), ["pattern", "b2"]).groupBy("pattern", "want", "key").agg(F.sum("size").alias("s"))
+        run = in_two.withColumn("cum", F.sum("s").over(w))
+        over = run.groupBy("pattern").agg(F.min(F.when(F.col("cum") > F.col("want"), F.struct("key", (F.col("want") - F.col("cum") + F.col("s")).alias("gap")))).alias("x"))
+        step = state.join(total, "pattern", "left").join(over, "pattern", "left")
+        taken = F.array_append("ranges", F.struct("lo", F.col("x.key").alias("hi"), F.col("gap").alias("most")))
+        left = F.coalesce("x.gap", F.col("gap") - F.coalesce("total", F.lit(0)))
+        more = F.col("open") & F.col("x").isNotNull() & (left > 0)
+        state = cut(step.select("pattern", left.alias("gap"), F.coalesce("x.key", "lo").alias("lo"), F.when(F.col("open") & F.col("total").isNotNull(), taken).otherwise(F.col("ranges")).alias("ranges"), more.alias("open")))
+    rest = part.join(F.broadcast(state), "pattern").where("size < 2 * gap").where(~_in_ranges(F.col("key"), F.col("size")))
+    near = rest.groupBy("pattern", "gap", "key").agg(F.sum("size").alias("size")).where("size < 2 * gap")
+    near = near.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "key")).alias("x")).select("pattern", F.col("x.key").alias("fill"))
+    return F.broadcast(plan.join(cut(state.join(near, "pattern", "left").select("pattern", "ranges", "fill")), "pattern", "left").select("pattern", "base", "whole", "ranges", "fill"))
+
+
+def _in_ranges(key: Column, size: Column) -> Column:
+    inside = F.exists("ranges", lambda r: F.coalesce(key > r["lo"], F.lit(True)) & F.coalesce(key < r["hi"], F.lit(True)) & (size <= r["most"]))
+    return F.coalesce(inside, F.lit(False))
 
 
 def mix(docs: DataFrame, members: Column, size: Column, targets, keep: Sequence[str] = ("doc_id",), seed: int = 11, copies: int = 2, prefix: str = "") -> DataFrame:
@@ -161,7 +175,7 @@ def mix(docs: DataFrame, members: Column, size: Column, targets, keep: Sequence[
     table = spark.createDataFrame(plan, T._parse_datatype_string("pattern array<string>, whole long, base int, want long, source_size double, target double"))
     chosen = select_documents(sized, table.select("pattern", "whole", "base", "want"))
     key = F.col("u").bitwiseXOR(F.lit(-(1 << 63)))
-    extra = F.coalesce(key <= F.col("cut_key"), F.lit(False)) | F.coalesce(F.array_contains("fills", key), F.lit(False))
+    extra = _in_ranges(key, F.col("size")) | F.coalesce(key == F.col("fill"), F.lit(False))
     out = full.join(chosen, "pattern").join(F.broadcast(table.select("pattern", "source_size", "target")), "pattern")
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("base") + extra.cast("int")).otherwise(0))
     added = (F.col("pattern"), F.col("size"), F.col("source_size").cast("long"), F.col("target"), F.col("copies"), F.col("size") * F.col("copies"))
