@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is set.
+    Where a session on one machine names none, as in tests, a temporary folder is set;
+    on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="postloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -103,16 +106,15 @@ def balanced(texts: Iterable[bytes | None], batch_bytes: int, piece_bytes: int)
         yield rows, pieces
 
 
-def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 1024, small=None) -> DataFrame:
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 1024) -> DataFrame:
     """Inner join of many ``rows`` to one row per group, safe for groups that hold a large part of all rows.
 
     The ``hot`` largest groups (at most that many rows, so a bounded broadcast) are
     joined where the rows lie; every other group is at most 1/hot of the rows and
-    goes through an ordinary shuffle join.  ``small`` may exclude groups whose key is
-    too wide to broadcast.
+    goes through an ordinary shuffle join.  Keys are numbers or digests, so ``hot`` of
+    them are small; ``groups`` is computed more than once unless it is cut.
     """
-    top = groups.where(F.col(size) > 1)
-    top = (top if small is None else top.where(small)).orderBy(F.desc(size), key).limit(hot)
+    top = groups.where(F.col(size) > 1).orderBy(F.desc(size), key).limit(hot)
     return rows.join(F.broadcast(top), key).unionByName(rows.join(F.broadcast(top.select(key)), key, "left_anti").join(groups, key))
 
 

@@ -102,5 +102,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         listed = recipes.join(ids, "row", "left").withColumn("ids", F.coalesce("ids", F.expr("filter(array(struct(0L as h, 0 as len, cast(null as binary) as sha)), x -> false)")))
     rows = listed.select("doc_id", "row", "ids", "text_sha256", F.size("recipe").alias("n_chunks"))
     groups = rows.groupBy("ids").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
-    joined = attach_groups(rows, groups, "ids", "group_size", small=F.size("ids") <= 64)
+    groups = groups.withColumn("of", F.sha2(F.to_json(F.struct("ids")), 256)).drop("ids")  # 32 bytes for a list of any length
+    rows = rows.withColumn("of", F.sha2(F.to_json(F.struct("ids")), 256)).drop("ids")
+    joined = attach_groups(rows, groups, "of", "group_size")
     return joined.select("doc_id", "row", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", "n_chunks")

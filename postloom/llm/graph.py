@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import cut
+from postloom.llm.common import attach_groups, cut
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -13,16 +13,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Each round is two joins on a node's smallest neighbour; rounds grow with the
     logarithm of the longest path.  Every round is written to the shared folder, so
-    a lost executor costs one round at most.  Null ends and loops are ignored.
+    a lost executor costs one round at most.  Nodes with the most edges are joined where
+    the edges lie.  Null ends and loops are ignored; an empty table gives none.
     """
     pair = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct()
     stars, before = cut(pair), None
     for _ in range(rounds):
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).where("lo < hi").distinct()
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+        large = attach_groups(both, least, "u", "n").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
+        large = cut(large)
+        least = cut(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")))
+        small = attach_groups(large, least, "hi", "n").select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).where("lo < hi").distinct()
         stars = cut(small)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if tuple(now) == before:

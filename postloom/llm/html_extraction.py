@@ -11,117 +11,139 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from postloom.llm.common import field
+from postloom.llm.common import field, map_texts
 
 #: Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-NEVER = frozenset("script style noscript template head title iframe object embed svg math canvas audio video form button select option input textarea label fieldset nav menu footer aside dialog search".split())
+NEVER = frozenset("script style noscript template head title iframe object svg math canvas audio video form button select option textarea label fieldset nav menu footer aside dialog search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold running text; all other blocks are containers.
+TEXT = HEADINGS | frozenset("p li pre dt dd blockquote td th caption figcaption summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar tablist toolbar".split())
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promotions banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended pagination pager skip widget widgets toolbar".split())
-CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"])}
+#: Words of class names and ids that stand for boilerplate, those that do so outside of articles only, and words of layout.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr notice notices newsletter".split())
+NAMES = ADVERTS | frozenset("banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus replies responses alert popup modal overlay subscribe signup login share sharing social related recommended pagination pager skip widget widgets toolbar".split())
+OUTSIDE = frozenset("header topbar".split())
+LAYOUT = frozenset("area article articles bar block body bottom box button buttons buttons card cards column container content count entry footer global group header inner item items js left link links list main outer page panel policy post posts primary right row secondary section site slot stories story text thread top unit wrap wrapper".split())
+CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"])}
 WORD = re.compile("[a-z]+")
+HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
+
+#: How much more a character inside an article or main element weighs.
+BONUS = 3.0
+
+
+def boilerplate_name(name: str, listed: frozenset[str]) -> bool:
+    """A name that has a listed word, and besides only words of layout: comment-list, but not related-work or has-sidebar."""
+    words = WORD.findall(name.lower())
+    return any(w in listed for w in words) and all(w in listed or w in LAYOUT or len(w) == 1 for w in words)
 
 
 class Lines(HTMLParser):
-    """Events to lines: one per block of text outside of boilerplate elements.
+    """Events to lines, one per block of text outside of boilerplate elements.
 
-    A line is (text, tags, link characters, article, parent); article and parent number
-    the outermost article (or else main) element and the enclosing element, 0 for none.
+    A line is (text, tags, link characters, node); nodes are the open blocks as a tree:
+    ``parent``, ``kind`` (tag) and ``named`` (by its class or id boilerplate) by number.
+    Every event takes amortised constant time: open elements are found by tag, and
+    those closed out of order are struck out where they stand.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []
-        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.open: list[tuple[str, bool, int] | None] = []
+        self.where: dict[str, list[int]] = {}
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.skipped = self.serial = 0
-        self.article = self.main = 0
-        self.parent = 0
+        self.tags = self.linked = self.skipped = 0
+        self.parent, self.kind, self.named, self.inside = [0], ["html"], [False], [False]
+        self.node = 0
 
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.lines.append((text, self.tags, self.linked, self.article or -self.main, self.parent))
+                self.lines.append((text, self.tags, self.linked, self.node))
             self.parts = []
         self.tags = self.linked = 0
 
     def drops(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        """Elements that never hold main text, whatever their lines look like."""
         if tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
             return True
-        if tag == "header" or (attrs.get("role") or "") == "heading":
-            return tag == "header" and not (self.article or self.main)
-        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
-            return True
-        if tag in ("html", "body", "main", "article") and tag != "article":
+        if tag == "header":
+            return not self.inside[self.node]
+        return bool(HIDDEN.search(attrs.get("style") or ""))
+
+    def names(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        if tag in ("html", "body", "main", "article"):
             return False
-        return any(w in NAMES for name in ("class", "id") for w in WORD.findall((attrs.get(name) or "").lower()))
+        classes = (attrs.get("class") or "").split()
+        if tag in TEXT:
+            return any(c.lower() in ADVERTS for c in classes)
+        listed = NAMES if self.inside[self.node] else NAMES | OUTSIDE
+        return any(boilerplate_name(n, listed) for n in (*classes, attrs.get("id") or ""))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skipped and tag in VOID:
-            return
         if tag in BLOCK:
-            while self.stack and self.stack[-1][0] in CLOSES and tag in CLOSES[self.stack[-1][0]]:
-                self.pop()
-            if tag in CLOSES["p"] and any(x[0] == "p" for x in self.stack):
+            if self.where.get("p"):
                 self.handle_endtag("p")
+            while self.open and tag in CLOSES.get(self.open[-1][0], ()):
+                self.pop()
             self.flush()
         self.tags += 1
-        if tag == "br":
-            self.parts.append(" ")
         if tag in VOID:
+            if tag == "br" and not self.skipped:
+                self.parts.append(" ")
             return
-        drop = self.drops(tag, dict(attrs))
-        self.serial += 1
-        self.stack.append((tag, drop, self.serial))
+        known = dict(attrs)
+        drop = self.drops(tag, known)
+        self.where.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, drop, self.node))
         self.skipped += drop
-        if not self.skipped:
-            if tag == "article" and not self.article:
-                self.article = self.serial
-            if tag == "main" and not self.main:
-                self.main = self.serial
-        if tag in BLOCK:
-            self.parent = self.stack[-2][2] if len(self.stack) > 1 and tag in ("p", "li", *HEADINGS, "pre", "dt", "dd", "blockquote", "td", "th") else self.serial
+        if tag in BLOCK or (tag == "span" and not self.skipped and self.names("div", known)):
+            if tag not in BLOCK:
+                self.flush()
+            self.parent.append(self.node)
+            self.kind.append(tag)
+            self.named.append(self.names(tag if tag in BLOCK else "div", known))
+            self.inside.append(self.inside[self.node] or tag in ("article", "main"))
+            self.node = len(self.parent) - 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag in ("br", "hr", "img") or tag in VOID:
-            return
         if tag in ("svg", "path", "use", "iframe"):
             self.handle_endtag(tag)
 
-    def pop(self, at: int = -1) -> None:
-        tag, drop, serial = self.stack.pop(at)
-        if tag in BLOCK:
+    def pop(self) -> None:
+        """Close the last open element."""
+        tag, drop, node = self.open.pop()
+        self.where[tag].pop()
+        if node != self.node:
             self.flush()
+            self.node = node
         self.skipped -= drop
-        if serial == self.article:
-            self.article = 0
-        if serial == self.main:
-            self.main = 0
-        if tag in BLOCK:
-            self.parent = next((x[2] for x in reversed(self.stack) if x[0] in BLOCK), 0)
+        while self.open and self.open[-1] is None:
+            self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
-        if at is None:
+        if not self.where.get(tag):
             if tag in BLOCK:
                 self.flush()
             return
-        if tag not in BLOCK and not self.stack[at][1]:
-            self.pop(at)  # an inline end does not close the blocks inside it
+        at = self.where[tag][-1]
+        if tag not in BLOCK and not self.open[at][1] and at < len(self.open) - 1:
+            self.where[tag].pop()  # an inline end does not close the blocks inside it
+            self.open[at] = None
             return
-        while len(self.stack) > at:
+        while len(self.open) > at:
             self.pop()
 
     def handle_data(self, data: str) -> None:
-        if self.skipped:
-            return
-        self.parts.append(data)
-        if any(x[0] == "a" for x in self.stack):
-            self.linked += len(data)
+        if not self.skipped:
+            self.parts.append(data)
+            if self.where.get("a"):
+                self.linked += len(data)
 
     def close(self) -> None:
         super().close()
@@ -149,38 +171,98 @@ def threshold(values: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
-def select(lines: Sequence[tuple[str, int, int, int, int]]) -> list[int]:
-    """The lines of the content regions.
+def subtree(weights: np.ndarray, parent: Sequence[int]) -> np.ndarray:
+    """For each node the weights of all nodes in and below it; a parent's number is smaller than its children's."""
+    out = weights.astype(float).copy()
+    for k in range(len(parent) - 1, 0, -1):
+        out[parent[k]] += out[k]
+    return out
+
+
+def below(parent: Sequence[int], start: Sequence[bool]) -> np.ndarray:
+    """Nodes that are, or lie in, a start."""
+    out = np.array(start, bool)
+    for k in range(1, len(parent)):
+        out[k] |= out[parent[k]]
+    return out
 
-    Lines whose smoothed ratio lies in the upper cluster vote for their region: the
-    article (or main element) around them, or where a page has none, their parent.
-    Regions with such a line that are not mostly links are kept whole, short lines too.
+
+def select(page: Lines, sigma: float = 1.0) -> list[int]:
+    """The numbers of the lines of the content region, in page order.
+
+    Each line's ratio is its characters outside of links by its tags.  Ratios are
+    smoothed over neighbouring lines and split in two clusters; the characters of
+    the upper cluster are the mass of the blocks that hold them, ``BONUS`` times as
+    much in an article or main element.  Blocks whose class or id names boilerplate
+    go, unless they hold the page's article or main element or, where a page has none,
+    most of its characters.  From the whole page the region
+    shrinks to the container inside it that has more than half the mass, down to an
+    article or to where no container has.  An article or main region is kept whole;
+    of any other the lines from the first to the last of the upper cluster and the
+    paragraphs, items and headings that adjoin them, without those that are mostly
+    links.  Headings right before the region belong to it.
     """
-    if not lines:
+    if not page.lines:
+        return []
+    parent, kind = page.parent, page.kind
+    size = np.array([len(t) for t, *_ in page.lines])
+    free = np.maximum(size - np.array([x[2] for x in page.lines]), 0)
+    tags = np.array([max(1, x[1]) for x in page.lines])
+    node = np.array([x[3] for x in page.lines])
+    of_nodes = lambda w: subtree(np.bincount(node, w, len(parent)), parent)
+    chars = of_nodes(free if free.any() else size)
+    marks = subtree(np.array([k in ("article", "main") for k in kind]), parent)
+    holds = marks > 0 if marks[0] else 2 * chars > chars[0]
+    fine = ~below(parent, np.array(page.named) & ~holds)[node]
+    if not fine.any():
         return []
-    ratio = smoothed([len(t) * (1 - min(1.0, link / max(1, len(t)))) / max(1, tags) for t, tags, link, _, _ in lines])
-    high = ratio > threshold(ratio)
-    marked = 1 if any(x[3] > 0 for x in lines) else -1 if any(x[3] < 0 for x in lines) else 0
-    region = [(x[3] if x[3] * marked > 0 else 0) if marked else x[4] for x in lines]
-    chars: dict[int, list[int]] = {}
-    for (text, _, link, _, _), r, h in zip(lines, region, high.tolist(), strict=True):
-        own = chars.setdefault(r, [0, 0, 0])
-        own[0] += len(text)
-        own[1] += link
-        own[2] += len(text) if h else 0
-    if marked:
-        chars.pop(0, None)
-    good = {r for r, (n, link, h) in chars.items() if h and 2 * link < n}
-    if marked and chars and not good:
-        good = {max(chars, key=lambda r: chars[r][0])}
-    return [i for i, r in enumerate(region) if r in good]
+    high = np.zeros(len(size), bool)
+    values = smoothed((free / tags)[fine], sigma)
+    high[fine] = values > threshold(values)
+    marked = np.array(page.inside)
+    mass = of_nodes(np.where(high, free, 0) * np.where(marked[node], BONUS, 1.0))
+    if not mass[0]:
+        mass = of_nodes(np.where(fine, size, 0))
+    children: dict[int, list[int]] = {}
+    for k in range(1, len(parent)):
+        children.setdefault(parent[k], []).append(k)
+    region = 0
+    while kind[region] != "article":
+        best = max(children.get(region, ()), key=lambda k: mass[k], default=None)
+        if best is None or kind[best] in TEXT or 2 * mass[best] <= mass[region] or (kind[region] == "main" and kind[best] != "article" and not any(kind[k] == "article" for k in _chain(best, children, mass))):
+            break
+        region = best
+    inside = below(parent, np.arange(len(parent)) == region)[node] & fine
+    if kind[region] not in ("article", "main"):
+        inside &= 2 * free >= size
+        at = np.flatnonzero(inside & high)
+        if len(at):
+            first, last = int(at[0]), int(at[-1])
+            prose = inside & np.array([k in TEXT for k in kind])[node]
+            while first > 0 and prose[first - 1]:
+                first -= 1
+            while last + 1 < len(size) and prose[last + 1]:
+                last += 1
+            inside[:first] = inside[last + 1 :] = False
+    kept = np.flatnonzero(inside).tolist()
+    while kept and kept[0] > 0 and kind[node[kept[0] - 1]] in HEADINGS and fine[kept[0] - 1]:
+        kept.insert(0, kept[0] - 1)
+    return kept
+
+
+def _chain(start: int, children: dict[int, list[int]], mass: np.ndarray):
+    """The node and, step by step, its heaviest child that has more than half of its mass."""
+    while start is not None:
+        yield start
+        best = max(children.get(start, ()), key=lambda k: mass[k], default=None)
+        start = best if best is not None and 2 * mass[best] > mass[start] else None
 
 
 def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html or "")
     parser.close()
-    return "\n".join(parser.lines[i][0] for i in select(parser.lines))
+    return "\n".join(parser.lines[i][0] for i in select(parser))
 
 
 def extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), html: str = "html") -> DataFrame:
@@ -198,4 +280,4 @@ def extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), html: st
             texts = [main_text(h) for h in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema.names)
 
-    return pages.select(*keep, html).mapInArrow(run, schema)
+    return map_texts(pages.select(*keep, html), run, schema)

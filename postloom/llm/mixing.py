@@ -97,19 +97,22 @@ def _cumulated(part: DataFrame, key: str) -> DataFrame:
 def select_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """Which documents get one copy more: per pattern those that fit in the seeded order, and one that closes the gap.
 
-    ``sized`` has pattern, u (the seeded order) and size.  A cut takes documents up to
-    the first that overshoots; that one is passed over, and the cut is repeated on
-    the documents behind it that are not larger than the gap, until none is left.
+    ``sized`` has pattern, u (the seeded order), size and row (unique).  A cut takes
+    documents up to the first that overshoots; that one is passed over, and the cut is
+    repeated on the documents behind it that are not larger than the gap, until none
+    is left.  Of equal rows at a cut (they share u) as many are taken as fit.
     The gap then is smaller than every document left, and the one that comes closest
     is taken if it overshoots by less than the gap.  A cut is
     found by two histograms of 1,024 buckets per pattern and an exact order inside
     one bucket, a millionth of the pattern's documents; a pattern of any size is
     never sorted.  Returns pattern, base, whole, ranges (lo, hi, most: keys between
-    lo and hi, both exclusive and null for none, of at most that size), fill.
+    lo and hi, both exclusive and null for none, of at most that size), some (key,
+    upto: rows of that key with a number up to that).
     """
     key = F.col("u").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
-    state = cut(plan.where("want > 0").selectExpr("pattern", "want as gap", "cast(null as long) as lo", "array() :: array<struct<lo: long, hi: long, most: long>> as ranges", "true as open"))  # at most MAX_PATTERNS rows
-    part = sized.where("size > 0").select("pattern", "u", key.alias("key"), "size", F.shiftrightunsigned("u", 54).alias("b1"), F.shiftrightunsigned("u", 44).bitwiseAND(1023).alias("b2"))
+    kinds = "array() :: array<struct<lo: long, hi: long, most: long>> as ranges", "array() :: array<struct<key: long, q: long>> as some"
+    state = cut(plan.where("want > 0").selectExpr("pattern", "want as gap", "cast(null as long) as lo", *kinds, "true as open"))  # at most MAX_PATTERNS rows
+    part = sized.where("size > 0").select("pattern", "u", key.alias("key"), "size", "row", F.shiftrightunsigned("u", 54).alias("b1"), F.shiftrightunsigned("u", 44).bitwiseAND(1023).alias("b2"))
     w = Window.partitionBy("pattern").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     while not state.where("open").isEmpty():  # every round passes over a document and lessens the gap, or ends
         now = F.broadcast(state.where("open").select("pattern", F.col("gap").alias("want"), "lo"))
@@ -118,18 +121,40 @@ def select_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
         one = _cumulated(fit.select("pattern", "want", "b1", "size"), "b1")
         in_one = fit.drop("want").join(F.broadcast(one), ["pattern", "b1"])
         two = _cumulated(in_one.select("pattern", "want", "b2", "size"), "b2")
-        in_two = in_one.drop("want").join(F.broadcast(two), ["pattern", "b2"]).groupBy("pattern", "want", "key").agg(F.sum("size").alias("s"))
+        in_two = in_one.drop("want").join(F.broadcast(two), ["pattern", "b2"]).groupBy("pattern", "want", "key").agg(F.sum("size").alias("s"), F.max("size").alias("each"))
         run = in_two.withColumn("cum", F.sum("s").over(w))
-        over = run.groupBy("pattern").agg(F.min(F.when(F.col("cum") > F.col("want"), F.struct("key", (F.col("want") - F.col("cum") + F.col("s")).alias("gap")))).alias("x"))
+        left_over = F.col("want") - F.col("cum") + F.col("s")
+        fits = F.floor(left_over / F.col("each")).cast("long")  # equal keys are equal rows, all of one size
+        over = run.groupBy("pattern").agg(F.min(F.when(F.col("cum") > F.col("want"), F.struct("key", fits.alias("q"), (left_over - fits * F.col("each")).alias("gap")))).alias("x"))
         step = state.join(total, "pattern", "left").join(over, "pattern", "left")
         taken = F.array_append("ranges", F.struct("lo", F.col("x.key").alias("hi"), F.col("gap").alias("most")))
+        some = F.when(F.col("x.q") > 0, F.array_append("some", F.struct("x.key", "x.q"))).otherwise(F.col("some"))
         left = F.coalesce("x.gap", F.col("gap") - F.coalesce("total", F.lit(0)))
         more = F.col("open") & F.col("x").isNotNull() & (left > 0)
-        state = cut(step.select("pattern", left.alias("gap"), F.coalesce("x.key", "lo").alias("lo"), F.when(F.col("open") & F.col("total").isNotNull(), taken).otherwise(F.col("ranges")).alias("ranges"), more.alias("open")))
+        state = cut(step.select("pattern", left.alias("gap"), F.coalesce("x.key", "lo").alias("lo"), F.when(F.col("open") & F.col("total").isNotNull(), taken).otherwise(F.col("ranges")).alias("ranges"), some.alias("some"), more.alias("open")))
     rest = part.join(F.broadcast(state), "pattern").where("size < 2 * gap").where(~_in_ranges(F.col("key"), F.col("size")))
-    near = rest.groupBy("pattern", "gap", "key").agg(F.sum("size").alias("size")).where("size < 2 * gap")
-    near = near.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "key")).alias("x")).select("pattern", F.col("x.key").alias("fill"))
-    return F.broadcast(plan.join(cut(state.join(near, "pattern", "left").select("pattern", "ranges", "fill")), "pattern", "left").select("pattern", "base", "whole", "ranges", "fill"))
+    near = rest.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "key")).alias("x")).select("pattern", F.col("x.key").alias("fill"))
+    of_fill = lambda e: e["key"] == F.col("fill")
+    one_more = F.transform("some", lambda e: F.struct(e["key"].alias("key"), (e["q"] + F.when(of_fill(e), 1).otherwise(0)).alias("q")))
+    asked = F.when(F.col("fill").isNull(), F.col("some")).when(F.exists("some", of_fill), one_more).otherwise(F.array_append("some", F.struct(F.col("fill").alias("key"), F.lit(1).cast("long").alias("q"))))
+    state = cut(state.join(near, "pattern", "left").select("pattern", "ranges", asked.alias("some")))
+    upto = _row_limits(part, state.select("pattern", F.explode("some").alias("e")).select("pattern", "e.key", "e.q"))
+    some = upto.groupBy("pattern").agg(F.collect_list(F.struct("key", "upto")).alias("some"))  # one a cut
+    return F.broadcast(plan.join(cut(state.select("pattern", "ranges").join(some, "pattern", "left")), "pattern", "left").select("pattern", "base", "whole", "ranges", "some"))
+
+
+def _row_limits(part: DataFrame, asked: DataFrame) -> DataFrame:
+    """(pattern, key, upto): the q-th smallest row number of each asked (pattern, key, q), however many rows share it.
+
+    Rows are counted by blocks of their numbers, and only the block of the limit is ordered.
+    """
+    rows = part.select("pattern", "key", "row", F.shiftright("row", 16).alias("block")).join(F.broadcast(asked), ["pattern", "key"])
+    w = Window.partitionBy("pattern", "key").orderBy("block")
+    sums = rows.groupBy("pattern", "key", "q", "block").agg(F.count("*").alias("n")).withColumn("cum", F.sum("n").over(w))
+    at = sums.where("cum >= q").groupBy("pattern", "key").agg(F.min(F.struct("block", (F.col("q") - F.col("cum") + F.col("n")).alias("nth"))).alias("x")).select("pattern", "key", "x.block", "x.nth")
+    inside = rows.drop("q").join(F.broadcast(at), ["pattern", "key", "block"])
+    nth = F.row_number().over(Window.partitionBy("pattern", "key").orderBy("row"))
+    return inside.withColumn("k", nth).where("k = nth").select("pattern", "key", F.col("row").alias("upto"))
 
 
 def _in_ranges(key: Column, size: Column) -> Column:
@@ -149,15 +174,16 @@ def mix(docs: DataFrame, members: Column, size: Column, targets, keep: Sequence[
     documents of several sources, source_size and target are sums over them.
 
     Null members are sources of their own, named by null; documents without sources
-    are not taken.  Documents of size 0 take 0.  Repeated rows tie and are treated
-    alike.  An empty table gives an empty table.  Reruns agree.
+    are not taken.  Documents of size 0 take 0.  Of repeated rows as many get a copy more as
+    are wanted.  An empty table gives an empty table.  Reruns agree.  Names of ``keep`` may
+    be any but the added ones.
     """
     if clash := {prefix + c for c in ADDED} & set(keep):
         raise ValueError(f"columns of keep clash with added ones: {sorted(clash)}")
     named = F.array_sort(F.array_distinct(F.transform(members, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("~")))))
     order = F.xxhash64(F.lit(seed), *(F.col(c) for c in keep), size)
-    full = cut(docs.select(F.struct(*keep).alias("kept"), named.alias("pattern"), size.alias("size"), order.alias("u")))
-    sized = full.select("pattern", "size", "u")
+    full = cut(docs.select(F.struct(*keep).alias("kept"), named.alias("pattern"), size.alias("size"), order.alias("u"), F.monotonically_increasing_id().alias("row")))
+    sized = full.select("pattern", "size", "u", "row")
     rows = sized.groupBy("pattern").agg(F.sum("size").alias("s")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -175,7 +201,7 @@ def mix(docs: DataFrame, members: Column, size: Column, targets, keep: Sequence[
     table = spark.createDataFrame(plan, T._parse_datatype_string("pattern array<string>, whole long, base int, want long, source_size double, target double"))
     chosen = select_documents(sized, table.select("pattern", "whole", "base", "want"))
     key = F.col("u").bitwiseXOR(F.lit(-(1 << 63)))
-    extra = _in_ranges(key, F.col("size")) | F.coalesce(key == F.col("fill"), F.lit(False))
+    extra = _in_ranges(key, F.col("size")) | F.coalesce(F.exists("some", lambda e: (e["key"] == key) & (F.col("row") <= e["upto"])), F.lit(False))
     out = full.join(chosen, "pattern").join(F.broadcast(table.select("pattern", "source_size", "target")), "pattern")
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("base") + extra.cast("int")).otherwise(0))
     added = (F.col("pattern"), F.col("size"), F.col("source_size").cast("long"), F.col("target"), F.col("copies"), F.col("size") * F.col("copies"))

@@ -277,8 +277,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
     labels = cut(components(fingerprint_links(distinct, radius, block, dense)))
     labelled = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", "size", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    groups = labelled.join(least, "label").select("fp", "size", "component_id")
+    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    groups = attach_groups(labelled, least, "label", "members").select("fp", "size", "component_id")
     return attach_groups(marked, groups, "fp", "size").select("doc_id", "fp", "component_id")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -210,6 +211,25 @@ def test_mixing(docs, none):
     assert mixing.resharing([10, 100], [3, 1]) == [20.0, 145.0]
 
 
+@pytest.mark.parametrize("want", [110, 105, 104, 100, 195, 7])
+def test_repeated_rows_are_taken_one_by_one(spark, want):
+    rows = spark.createDataFrame([(1, 10)] * 10, "doc_id long, size long").repartition(3)
+    got = mixing.mix(rows, F.array(F.lit("s")), F.col("size"), lambda names, sizes: [want]).collect()
+    assert abs(sum(r["taken"] for r in got) - want) <= 5 and all(r["taken"] in (0, 10, 20) for r in got)
+
+
+def test_repeated_rows_among_others(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice([5, 50, 700])) for i in range(60)] + [(1000, 40)] * 30 + [(1001, 3000)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, size long").repartition(4)
+    total = sum(n for _, n in rows)
+    for want in (total // 3, total // 2 + 17, int(1.6 * total)):
+        runs = [sorted((r["doc_id"], r["taken"], r["size"]) for r in mixing.mix(d, F.array(F.lit("s")), F.col("size"), lambda names, sizes, want=want: [want]).collect()) for d in (docs, docs.repartition(2))]
+        left = [n for _, t, n in runs[0] if t // n == want // total]
+        assert runs[0] == runs[1] and abs(sum(t for _, t, _ in runs[0]) - want) <= min(left) / 2
+    assert mixing.mix(docs.limit(0), F.array(F.lit("s")), F.col("size"), lambda names, sizes: []).count() == 0
+
+
 def test_routing_reroutes_before_it_repeats():
     # the first pattern can serve both sources, the second only the first
     flow = mixing.route([10, 10], [[0, 1], [0]], [10, 10], 2)
@@ -324,6 +344,45 @@ def test_html_without_article():
     assert got[0] == "Heading of it" and got[-1] == "End." and len(got) == 6
 
 
+def test_ratio_alone_separates_text():
+    menu = "<div>" + "".join(f"<div><a href=/{i}>Section {i}</a></div>" for i in range(12)) + "</div>"
+    body = "<div><h1>Heading of it</h1>" + "".join(f"<p>{'A sentence of the text goes here. ' * 6}</p><p>Short one.</p>" for _ in range(3)) + "</div>"
+    small = "<div><div>Imprint</div><div>Contact</div><div>About us</div></div>"
+    got = html_extraction.main_text(f"<html><body>{menu}{body}{small}{menu}</body></html>").split("\n")
+    assert got[0] == "Heading of it" and len(got) == 7 and not any("Section" in x or "Imprint" in x for x in got)
+
+
+def test_teaser_article_does_not_hide_the_body():
+    body = "".join(f"<p>{'The long text of the page is here. ' * 8}</p>" for _ in range(4))
+    got = html_extraction.main_text(f"<body><article><h3>Teaser</h3><p>Read on.</p></article><h1>Title</h1><div>{body}</div></body>")
+    assert got.startswith("Title\nThe long") and "Teaser" not in got
+
+
+def test_names_inside_an_article_lose_nothing():
+    page = "<div class='has-sidebar'><article><h1>T</h1><h2 id='related-work'>Related</h2><p id='social-comments'>Body.</p><div id='related-work'><p>Kept.</p></div><div class='comment-list'><p>A reader.</p></div><p class='ad'>Buy.</p></article></div>"
+    assert html_extraction.main_text(page) == "T\nRelated\nBody.\nKept."
+
+
+def test_smoothing_and_clusters_by_definition():
+    rng = random.Random(3)
+    x = [rng.random() * (20 if rng.random() < 0.4 else 1) for _ in range(40)]
+    weight = [math.exp(-0.5 * k * k) for k in range(-3, 4)]
+    at = lambda i: x[min(max(i, 0), len(x) - 1)]
+    slow = [sum(w * at(i + k) for k, w in zip(range(-3, 4), weight, strict=True)) / sum(weight) for i in range(len(x))]
+    assert html_extraction.smoothed(x) == pytest.approx(slow)
+    cut = html_extraction.threshold(np.array(slow))
+    lo, hi = [v for v in slow if v <= cut], [v for v in slow if v > cut]
+    assert cut == pytest.approx((sum(lo) / len(lo) + sum(hi) / len(hi)) / 2)
+    assert html_extraction.threshold(np.array([3.0, 4.0, 5.0])) < 0
+
+
+@pytest.mark.parametrize("page", ["<article><p>" + "<b>x " * 200_000, "<article>" + "<div>x " * 100_000, "<b>" * 100_000 + "<article>" + "<i>x</i><p>y</b> " * 100_000])
+def test_open_elements_take_linear_time(page):
+    began = time.perf_counter()
+    assert len(html_extraction.main_text(page)) > 100_000
+    assert time.perf_counter() - began < 20
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, "u", "", 1), (3, None, "<p>x", 1), (None, "u", "plain", 1), (3, None, "<p>x", 1), (5, "u", "<b>" * 3000 + "deep", 1)], "page_id long, url string, html string, n_chars long")
     got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_extraction.extract(pages).collect())
@@ -354,16 +413,78 @@ def test_chat(spark):
     assert chat.format_chats(msgs.limit(0)).count() == 0
 
 
+
+
+def slow_chat(rows):
+    """(conv, turn) to reply_to, thread, depth and a valid order, by definition."""
+    said, parsed = {}, []
+    for c, t, _, text in rows:
+        own, quotes = chat.split_quotes(text)
+        parsed.append((c, t, own, quotes))
+        for x in chat.spans(own):
+            said.setdefault((c, x), []).append(t)
+    out = {}
+    for c, t, _, quotes in parsed:
+        votes = defaultdict(int)
+        for level, p in quotes:
+            for x in chat.spans(p):
+                if before := [u for u in said.get((c, x), ()) if u < t]:
+                    votes[(level, max(before))] += len(x)
+        best = min(votes, key=lambda v: (v[0], -votes[v], -v[1]), default=None)
+        out[(c, t)] = best and best[1]
+    full = {}
+    for c, t in out:
+        chain = [t]
+        while out[(c, chain[-1])] is not None:
+            chain.append(out[(c, chain[-1])])
+        full[(c, t)] = (out[(c, t)], chain[-1], len(chain) - 1)
+    return full
+
+
+def test_chat_against_brute_force(spark):
+    rng, rows = random.Random(5), []
+    for c in (1, 2, None):
+        texts = []
+        for t in range(60 if c is None else 25):
+            own = f"{rng.choice(['thanks', 'I see', 'why not'])}\n\nnumber {rng.randint(0, 12)} of {c}" if t % 5 else "thanks"
+            quoted = [rng.choice(texts) for _ in range(rng.randint(0, 2))] if texts else []
+            body = "".join("".join(f"{'>' * k} {line}\n" for line in q.split("\n")) for k, q in enumerate(quoted, 1))
+            texts.append(own)
+            rows.append((c, t * 3, "user", body + own if t % 7 else None))
+    msgs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.format_chats(msgs).collect()
+    want = slow_chat(rows)
+    assert {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"], r["depth"]) for r in got} == want
+    for c in (1, 2, None):
+        own = sorted((r for r in got if r["conv_id"] == c), key=lambda r: r["position"])
+        assert [r["position"] for r in own] == list(range(len(own)))
+        seen = set()
+        for r in own:
+            assert r["reply_to"] is None or r["reply_to"] in seen
+            seen.add(r["turn"])
+        assert [r["thread"] for r in own] == sorted(r["thread"] for r in own)
+
+
+def test_chat_links_over_blocks_of_turns(spark):
+    rows = [(1, 0, "u", "hello there"), (1, 100, "u", "other"), (1, 900, "u", "> hello there\nyes"), (1, 901, "u", "hello there"), (1, 902, "u", "> hello there\nno"), (1, 903, "u", "> " + "x" * 300_000 + "\n> yes\nend")]
+    parsed = chat.cut(chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), ("conv_id", "turn"), "text"))
+    turns = {r["row"]: r["turn"] for r in parsed.collect()}
+    for block in (1, 7, 4096):
+        links = {turns[r["row"]]: r["reply_to"] for r in chat.link_quotes(parsed, "conv_id", "turn", block).collect()}
+        assert links == {900: 0, 902: 901, 903: 900}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 24))
     x[100:700] = x[99]  # one very common vector
     rows = [(i, v.tolist(), 1.0) for i, v in enumerate(x)]
-    rows += [(2000, None, 1.0), (2002, [0.0] * 24, 1.0), (2004, [float("nan")] * 24, 1.0), (2006, [None, *[1.0] * 23], 1.0), (None, [1.0] * 24, 1.0), (2008, [1.0], 1.0)]
+    rows += [(2000, None, 1.0), (2002, [0.0] * 24, 1.0), (2004, [float("nan")] * 24, 1.0), (2006, [None, *[1.0] * 23], 1.0), (None, [1.0] * 24, 1.0), (2008, [1.0], 1.0), (2050, [1.0, 2.0], 1.0), (2051, [2.0, 4.5], 1.0), (2052, [-1.0, 0.0], 1.0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double")
     got = defaultdict(list)
     for r in sorted(nearest.search(table, every=50, vector_block=400, query_block=10, rerank=64).collect(), key=lambda r: r["rank"]):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert [v for v, _ in got.pop(2050)] == [2051, 2052]  # lengths of few rows are compared among themselves
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
     assert sorted(got) == list(range(0, 1500, 50))
@@ -374,4 +495,5 @@ def test_nearest(spark):
         hits += len({v for v, _ in got[q]} & set(best))
         assert all(c == pytest.approx(s[v]) for v, c in got[q])
     assert hits >= 0.97 * 5 * len(got)
+    assert [v for v, _ in got[100]] == [99, 101, 102, 103, 104]  # ties of the common vector go to the smallest ids
     assert nearest.search(table.limit(0), every=50).count() == 0
