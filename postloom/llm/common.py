@@ -118,12 +118,19 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot:
     return rows.join(F.broadcast(top), key).unionByName(rows.join(F.broadcast(top.select(key)), key, "left_anti").join(groups, key))
 
 
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, a table that is cheap to read again, marked for broadcast if they are counted to be at most ``most``."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def without(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 1 << 20) -> DataFrame:
     """``docs`` but for the rows whose (doc_id, XXH64 of the text) are in ``dropped`` (doc_id, h), a table that is cheap to read again.
 
     Up to ``most`` dropped rows (of 16 bytes and an id) are counted and sent to the
-    documents, which then do not move; more are joined by a shuffle.
+    documents, which then do not move; more are joined by a shuffle.  Columns of any
+    names are kept as they are; null ids and texts are equal to null.
     """
-    gone = dropped.select(F.col(doc_id).alias("gone_id"), F.col("h").alias("gone_h"))
-    gone = F.broadcast(gone) if gone.limit(most + 1).count() <= most else gone
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_h")), "left_anti")
+    gone = bounded(dropped.select(F.col(doc_id).alias("gone_id"), F.col("h").alias("gone_h")), most)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"))
+    left = rows.join(gone, F.col(f"kept.`{doc_id}`").eqNullSafe(F.col("gone_id")) & (F.xxhash64(f"kept.`{text}`") == F.col("gone_h")), "left_anti")
+    return left.select(*(F.col(f"kept.`{c}`").alias(c) for c in docs.columns))

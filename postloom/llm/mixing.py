@@ -181,8 +181,8 @@ def mix(docs: DataFrame, members: Column, size: Column, targets, keep: Sequence[
     if clash := {prefix + c for c in ADDED} & set(keep):
         raise ValueError(f"columns of keep clash with added ones: {sorted(clash)}")
     named = F.array_sort(F.array_distinct(F.transform(members, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("~")))))
-    order = F.xxhash64(F.lit(seed), *(F.col(c) for c in keep), size)
-    full = cut(docs.select(F.struct(*keep).alias("kept"), named.alias("pattern"), size.alias("size"), order.alias("u"), F.monotonically_increasing_id().alias("row")))
+    order = F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in keep), size)
+    full = cut(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"), named.alias("pattern"), size.alias("size"), order.alias("u"), F.monotonically_increasing_id().alias("row")))
     sized = full.select("pattern", "size", "u", "row")
     rows = sized.groupBy("pattern").agg(F.sum("size").alias("s")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:

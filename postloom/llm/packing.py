@@ -47,8 +47,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc
                 buffer = buffer[at:] if not last else bytearray()
                 done = 0 if last else done
 
-            for rows, pieces in balanced(texts, batch_bytes, piece_bytes):
-                words = [p.split() for p in pieces]
+            for rows, pieces in balanced(texts, batch_bytes, words_of.piece_bytes(piece_bytes)):
+                words = [words_of.units(p) for p in pieces]
                 ids_of = words_of.table(set().union(*words)).__getitem__
                 for row, w in zip(rows, words, strict=True):
                     while open_row < row:

@@ -15,8 +15,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
     """Count each text's tokens: the ``keep`` columns, n_bytes, n_tokens, over_limit.
 
     Texts are dealt into batches balanced by bytes; a text longer than
-    ``piece_bytes`` is cut at white space, which no token crosses, and its counts are
-    added up.  Each batch's words are encoded together; ids never leave the function.
+    ``piece_bytes`` is cut at white space where no token of the tokenizer crosses that
+    (else it stays whole), and its counts are added up.  ``tokenizer`` is a .json file of
+    tokenizers or a .model file of sentencepiece.  Each batch's words are encoded together; ids never leave the function.
 
     Null and empty texts have no bytes and no tokens.  Repeated rows each give a row.
     Columns not in ``keep`` are not read, so clashing names do no harm.  An empty table
@@ -30,8 +31,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
         for batch in batches:
             texts = batch.column(len(keep)).cast(pa.large_binary()).to_pylist()
             tokens = np.zeros(len(texts), np.int64)
-            for rows, pieces in balanced(texts, batch_bytes, piece_bytes):
-                words = [p.split() for p in pieces]
+            for rows, pieces in balanced(texts, batch_bytes, words_of.piece_bytes(piece_bytes)):
+                words = [words_of.units(p) for p in pieces]
                 size = words_of.table(set().union(*words)).__getitem__
                 for row, w in zip(rows, words, strict=True):
                     tokens[row] += sum(map(size, w))

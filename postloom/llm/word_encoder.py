@@ -1,7 +1,8 @@
 """Token ids of white-space separated words, remembered between batches of a Python worker.
 
-The tokenizer drops white space and no token crosses it, so the ids of a text are
-the ids of its words in order.  Distinct words are therefore encoded once per
+A tokenizer of the form ``BY_WORDS`` drops white space and no token crosses it, so the
+ids of a text are the ids of its words in order.  Any other tokenizer gets whole
+texts, uncut.  Distinct words are therefore encoded once per
 worker, in batches, by the ``tokenizers`` library.  Words of ASCII and Latin-1
 letters are already in normal form; for them the library's BPE model is called on
 the pieces that its pattern gives.  All other words go through the whole tokenizer.
@@ -9,6 +10,7 @@ the pieces that its pattern gives.  All other words go through the whole tokeniz
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -16,6 +18,11 @@ from collections.abc import Callable, Iterable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: The normaliser and splitter of the tokenizer whose words can be encoded one by one, as its file states them.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
@@ -36,17 +43,41 @@ class WordEncoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        self.form, self.by_words = form, False
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            piece = SentencePieceProcessor(model_file=path)
+            self.whole = lambda texts: piece.encode(texts, num_threads=1)
+            return
         self.full = Tokenizer.from_file(path)
+        self.full.no_truncation()
+        self.full.no_padding()
+        self.whole = lambda texts: [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as file:
+            stated = json.load(file)
+        self.by_words = all(stated.get(k) == v for k, v in BY_WORDS.items())
         self.model = self.full.model
         self.bare = Tokenizer(self.model)
         self.bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.form, self.max_words, self.batch = form, max_words, batch
+        self.max_words, self.batch = max_words, batch
         self.known: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}
         self.pieces: dict[bytes, object] = {}
 
+    def units(self, text: bytes) -> list[bytes]:
+        """What is encoded on its own: words, or the text."""
+        return text.split() if self.by_words else [text]
+
+    def piece_bytes(self, size: int) -> int:
+        """``size`` where texts may be cut at white space, else more than any text has."""
+        return size if self.by_words else 1 << 62
+
     def table(self, words: set[bytes]) -> dict[bytes, object]:
-        """A mapping that has at least ``words``."""
+        """A mapping that has at least ``words``, units of texts."""
+        if not self.by_words:
+            texts = list(words)
+            return dict(zip(texts, map(self.form, self.whole([t.decode() for t in texts])), strict=True))
         new = words - self.known.keys()
         if len(self.known) + len(new) > self.max_words and self.known:
             self.known, self.old, new = {}, self.known, words

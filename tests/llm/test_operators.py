@@ -56,6 +56,20 @@ def test_token_counts(docs, none):
     assert count_tokens(none, tokenizer_file()).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts_of_other_tokenizers(docs, name):
+    path = tokenizer_file(name)
+    if name.endswith(".model"):
+        from sentencepiece import SentencePieceProcessor
+
+        size = lambda t, m=SentencePieceProcessor(model_file=path): len(m.encode(t))
+    else:
+        size = lambda t, m=Tokenizer.from_file(path): len(m.encode(t, add_special_tokens=False).ids)
+    few = docs.where("doc_id < 20 or doc_id > 50 or doc_id is null")
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in count_tokens(few, path, piece_bytes=700, batch_bytes=3000).collect())
+    assert got == Counter((i, size(t or "")) for i, t in rows_of(few))
+
+
 def test_packing_round_trip(docs, none):
     tok = Tokenizer.from_file(tokenizer_file())
     got = packing.pack(docs, tokenizer_file(), capacity=64).collect()
