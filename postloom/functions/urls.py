@@ -29,10 +29,17 @@ DISCOVERY_MARKS = [("linkedin", "LinkedIn"), ("indeed", "Indeed"), ("glassdoor",
 DISCOVERY_KEYS = ["utm_source", "source", "src", "ref", "referrer", "lever-source", "__jvsd", "__jvst"]
 OTHER_LABELS = ["N/A", "Company Website", "Referral", "Other", "Oracle Recruiting", "Taleo", "TAL", "Eploy", "Eightfold", "SAP SuccessFactors"]
 
+# Where a link begins and what it cannot hold.
 URL = r"""(?i)https?://(?:(?!https?://)[^\s<>"'\[\]])+"""
 SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
+def lookup(names: dict[str, object]) -> Column:
+    """A constant map, built in one step."""
+    quoted = lambda x: str(x) if isinstance(x, int) else "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in names.items()) + ")")
+
+
 def first_of(cases: list[tuple[Column, Column | str]], otherwise: Column | str) -> Column:
     """The value of the first true condition."""
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
@@ -76,17 +83,26 @@ def within(h: Column, domain: str) -> Column:
 
 def url_key(c: Column) -> Column:
     """A link's identity: host without www, path, the query keys that matter in order; LinkedIn and Indeed by posting id."""
-    u = clean_url(c)
-    h, p = bare_host(u), F.rtrim(path(u), F.lit("/"))
-    p = F.when(p == "", "/").otherwise(p)
-    scheme, port = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.regexp_extract(authority(u), r":(\d+)$", 1)
+    parts = lambda u: F.struct(u.alias("u"), bare_host(u).alias("h"), F.rtrim(F.regexp_replace(path(u), ";[^/]*$", ""), F.lit("/")).alias("p"), _kept(u).alias("kept"))
+    return F.element_at(F.transform(F.transform(F.array(clean_url(c)), parts), _key), 1)
+
+
+def _kept(u: Column) -> Column:
+    """The query's pairs that identify a posting, in order of their keys and values."""
     kept = F.filter(query_pairs(u), lambda x: ~F.lower(x["k"]).isin(TRACKING) & ~F.lower(x["k"]).startswith("utm_"))
-    kept = F.array_sort(F.transform(kept, lambda x: F.struct(F.lower(x["k"]).alias("low"), x["v"].alias("v"), x["k"].alias("k"))))
-    quote = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
-    q = F.array_join(F.transform(kept, lambda x: F.concat(quote(x["k"]), F.lit("="), quote(x["v"]))), "&")
-    linked = F.regexp_extract(p, r"(?i)/jobs/view/(?:.*-)?(\d{7,})(?:/|$)", 1)
-    jk = F.element_at(F.filter(kept, lambda x: (x["low"] == "jk") & (x["v"] != "")), 1)["v"]
-    plain = F.concat(h, F.when((port != "") & (port != F.when(scheme == "https", "443").otherwise("80")), F.concat(F.lit(":"), port)).otherwise(""), p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.array_sort(F.transform(kept, lambda x: F.struct(F.lower(x["k"]).alias("low"), x["v"].alias("v"), x["k"].alias("k"))))
+
+
+def _key(x: Column) -> Column:
+    u, h, kept = x["u"], x["h"], x["kept"]
+    p = F.when(x["p"] == "", "/").otherwise(x["p"])
+    scheme, port = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.regexp_extract(authority(u), r":(\d+)$", 1)
+    quote = lambda t: F.replace(F.replace(F.url_encode(t), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    q = F.array_join(F.transform(kept, lambda y: F.concat(quote(y["k"]), F.lit("="), quote(y["v"]))), "&")
+    linked = F.regexp_extract(p, r"(?i)/jobs/view/(?:[^/]*-)?([0-9]{7,})(?:/|$)", 1)
+    jk = F.try_element_at(F.filter(kept, lambda y: (y["low"] == "jk") & (y["v"] != "")), F.lit(1))["v"]
+    own_port = F.when((port != "") & (port != F.when(scheme == "https", "443").otherwise("80")), F.concat(F.lit(":"), port)).otherwise("")
+    plain = F.concat(h, own_port, p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
     return first_of(
         [
             (host(u) == "", F.lower(F.rtrim(u, F.lit("/")))),
@@ -99,17 +115,26 @@ def url_key(c: Column) -> Column:
 
 def url_problem(c: Column) -> Column:
     """Why a link is not accepted; null if it is.  Names are not resolved."""
-    u = clean_url(c)
-    h = host(u)
+    return F.element_at(F.transform(F.array(clean_url(c)), _problem), 1)
+
+
+def _problem(u: Column) -> Column:
+    six = F.lower(F.regexp_extract(authority(u), r"^(?:.*@)?\[([0-9A-Fa-f:.]+)\]", 1))
+    h = F.when(six != "", six).otherwise(host(u))
+    port = F.regexp_extract(authority(u), r"^(?:.*@)?+(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
+    bad_port = (port != "") & ~(port.rlike(r"^\d{1,5}$") & (port.try_cast("int") <= 65535))
+    # loopback, unspecified, mapped and private IPv4, link-local, unique local, multicast, documentation, discard
+    hidden = (six != "") & (six.rlike(r"^(?:0{0,4}:)*:?(?:0{0,4}:)*0{0,3}[01]?$|^(?:0{0,4}:)*:?ffff:|^fe[89a-f]|^f[cdf]|^2001:0?db8:|^2001:0{0,4}:|^100:{1,2}"))
     octet = lambda k: F.regexp_extract(h, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).try_cast("int")
     a, b, c3 = octet(1), octet(2), octet(3)
     private = a.isNotNull() & (a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | ((a == 192) & (b == 0) & c3.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c3 == 100)) | ((a == 203) & (b == 0) & (c3 == 113)))
     return first_of(
         [
             (F.length(u) > 4096, "The job link is too long."),
+            (bad_port | (authority(u).contains("[") & (six == "")), "Add a complete job link."),
             (~F.lower(F.regexp_extract(u, "^([A-Za-z]+)://", 1)).isin("http", "https") | (h == ""), "The link must start with http:// or https://."),
             (authority(u).contains("@"), "Links containing usernames or passwords are not supported."),
-            (h.isin(BLOCKED_HOSTS) | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal") | F.coalesce(private, F.lit(False)), "Local and private network links are not allowed."),
+            (h.isin(BLOCKED_HOSTS) | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal") | F.coalesce(private | hidden, F.lit(False)), "Local and private network links are not allowed."),
         ],
         F.lit(None).cast("string"),
     )
@@ -132,9 +157,9 @@ def is_search_page(c: Column) -> Column:
 
 
 def _by_platform(u: Column, place: int) -> Column:
-    h = bare_host(u)
     none = "company_website" if place == 1 else "Company Website"
-    return first_of([(reduce(lambda a, b: a | b, (h.contains(x) for x in OWN_HOSTS)), none), *((h.contains(p[0]), p[place]) for p in PLATFORMS)], none)
+    pick = lambda h: first_of([(reduce(lambda a, b: a | b, (within(h, x) for x in OWN_HOSTS)), none), *((h.contains(p[0]), p[place]) for p in PLATFORMS)], none)
+    return F.element_at(F.transform(F.array(bare_host(u)), pick), 1)
 
 
 def platform(u: Column) -> Column:
@@ -146,15 +171,18 @@ def source_label(c: Column) -> Column:
     t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
     known = {x.lower(): x for x in [*DISCOVERY, *OTHER_LABELS, *(p[2] for p in PLATFORMS)]}
     low = F.lower(t)
-    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    names = lookup(known)
     return first_of([(low.isin("", "auto", "auto from link"), ""), (low.isin("n/a", "na", "none", "null"), "N/A")], F.coalesce(F.try_element_at(names, low), F.substring(t, 1, 80)))
 
 
 def application_portal(u: Column, legacy: Column | None = None) -> Column:
-    h = bare_host(u)
     old = source_label(legacy) if legacy is not None else F.lit("")
-    board = _by_platform(u, 2)
-    return first_of([(h == "", F.when(old.isin("", "N/A"), "Company Website").otherwise(old)), (board != "Company Website", board), *((within(h, d), name) for d, name in PORTALS)], "Company Website")
+
+    def portal(x):
+        h, board, before = x["h"], x["board"], x["old"]
+        return first_of([(h == "", F.when(before.isin("", "N/A"), "Company Website").otherwise(before)), (board != "Company Website", board), *((within(h, d), name) for d, name in PORTALS)], "Company Website")
+
+    return F.element_at(F.transform(F.array(F.struct(bare_host(u).alias("h"), _by_platform(u, 2).alias("board"), old.alias("old"))), portal), 1)
 
 
 def found_on(u: Column, selected: Column | None = None, legacy: Column | None = None) -> Column:
@@ -163,6 +191,12 @@ def found_on(u: Column, selected: Column | None = None, legacy: Column | None =
     named = F.transform(values, lambda v: first_of([*((v.contains(m), label) for m, label in DISCOVERY_MARKS), (v.isin("careersite", "career site", "company website"), "Company Website")], F.lit(None).cast("string")))
     chosen = source_label(selected) if selected is not None else F.lit("")
     old = source_label(legacy) if legacy is not None else F.lit("")
-    portal = application_portal(u, legacy)
     hit = F.try_element_at(F.filter(named, lambda x: x.isNotNull()), F.lit(1))
-    return first_of([(chosen != "", chosen), (hit.isNotNull(), hit), (old.isin(DISCOVERY), old), (portal.isin(DISCOVERY), portal)], "N/A")
+    known = F.struct(chosen.alias("chosen"), hit.alias("hit"), old.alias("old"), application_portal(u, legacy).alias("portal"))
+    pick = lambda x: first_of([(x["chosen"] != "", x["chosen"]), (x["hit"].isNotNull(), x["hit"]), (x["old"].isin(DISCOVERY), x["old"]), (x["portal"].isin(DISCOVERY), x["portal"])], "N/A")
+    return F.element_at(F.transform(F.array(known), pick), 1)
+
+
+def link_key(c: Column) -> Column:
+    """A tracker's identity of a link: trimmed, without closing slashes, case folded."""
+    return F.lower(F.rtrim(F.trim(F.coalesce(c, F.lit(""))), F.lit("/")))

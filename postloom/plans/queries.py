@@ -9,6 +9,7 @@ from postloom.functions import quality as q
 from postloom.functions import urls as u
 from postloom.functions.salary import convert_salary, parse_salary
 from postloom.operators import batches, history, tracker
+from postloom.plans import more
 
 #: Posting records derived from the star schema; the same text runs on both engines.
 POSTINGS = """
@@ -73,11 +74,12 @@ def work_type_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = postings(spark, sf_dir).withColumn("identity_key", history.identity(F.col("job_link")))
-    keep = rows.select("id", "identity_key", "company", "job_title")
-    old = history.latest(keep.where("id <= 300").withColumn("seq", F.col("id")), "identity_key", "seq").select("identity_key", "id", F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"), "company", "job_title")
-    new = keep.where("id > 300").select("identity_key", "company", "job_title", F.lit(2).alias("updated_at"), F.col("id").alias("seq"))
-    return history.upsert(old, new).select("identity_key", "id", "created_at", "updated_at", "company", "job_title")
+    """All customers' postings as the history, and postings of all orders as the batch, some under tracking variants of the same links."""
+    c, link = F.col, "concat('https://www.acme.com/jobs/', {0}, CASE WHEN {1} % 2 = 0 THEN '?utm_source=x' ELSE '/' END)"
+    old = _table(spark, sf_dir, "customer").select(F.expr(link.format("c_custkey", "c_custkey")).alias("link"), c("c_custkey").alias("id"), F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"), c("c_name").alias("company"))
+    new = _table(spark, sf_dir, "orders").select(F.expr(link.format("o_custkey * 2", "o_orderkey")).alias("link"), F.when(c("o_orderkey") % 3 != 0, 2).alias("updated_at"), c("o_orderpriority").alias("company"), c("o_orderkey").alias("seq"))
+    keyed = lambda df: df.withColumn("identity_key", history.identity(c("link"))).drop("link")
+    return history.upsert(keyed(old), keyed(new)).select("identity_key", "id", "created_at", "updated_at", "company")
 
 
 def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +89,11 @@ def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracker_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = postings(spark, sf_dir)
-    old = rows.where("id <= 200").select("job_link", "company", "id")
-    new = rows.where("id > 200").select("job_link", "company", "id", F.col("id").alias("seq"))
-    return tracker.append(old, new).select("id", "company", "job_link")
+    """All customers' links as the tracker, all orders' as jobs: known ones are skipped, of equal ones the first is added."""
+    old = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row"), F.expr("concat('https://Acme.com/', c_custkey, '/') AS `Job link`"), F.col("c_name").alias("Company"))
+    new = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.expr("concat('https://acme.com/', o_custkey * 2, '?a=', o_orderkey % 2) AS `Job link`").alias("Job link"), F.col("o_orderpriority").alias("Company"))
+    new = new.withColumn("Job link", F.regexp_replace("Job link", "[?]a=0$", ""))
+    return tracker.append(old, new).select("row", F.col("Job link").alias("link"), F.col("Company").alias("company"), "change")
 
 
 def rejected_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +103,7 @@ def rejected_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").select("s_suppkey", u.url_problem(link).alias("problem"))
 
 
-QUERIES = {f.__name__: f for f in (url_identity, url_admission, source_tracking, posting_quality, issue_counts, salary_conversion, work_type_default, history_upsert, history_search, tracker_append, rejected_links)}
+QUERIES = {f.__name__: f for f in (url_identity, url_admission, source_tracking, posting_quality, issue_counts, salary_conversion, work_type_default, history_upsert, history_search, tracker_append, rejected_links)} | more.QUERIES
 
 _P = "WITH p AS (" + POSTINGS.format(customer="customer", nation="nation") + ")"
 _KEY = """{h} || CASE WHEN {p} = '' THEN '/' ELSE {p} END || CASE WHEN len({k}) > 0 THEN '?' || array_to_string({k}, '&') ELSE '' END"""
@@ -129,6 +132,7 @@ _ISSUES = _P + """, i AS (SELECT *, CASE WHEN job_link LIKE '%monster.com%' THEN
   s AS (SELECT i.*, CAST(greatest(0, 95 - CASE reliability WHEN 'Limited' THEN 18 WHEN 'Okay' THEN 8 ELSE 0 END - coalesce(lost, 0)) AS INTEGER) AS confidence_score FROM i LEFT JOIN d USING (id))"""
 
 ORACLE_SQL = {
+    **more.ORACLE_SQL,
     "url_identity": _PAGES + " SELECT page_id, url_key, h AS host FROM w",
     "url_admission": _PAGES + " SELECT url_key AS key, arg_min(link, page_id) AS link, min(page_id) AS place, count(*) AS times FROM w GROUP BY url_key",
     "source_tracking": _P + f""" SELECT id, CASE WHEN {_HOST} = 'linkedin.com' THEN 'linkedin' WHEN {_HOST} LIKE '%greenhouse.io' THEN 'greenhouse' WHEN {_HOST} = 'monster.com' THEN 'monster' WHEN {_HOST} LIKE '%myworkdayjobs.com' THEN 'workday' ELSE 'company_website' END AS platform,
@@ -148,11 +152,17 @@ ORACLE_SQL = {
         CASE WHEN r >= 3 THEN salary ELSE CASE WHEN r = 1 THEN '' ELSE '~' END || '$' || format('{:,}', CAST(x40 AS BIGINT)) || CASE WHEN two THEN ' - $' || format('{:,}', CAST(y40 AS BIGINT)) ELSE '' END || '/year' END AS yearly,
         CASE WHEN r >= 3 THEN salary ELSE CASE WHEN r = 0 THEN '' ELSE '~' END || '$' || s20 || CASE WHEN two THEN ' - $' || t20 ELSE '' END || '/hour' END AS hourly FROM n""",
     "work_type_default": _P + " SELECT id, CASE WHEN work_type <> '' THEN work_type WHEN error <> '' OR company = '' OR location = 'n/a' THEN 'n/a' ELSE 'Onsite' END AS work_type FROM p",
-    "history_upsert": _LINKS + """, o AS (SELECT url_key, max(id) AS id FROM w WHERE id <= 300 GROUP BY url_key), n AS (SELECT url_key, max(id) AS id FROM w WHERE id > 300 GROUP BY url_key)
-      SELECT coalesce(o.url_key, n.url_key) AS identity_key, o.id AS id, CAST(CASE WHEN o.id IS NULL THEN 2 ELSE 1 END AS INTEGER) AS created_at, CAST(CASE WHEN n.id IS NULL THEN 1 ELSE 2 END AS INTEGER) AS updated_at, p.company, p.job_title
-      FROM o FULL JOIN n ON o.url_key = n.url_key JOIN p ON p.id = coalesce(n.id, o.id)""",
+    "history_upsert": """WITH o AS (SELECT c_custkey AS k, c_custkey AS id, c_name AS company FROM customer),
+        n AS (SELECT o_custkey * 2 AS k, max(o_orderkey) AS last, min(o_orderkey) AS first FROM orders GROUP BY 1),
+        v AS (SELECT n.k, n.first, CAST(CASE WHEN o_orderkey % 3 <> 0 THEN 2 END AS INTEGER) AS updated_at, o_orderpriority AS company FROM n JOIN orders ON o_orderkey = n.last),
+        a AS (SELECT k, (SELECT max(id) FROM o) + row_number() OVER (ORDER BY first) AS id FROM n WHERE k NOT IN (SELECT k FROM o))
+      SELECT 'url:acme.com/jobs/' || coalesce(o.k, v.k) AS identity_key, coalesce(o.id, a.id) AS id, CASE WHEN o.k IS NULL THEN v.updated_at ELSE 1 END AS created_at, CASE WHEN v.k IS NULL THEN 1 ELSE v.updated_at END AS updated_at, CASE WHEN v.k IS NULL THEN o.company ELSE v.company END AS company
+      FROM o FULL JOIN v ON o.k = v.k LEFT JOIN a ON a.k = v.k""",
     "history_search": _ISSUES + """ SELECT id, company, location, 'ready' AS history_status FROM s WHERE error = '' AND len(codes) = 0
       AND (company ILIKE '%an%' OR job_title ILIKE '%an%' OR location ILIKE '%an%' OR work_type ILIKE '%an%' OR salary ILIKE '%an%' OR source ILIKE '%an%' OR job_link ILIKE '%an%') ORDER BY id % 50 DESC, id DESC LIMIT 20 OFFSET 5""",
-    "tracker_append": _LINKS + " SELECT id, company, job_link FROM w WHERE id <= 200 UNION ALL SELECT id, company, job_link FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY id) AS r FROM w WHERE id > 200) WHERE r = 1 AND url_key NOT IN (SELECT url_key FROM w WHERE id <= 200)",
+    "tracker_append": """WITH j AS (SELECT o_orderkey AS seq, 'https://acme.com/' || (o_custkey * 2) || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '?a=1' END AS link, o_orderpriority AS company FROM orders),
+        f AS (SELECT link, min(seq) AS seq, arg_min(company, seq) AS company FROM j GROUP BY link), k AS (SELECT * FROM f WHERE link NOT IN (SELECT 'https://acme.com/' || c_custkey FROM customer))
+      SELECT c_custkey AS row, 'https://Acme.com/' || c_custkey || '/' AS link, c_name AS company, 'kept' AS change FROM customer
+      UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY seq), link, company, 'added' FROM k""",
     "rejected_links": """SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN NULL WHEN 4 THEN 'The link must start with http:// or https://.' WHEN 5 THEN 'Links containing usernames or passwords are not supported.' ELSE 'Local and private network links are not allowed.' END AS problem FROM supplier""",
 }

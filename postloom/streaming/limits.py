@@ -1,4 +1,4 @@
-"""Sliding-window rate limits and expiry of finished batches over event time."""
+"""Sliding-window rate limits, windowed counts and expiry of finished batches over event time."""
 
 from __future__ import annotations
 
@@ -10,32 +10,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def rate_limit(requests: DataFrame, limit: int, window_seconds: int = 600, key: str = "client", at: str = "ts", watermark: str = "10 minutes") -> DataFrame:
-    """(key, at, allowed) of each request: denied when ``limit`` allowed ones lie within the window before it.
+def seconds(times: pd.Series) -> list[float]:
+    return (times.dt.tz_localize("UTC") if times.dt.tz is None else times).map(pd.Timestamp.timestamp).tolist()
 
-    State per key is the allowed times of one window, ``limit`` at most; idle keys time out.
+
+def admitted(times: list[float], held: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
+    """Which requests (in order of time) are allowed: fewer than ``limit`` allowed ones lie within the window before; rejected ones do not count."""
+    out = []
+    for t in times:
+        held = [x for x in held if x >= t - window]
+        out.append(len(held) < limit)
+        if out[-1]:
+            held.append(t)
+    return out, held
+
+
+def rate_limit(requests: DataFrame, limit: int, window_seconds: int = 600, key: str = "client", scope: str = "scope", at: str = "ts", watermark: str = "10 minutes") -> DataFrame:
+    """(scope, key, at, allowed) of each request of a stream: denied when ``limit`` allowed ones lie within the window before it.
+
+    The rows of a trigger are judged in order of time, whatever batches they come in.  State
+    per scope and key is the allowed times of one window, ``limit`` at most; idle keys time out.
     """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            rows = batch.sort_values(at)
-            allowed = []
-            for t in rows[at].astype("int64").div(1e9 if str(rows[at].dtype).endswith("ns]") else 1e6):
-                held = [x for x in held if x >= t - window_seconds]
-                allowed.append(len(held) < limit)
-                if allowed[-1]:
-                    held.append(t)
-            yield pd.DataFrame({key: name[0], at: rows[at].to_numpy(), "allowed": allowed})
+        rows = pd.concat([b[[at]] for b in batches]).sort_values(at, kind="stable")  # times only
+        allowed, held = admitted(seconds(rows[at]), list(state.get[0]) if state.exists else [], limit, window_seconds)
+        yield pd.DataFrame({scope: name[0], key: name[1], at: rows[at].to_numpy(), "allowed": allowed})
         state.update((held,))
         state.setTimeoutTimestamp(max(int(1000 * (max(held, default=0) + window_seconds)), state.getCurrentWatermarkMs() + 1))
 
-    stamped = requests.select(key, F.col(at).cast("timestamp").alias(at)).withWatermark(at, watermark)
-    kind = requests.schema[key].dataType.simpleString()
-    return stamped.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at} timestamp, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    stamped = requests.select(scope, key, F.col(at).cast("timestamp").alias(at)).withWatermark(at, watermark)
+    kinds = ", ".join(f"{c} {requests.schema[c].dataType.simpleString()}" for c in (scope, key))
+    return stamped.groupBy(scope, key).applyInPandasWithState(step, f"{kinds}, {at} timestamp, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def judged(requests: DataFrame, limit: int, window_seconds: int = 600, key: str = "client", scope: str = "scope", at: str = "ts") -> DataFrame:
+    """The same judgement over a finished table: a scope's and key's rows in order of time, streamed through a task.
+
+    Rows come sorted, so a task holds the allowed times of one window of one key only.
+    """
+    schema = requests.select(scope, key, F.col(at).cast("timestamp").alias(at)).withColumn("allowed", F.lit(True)).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now = [], None
+        for batch in batches:
+            allowed = []
+            for s, k, t in zip(batch[scope], batch[key], seconds(batch[at]), strict=True):
+                held, now = (held if (s, k) == now else []), (s, k)
+                (ok,), held = admitted([t], held, limit, window_seconds)
+                allowed.append(ok)
+            yield batch.assign(allowed=allowed)
+
+    rows = requests.select(scope, key, F.col(at).cast("timestamp").alias(at))
+    return rows.repartition(scope, key).sortWithinPartitions(scope, key, at).mapInPandas(run, schema)
+
+
+def finished_batches(items: DataFrame, batch: str = "batch_id", at: str = "ts", ttl: str = "30 minutes", watermark: str = "10 minutes") -> DataFrame:
+    """(batch, first, expires, settled) of the items of a stream: a batch is let go once no item of it came for ``ttl``."""
+    stamped = items.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, watermark)
+    session = stamped.groupBy(F.session_window(at, ttl), batch).agg(F.count_if(F.col("state").isin("completed", "failed", "cancelled")).alias("settled"))
+    return session.select(batch, F.col("session_window.start").alias("first"), F.col("session_window.end").alias("expires"), "settled")
 
 
 def requests_per_window(requests: DataFrame, key: str = "client", at: str = "ts", window: str = "10 minutes", slide: str = "5 minutes", watermark: str = "10 minutes") -> DataFrame:
