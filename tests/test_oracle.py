@@ -15,7 +15,8 @@ def rows(values):
     return sorted((tuple("" if v is None or (isinstance(v, float) and math.isnan(v)) else str(v) for v in r) for r in values))
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+# text_ queries are the examples that test_postings holds one by one
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("text_")))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for f in Path(DATA).glob("*.parquet"):
