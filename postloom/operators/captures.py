@@ -73,7 +73,7 @@ def extract_captures(captures: DataFrame, keep: tuple[str, ...] = ("url",)) -> D
         "work_type": F.concat(c("tags"), of_pairs("work_type"), block_text, F.array(F.array_join("keywords", " "))),
         "salary": F.concat(of_pairs("salary"), block_text, F.array(F.array_join("keywords", " "))),
     }
-    from_text = {"company": t.employer_of_lines(c("lines"), c("named.title")), "job_title": first_title(c("lines")), "location": captured_place(c("rich")), "work_type": work.captured_work_type(work.extract_work_type(c("rich")), c("url")), "salary": c("rich")}
+    from_text = {"company": t.employer_of_lines(c("lines"), c("named.title")), "job_title": first_title(c("lines")), "location": F.coalesce(F.try_element_at(F.filter(F.transform(F.concat("lines", F.array("rich")), captured_place), lambda v: v != ""), F.lit(1)), no), "work_type": work.captured_work_type(work.extract_work_type(c("rich")), c("url")), "salary": c("rich")}
     metas = {"company": meta(c("metas"), "og:site_name"), "job_title": meta(c("metas"), "og:title", "twitter:title", "title")}
     source = lambda name, values: F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(name).alias("source")))
     out = rows

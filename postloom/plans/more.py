@@ -321,4 +321,11 @@ ORACLE_SQL = {
     "retained_batches": "SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS active, count(*) FILTER (WHERE o_orderstatus = 'O' OR date_diff('second', o_orderdate, TIMESTAMP '1996-06-01') < 86400 * 365) AS retained FROM orders",
     "queue_admission": """WITH d AS (SELECT o_orderdate AS t, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT t, n, coalesce((SELECT sum(n) FROM d e WHERE e.t < d.t AND e.t + INTERVAL 40 DAY >= d.t), 0) AS open FROM d)
       SELECT open < 300 AS accepted, CAST(sum(n) AS BIGINT) AS n, CAST(max(open) AS BIGINT) AS most_open FROM p GROUP BY 1""",
+    "public_postings": "WITH p AS (SELECT c_custkey, c_custkey % 6 AS k, " + ", ".join(f"{v} AS {n}" for n, v in _PAGE.items()) + """ FROM customer)
+      SELECT c_custkey AS page_id, CASE WHEN company = '' THEN 'n/a' ELSE company END AS company, CASE WHEN location = '' THEN 'n/a' ELSE location END AS location, CASE WHEN work_type = '' THEN 'n/a' ELSE work_type END AS work_type, CASE WHEN salary = '' THEN 'n/a' ELSE salary END AS salary,
+        'N/A' AS found_on, 'Company Website' AS application_portal, CASE k WHEN 4 THEN 'missing_company,missing_job_title,missing_location,unavailable_posting' WHEN 5 THEN 'missing_job_title,missing_location' ELSE '' END AS issues, CASE k WHEN 4 THEN 'Company' WHEN 5 THEN 'Job title' ELSE '' END AS first_field,
+        CAST(CASE k WHEN 4 THEN 11 WHEN 5 THEN 57 ELSE 95 END AS INTEGER) AS confidence_score, CASE WHEN k >= 4 THEN 'Low' ELSE 'High' END AS confidence FROM p""",
+    "captured_pages": """SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Acme Labs' ELSE 'Globex' END AS company, CASE WHEN s_suppkey % 2 = 0 THEN 'Analyst ' ELSE 'Buyer ' END || s_suppkey AS job_title, CASE WHEN s_suppkey % 2 = 0 THEN 'Austin, TX' ELSE 'Boston, MA' END AS location,
+      CASE WHEN s_suppkey % 2 = 0 THEN 'Hybrid' ELSE '' END AS work_type, CASE WHEN s_suppkey % 2 = 0 THEN '$50,000 - $60,000 per year' ELSE '$30 - $40 per hour' END AS salary, CASE WHEN s_suppkey % 2 = 0 THEN 'page_label' ELSE 'text' END AS company_from, CASE WHEN s_suppkey % 2 = 0 THEN 'page_label' ELSE 'text' END AS location_from,
+      CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'captured_page_review' END AS issues, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 79 ELSE 71 END AS INTEGER) AS confidence_score, CASE WHEN s_suppkey % 2 = 0 THEN 'Austin, TX' ELSE '' END AS places FROM supplier""",
 }
