@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,8 @@ from postloom.llm.common import cut
 
 #: Most membership patterns that the driver plans for; more is an error, never a cut.
 MAX_PATTERNS = 1 << 18
+#: A window of documents that one task scans holds about so many times its largest document.
+WINDOW = 16
 ADDED = ("pattern", "size", "source_size", "target", "copies", "taken")
 
 
@@ -86,52 +89,83 @@ def route(supply: Sequence[int], members: Sequence[Sequence[int]], quota: Sequen
     return flow
 
 
-def _cumulated(part: DataFrame, key: str) -> DataFrame:
-    """For each pattern the key (at most 1,024 of them) in which the wanted tokens are exceeded, and what lies before it."""
-    w = Window.partitionBy("pattern").orderBy(key)
-    sums = part.groupBy("pattern", "want", key).agg(F.sum("size").alias("s"))
-    sums = sums.withColumn("cum", F.sum("s").over(w)).where("cum > want")
-    return sums.groupBy("pattern").agg(F.min(F.struct(key, (F.col("want") - F.col("cum") + F.col("s")).alias("want"))).alias("x")).select("pattern", f"x.{key}", "x.want")
+STATE = "pattern array<string>, gap long, lo long, ranges array<struct<lo: long, hi: long, most: long>>, some array<struct<key: long, q: long>>, open boolean"
+
+
+def scan(entries: pd.DataFrame) -> pd.DataFrame:
+    """First fit over one pattern's window of keys: what is left of the gap, where the next window starts, and what was taken.
+
+    ``entries`` has key, each (a row's size) and s (all its rows' size) beside gap, lo
+    and behind (the key before which the window ends, null at the end of the pattern).
+    A key that overshoots gives as many of its rows as fit and is passed over; from
+    there on only rows that fit in what is left count.
+    """
+    entries = entries.sort_values("key")
+    first = entries.iloc[0]
+    gap, lo = int(first["gap"]), None if pd.isna(first["lo"]) else int(first["lo"])
+    behind = None if pd.isna(first["behind"]) else int(first["behind"])
+    most, left, ranges, some = gap, gap - int(first["before"]), [], []
+    for key, each, s in zip(entries["key"].tolist(), entries["each"].tolist(), entries["s"].tolist(), strict=True):
+        if s <= left and each <= most:
+            left -= s
+        elif each <= most:
+            ranges.append({"lo": lo, "hi": key, "most": most})
+            if q := left // each:
+                some.append({"key": key, "q": q})
+            left -= q * each
+            lo, most = key, left
+    if most:
+        ranges.append({"lo": lo, "hi": behind, "most": most})
+    row = {"pattern": first["pattern"], "gap": left, "lo": None if behind is None else behind - 1, "ranges": ranges, "some": some, "open": left > 0 and behind is not None}
+    return pd.DataFrame([row]).astype({"lo": "Int64"})
 
 
 def select_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """Which documents get one copy more: per pattern those that fit in the seeded order, and one that closes the gap.
 
-    ``sized`` has pattern, u (the seeded order), size and row (unique).  A cut takes
-    documents up to the first that overshoots; that one is passed over, and the cut is
-    repeated on the documents behind it that are not larger than the gap, until none
-    is left.  Of equal rows at a cut (they share u) as many are taken as fit.
+    ``sized`` has pattern, u (the seeded order), size and row (unique).  Documents are
+    taken in that order if they fit in what is left of the gap; one that overshoots is
+    passed over, and those behind it that are not larger than the gap follow, until
+    none is left.  Of equal rows (they share u) as many are taken as fit.
     The gap then is smaller than every document left, and the one that comes closest
-    is taken if it overshoots by less than the gap.  A cut is
-    found by two histograms of 1,024 buckets per pattern and an exact order inside
-    one bucket, a millionth of the pattern's documents; a pattern of any size is
-    never sorted.  Returns pattern, base, whole, ranges (lo, hi, most: keys between
-    lo and hi, both exclusive and null for none, of at most that size), some (key,
-    upto: rows of that key with a number up to that).
+    is taken if it overshoots by less than the gap.
+
+    Each round finds where the gap is exceeded by a histogram of 2^17 buckets per
+    pattern, and one task per pattern scans only the buckets from there on that hold
+    ``WINDOW`` times the pattern's largest fitting document, a bounded number of words
+    with equal rows counted together; a pattern of any size is never sorted.  Rounds
+    go on behind the window, with the smaller gap, to the end of the pattern.
+    Returns pattern, base, whole, ranges (lo, hi, most: keys between lo and hi, both
+    exclusive and null for none, of at most that size), some (key, upto: rows of that
+    key with a number up to that).
     """
     key = F.col("u").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
     kinds = "array() :: array<struct<lo: long, hi: long, most: long>> as ranges", "array() :: array<struct<key: long, q: long>> as some"
     state = cut(plan.where("want > 0").selectExpr("pattern", "want as gap", "cast(null as long) as lo", *kinds, "true as open"))  # at most MAX_PATTERNS rows
-    part = sized.where("size > 0").select("pattern", "u", key.alias("key"), "size", "row", F.shiftrightunsigned("u", 54).alias("b1"), F.shiftrightunsigned("u", 44).bitwiseAND(1023).alias("b2"))
-    w = Window.partitionBy("pattern").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    while not state.where("open").isEmpty():  # every round passes over a document and lessens the gap, or ends
-        now = F.broadcast(state.where("open").select("pattern", F.col("gap").alias("want"), "lo"))
-        fit = part.join(now, "pattern").where("size <= want and (lo is null or key > lo)").drop("lo")
-        total = fit.groupBy("pattern").agg(F.sum("size").alias("total"))
-        one = _cumulated(fit.select("pattern", "want", "b1", "size"), "b1")
-        in_one = fit.drop("want").join(F.broadcast(one), ["pattern", "b1"])
-        two = _cumulated(in_one.select("pattern", "want", "b2", "size"), "b2")
-        in_two = in_one.drop("want").join(F.broadcast(two), ["pattern", "b2"]).groupBy("pattern", "want", "key").agg(F.sum("size").alias("s"), F.max("size").alias("each"))
-        run = in_two.withColumn("cum", F.sum("s").over(w))
-        left_over = F.col("want") - F.col("cum") + F.col("s")
-        fits = F.floor(left_over / F.col("each")).cast("long")  # equal keys are equal rows, all of one size
-        over = run.groupBy("pattern").agg(F.min(F.when(F.col("cum") > F.col("want"), F.struct("key", fits.alias("q"), (left_over - fits * F.col("each")).alias("gap")))).alias("x"))
-        step = state.join(total, "pattern", "left").join(over, "pattern", "left")
-        taken = F.array_append("ranges", F.struct("lo", F.col("x.key").alias("hi"), F.col("gap").alias("most")))
-        some = F.when(F.col("x.q") > 0, F.array_append("some", F.struct("x.key", "x.q"))).otherwise(F.col("some"))
-        left = F.coalesce("x.gap", F.col("gap") - F.coalesce("total", F.lit(0)))
-        more = F.col("open") & F.col("x").isNotNull() & (left > 0)
-        state = cut(step.select("pattern", left.alias("gap"), F.coalesce("x.key", "lo").alias("lo"), F.when(F.col("open") & F.col("total").isNotNull(), taken).otherwise(F.col("ranges")).alias("ranges"), some.alias("some"), more.alias("open")))
+    part = sized.where("size > 0").select("pattern", "u", key.alias("key"), "size", "row", F.shiftrightunsigned("u", 47).cast("int").alias("b"))
+    all_of = Window.partitionBy("pattern")
+    upto_b = all_of.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    while not state.where("open").isEmpty():  # every round ends a pattern or lessens what lies behind
+        now = F.broadcast(state.where("open").select("pattern", "gap", "lo"))
+        fit = part.join(now, "pattern").where("size <= gap and (lo is null or key > lo)")
+        sums = fit.groupBy("pattern", "gap", "b").agg(F.sum("size").alias("s"), F.max("size").alias("m"))
+        sums = sums.withColumn("cum", F.sum("s").over(upto_b)).withColumn("m", F.max("m").over(all_of))
+        exceeded = F.struct("b", (F.col("cum") - F.col("s")).alias("before"))
+        start = F.min(F.when(F.col("cum") > F.col("gap"), exceeded)).alias("start")
+        stop = F.min(F.when(F.col("cum") > F.col("gap") + WINDOW * F.col("m"), F.col("b"))).alias("stop")
+        bounds = sums.groupBy("pattern").agg(start, stop, F.sum("s").alias("total"))
+        behind = F.when(F.col("stop") < (1 << 17) - 1, F.shiftleft((F.col("stop") + 1).cast("long"), 47).bitwiseXOR(F.lit(-(1 << 63))))
+        bounds = cut(bounds.select("pattern", "start", F.coalesce("stop", F.lit(1 << 17)).alias("stop"), behind.alias("behind"), "total"))
+        window = fit.join(F.broadcast(bounds), "pattern").where("b between start.b and stop")
+        given = [F.first(c).alias(c) for c in ("gap", "lo", "behind")]
+        keys = window.groupBy("pattern", "key").agg(F.sum("size").alias("s"), F.max("size").alias("each"), F.first("start.before").alias("before"), *given)
+        seen = keys.groupBy("pattern").applyInPandas(scan, STATE).select("pattern", F.struct("gap", "lo", "ranges", "some", "open").alias("x"))
+        step = state.join(bounds.select("pattern", "total"), "pattern", "left").join(seen, "pattern", "left")
+        rest = F.when(F.col("open") & F.col("total").isNotNull(), F.array(F.struct("lo", F.lit(None).cast("long").alias("hi"), F.col("gap").alias("most"))))  # all of it fits
+        ranges = F.concat("ranges", F.coalesce("x.ranges", rest, F.slice("ranges", 1, 0)))
+        some = F.concat("some", F.coalesce("x.some", F.slice("some", 1, 0)))
+        left = F.coalesce("x.gap", F.when(F.col("open"), F.col("gap") - F.coalesce("total", F.lit(0))), "gap")
+        state = cut(step.select("pattern", left.alias("gap"), F.coalesce("x.lo", "lo").alias("lo"), ranges.alias("ranges"), some.alias("some"), F.coalesce("x.open", F.lit(False)).alias("open")))
     rest = part.join(F.broadcast(state), "pattern").where("size < 2 * gap").where(~_in_ranges(F.col("key"), F.col("size")))
     near = rest.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "key")).alias("x")).select("pattern", F.col("x.key").alias("fill"))
     of_fill = lambda e: e["key"] == F.col("fill")
