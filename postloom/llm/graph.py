@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from postloom.llm.common import attach_groups, cut
 
 
+def _are_stars(stars: DataFrame) -> bool:
+    """Whether every node is a centre, or lies below exactly one; then the centres are the labels."""
+    ends = stars.select(F.col("hi").alias("x"), F.lit(1).alias("below")).union(stars.select("lo", F.lit(0)))
+    wrong = ends.groupBy("x").agg(F.sum("below").alias("n"), F.min("below").alias("only")).where("n > 1 or (n = 1 and only = 0)")
+    return wrong.agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Label every node of the edges with the smallest node that it reaches: (node, label).
 
-    Each round is two joins on a node's smallest neighbour; rounds grow with the
-    logarithm of the longest path.  Every round is written to the shared folder, so
+    Each round is two joins on a node's smallest neighbour, until all edges form stars;
+    rounds grow with the logarithm of the longest path.  Every round is written to the shared folder, so
     a lost executor costs one round at most.  Nodes with the most edges are joined where
     the edges lie.  Null ends and loops are ignored; an empty table gives none.
     """
     pair = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct()
-    stars, before = cut(pair), None
+    stars = cut(pair)
     for _ in range(rounds):
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
@@ -26,10 +33,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = cut(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")))
         small = attach_groups(large, least, "hi", "n").select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).where("lo < hi").distinct()
         stars = cut(small)
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        if _are_stars(stars):
             break
-        before = tuple(now)
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     labels = stars.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("label"))
