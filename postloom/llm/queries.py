@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from postloom.llm.chat import format_chats
 from postloom.llm.common import table
+from postloom.llm.decontamination import find_benchmarks
 from postloom.llm.exact_dedup import exact_duplicates
 from postloom.llm.html_extraction import extract
+from postloom.llm.importance import resample
 from postloom.llm.lm_scoring import lm_scores
+from postloom.llm.manifest import folded, manifest, siblings
 from postloom.llm.mixing import cycling_targets, mix, word_count
 from postloom.llm.nearest import search
 from postloom.llm.packing import pack
@@ -67,7 +70,31 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_simhash_near_dedup, op4_mix_sources, op5_html_extraction, op6_best_fit_packing, op7_exact_dedup, op8_chat_formatting, op9_nearest_neighbours, op10_lm_scoring)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5 % of all documents drawn by importance towards the texts of ``benchmark``; edges as in ``importance.resample``."""
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, proofs folded from untampered and tampered rows; edges as in ``manifest.manifest``.
+
+    A row is tampered with where 2 divides the CRC-32 of its doc_id (a null one: never).
+    """
+    docs = table(spark, sf_dir, "documents")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    out = manifest(docs, other={"tampered": {"text": changed}}).withColumn("folded_root", folded(F.col("tampered"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents share with ``benchmark`` in windows of ten words; edges as in ``decontamination.find_benchmarks``."""
+    out = find_benchmarks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_simhash_near_dedup, op4_mix_sources, op5_html_extraction, op6_best_fit_packing, op7_exact_dedup, op8_chat_formatting, op9_nearest_neighbours, op10_lm_scoring, op11_importance_resampling, op12_merkle_manifest, op13_benchmark_decontamination)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
