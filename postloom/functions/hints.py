@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postloom.functions.places import from_link, from_tokens
-from postloom.functions.text import bind, dropped, first_filled, found, slug_name, slug_title
+from postloom.functions.text import acronyms, bind, dropped, first_filled, found, slug_name, slug_title
 from postloom.functions.urls import PLATFORMS, bare_host, first_of, lookup, path, platform, query_pairs, within
 
 # Cities of one board's links.
@@ -110,7 +110,9 @@ def link_hints(url: Column) -> Column:
         )
 
     known = F.struct(bare_host(url).alias("h"), platform(url).alias("board"), segments(url).alias("parts"))
-    return bind(bind(known, choose), lambda y: F.struct(slug_name(y["company"]).alias("company"), slug_title(y["title"]).alias("job_title"), y["place"].alias("location")))
+    chosen = bind(known, lambda x: F.struct(choose(x).alias("raw"), (x["board"] == "linkedin").alias("linkedin")))
+    company = lambda y: bind(slug_name(y["raw"]["company"]), lambda v: F.when(y["linkedin"], acronyms(v)).otherwise(v))
+    return bind(chosen, lambda y: F.struct(company(y).alias("company"), slug_title(y["raw"]["title"]).alias("job_title"), y["raw"]["place"].alias("location")))
 
 
 def _client(parts: Column) -> Column:
@@ -131,17 +133,18 @@ def company_from_link(url: Column) -> Column:
     label = lambda k: F.coalesce(F.try_element_at(parts, F.lit(k)), F.lit(""))
     own = F.when(label(1).isin(blocked) & (F.size(parts) > 2), F.when(label(-2).isin("co", "com") & (F.size(parts) > 3), label(-3)).otherwise(label(-2))).otherwise(label(1))
     on_board = reduce(lambda a, b: a | b, (h.contains(p[0]) for p in PLATFORMS))
-    return first_of(
+    slug = first_of(
         [
-            (h.contains("talents.vaia.com") & (first == "companies"), slug_name(after(url, "companies"))),
-            ((board == "greenhouse") & (of_query != ""), slug_name(of_query)),
-            ((board == "greenhouse") & h.contains("boards.greenhouse.io") & (first != ""), slug_name(first)),
-            (board.isin("lever", "ashby") & (first != ""), slug_name(first)),
-            (board == "workday", slug_name(F.regexp_replace(label(1), r"wd[135]-", ""))),
+            (h.contains("talents.vaia.com") & (first == "companies"), after(url, "companies")),
+            ((board == "greenhouse") & (of_query != ""), of_query),
+            ((board == "greenhouse") & h.contains("boards.greenhouse.io") & (first != ""), first),
+            (board.isin("lever", "ashby") & (first != ""), first),
+            (board == "workday", F.regexp_replace(label(1), r"wd[135]-", "")),
             (on_board | own.isin(blocked), ""),
         ],
-        slug_name(own),
+        own,
     )
+    return slug_name(slug)
 
 
 def is_posting_link(url: Column) -> Column:

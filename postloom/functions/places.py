@@ -196,12 +196,18 @@ def from_title(c: Column) -> Column:
 
 
 def taleo_location(c: Column) -> Column:
-    """City and state of "Location: Country-State-City"."""
-    part = r"([A-Za-z]+(?:\s+[A-Za-z]+)*)"
-    labelled, bare = rf"(?i)\b(?:Primary\s+)?Location\s*:\s*[A-Za-z ]+-{part}-{part}\b", rf"(?i)\b(?:United States|USA|US)-{part}-{part}\b"
+    """City and state of "Location: Country-State-City", up to the next label."""
+    words = r"[A-Za-z]+(?:\s+[A-Za-z]+)*"
+    end = r"(?=\s+(?:Industry|Schedule|Employee\s+Status|BusinessClass|Job\s+Posting)\s*:|\s*[^A-Za-z\s]|\s*$)"
+    parts = rf"-({words})-({words}?){end}"
+    labelled, bare = rf"(?i)\bLocation\s*:\s*[A-Za-z ]+{parts}", rf"(?i)\b(?:United States|USA|US){parts}"
     pick = lambda g: first_filled(found(c, labelled, g), found(c, bare, g))
-    state = state_abbrev(pick(1))
-    return F.when(state != "", F.concat(pick(2), F.lit(", "), state)).otherwise("")
+    return bind(state_abbrev(pick(1)), lambda state: F.when(state != "", F.concat(title_case(norm(pick(2))), F.lit(", "), state)).otherwise(""))
+
+
+def listed_countries(c: Column) -> Column:
+    """The place between "Countries" and "Cities" of a programme's page."""
+    return clean_location(found(c, r"(?i)\bCountries\s+(.{2,160}?)\s+Cities\b"))
 
 
 def workday_location(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,6 +68,11 @@ def clean_value(c: Column) -> Column:
     return F.btrim(dropped(F.translate(v, "–—", "--"), r"(?i)^(?:job title|title|company|location|salary|compensation)\s*[:\-]\s*"), F.lit(" |,-"))
 
 
+def acronyms(c: Column) -> Column:
+    """Acronyms of titles and employers in capitals again."""
+    return reduce(lambda v, a: F.regexp_replace(v, rf"\b{a.title()}\b", a), ACRONYMS, c)
+
+
 def title_case(c: Column) -> Column:
     """The first letter of every run of letters in upper case, all others in lower case."""
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1)), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
@@ -91,9 +97,7 @@ def clean_title(c: Column, company: Column | None = None) -> Column:
         v = bind(v, lambda t: F.when(F.coalesce(company, F.lit("")) == "", t).otherwise(F.regexp_replace(F.regexp_replace(t, ends[0], F.lit("")), ends[1], F.lit(""))))
     full = r"(?:(?:100%|Fully)\s+)?"
     v = dropped(v, r"(?i)\s+in\s+Remote\s*$", rf"(?i)\s*\(\s*{full}{ARRANGEMENT}\b[^)]*\)\s*$", rf"(?i)\s*[-|]\s*{full}{ARRANGEMENT}(?:\s*[-,:/]\s*[^|()]*)?\s*$")
-    for a in ACRONYMS:
-        v = F.regexp_replace(v, rf"\b{a.title()}\b", a)
-    return F.trim(v)
+    return F.trim(acronyms(v))
 
 
 def first_filled(*values: Column) -> Column:

@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Sequence
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,9 +19,13 @@ from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset("script style noscript svg template".split())
-#: Attributes whose values say what an element holds.
-MARKS = ("data-qa", "data-testid", "data-test", "data-automation-id", "itemprop", "class", "id")
-MARKED = re.compile(r"(?i)title|job|company|employer|organization|location|salary|compensation|pay|posting|opening|workplace|eyebrow|topcard|flavor|headline|description|categor")
+#: Attributes whose values say what an element holds; a mark has one to a line.
+MARKS = ("data-qa", "data-testid", "data-test", "data-test-id", "data-automation-id", "data-company-name", "data-tracking-control-name", "data-view-name", "itemprop", "aria-label", "title", "class", "id")
+MARKED = re.compile(r"(?i)title|job|company|employer|organization|location|salary|compensation|pay|posting|opening|workplace|eyebrow|topcard|top-card|flavor|headline|description|categor|criteria|preferences|show-more|remote|hybrid|on-?site|in-?office|content|sort-by")
+#: Elements whose plain children are fields: everything below them is evidence.
+HOLDERS = re.compile(r"(?i)posting-headline|posting-title|job__title|CompanyInfoContainer|companyHeader|JobInfoHeader-subtitle|posting-categories")
+#: Elements that a label's value does not lie outside of.
+REGIONS = frozenset("section aside article nav footer form dialog table".split())
 #: Fields of an embedded record, and the keys that hold them.
 RECORD = ("job_title", "company", "location", "salary_low", "salary_high", "salary_value", "salary_unit", "salary_currency", "description", "location_type", "skills")
 
@@ -28,10 +33,12 @@ EVIDENCE = T.StructType(
     [
         T.StructField("title", T.StringType()),
         T.StructField("metas", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("marked", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("tag", "mark", "text")]))),
+        T.StructField("marked", T.ArrayType(T.StructType([*(T.StructField(n, T.StringType()) for n in ("tag", "mark", "text")), T.StructField("at", T.IntegerType()), T.StructField("last", T.IntegerType())]))),
+        T.StructField("lines", T.ArrayType(T.StructType([*(T.StructField(n, T.StringType()) for n in ("tag", "text")), T.StructField("at", T.IntegerType()), T.StructField("region", T.IntegerType())]))),
         T.StructField("links", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("href", "text", "rel")]))),
         T.StructField("record", T.StructType([T.StructField(n, T.StringType()) for n in RECORD])),
         T.StructField("flat", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
+        T.StructField("jobs", T.ArrayType(T.StringType())),
         T.StructField("text", T.StringType()),
     ]
 )
@@ -41,18 +48,37 @@ def norm(text: object) -> str:
     return " ".join(str(text or "").split())
 
 
+class Element(NamedTuple):
+    """An open element: where its text begins, its attributes, its number, whether it holds fields and whether it is evidence."""
+
+    tag: str
+    first: int
+    mark: str
+    href: str
+    at: int
+    holds: bool
+    marked: bool
+
+
 class Reader(HTMLParser):
-    """A page's title, metas, marked elements with their text, links, scripts and visible text."""
+    """A page's title, metas, marked elements with their text, lines, links, scripts and visible text.
+
+    Elements are numbered in the order in which they begin; an element's ``last`` is the
+    number of the last one inside it, so that one lies below another if its number lies
+    between that one's ``at`` and ``last``.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
-        self.open: list[tuple[str, int, str, str]] = []
+        self.open: list[Element] = []
         self.metas: dict[str, str] = {}
-        self.marked: list[dict[str, str]] = []
+        self.marked: list[dict] = []
+        self.lines: list[dict] = []
         self.links: list[dict[str, str]] = []
         self.scripts: list[tuple[str, str]] = []
-        self.hidden = 0
+        self.hidden = self.count = self.holders = 0
+        self.regions = [0]
         self.script: list[str] | None = None
         self.kind = self.title = ""
 
@@ -62,43 +88,64 @@ class Reader(HTMLParser):
             self.metas.setdefault(name.lower(), norm(a["content"]))
         if tag == "link" and "canonical" in a.get("rel", "").lower() and a.get("href"):
             self.links.append({"href": a["href"], "text": "", "rel": "canonical"})
-        mark = " ".join(f"{k}={v}" for k in MARKS if (v := a.get(k)))
-        if tag == "img" and a.get("alt") and self.open:
-            self.parts.append(a["alt"])
+        self.count += 1
+        if tag == "img" and (alt := norm(a.get("alt"))) and self.open:
+            self.parts.append(alt)
+            self.lines.append({"tag": "img", "text": alt, "at": self.count, "region": self.regions[-1]})
         if tag in VOID:
             return
+        told = [(k, norm(v)) for k in MARKS if (v := a.get(k))]
+        mark, words = "\n".join(f"{k}={v}" for k, v in told), "\n".join(v for _, v in told)
         if tag in HIDDEN:
             self.hidden += 1
             self.kind, self.script = a.get("type", "").lower() + "#" + a.get("id", ""), [] if tag == "script" else self.script
-        wanted = tag in ("h1", "h2", "title", "a") or bool(MARKED.search(mark))
-        self.open.append((tag, len(self.parts), mark if wanted else "", a.get("href", "") if wanted else "-"))
+        if tag in REGIONS:
+            self.regions.append(self.count)
+        holds = bool(HOLDERS.search(words))
+        self.holders += holds
+        marked = tag in ("h1", "h2", "main", "article") or self.holders > 0 or bool(MARKED.search(words)) or "data-company-name" in a
+        self.open.append(Element(tag, len(self.parts), mark, a.get("href", ""), self.count, holds, marked))
 
     def handle_endtag(self, tag):
         at = next((i for i in range(len(self.open) - 1, max(-1, len(self.open) - 200), -1) if self.open[i][0] == tag), None)
-        if at is None:
-            return
-        for name, first, mark, href in reversed(self.open[at:]):
-            if name in HIDDEN:
+        if at is not None:
+            self.end(at)
+
+    def end(self, at):
+        """The open elements from the ``at``-th on are over."""
+        for e in reversed(self.open[at:]):
+            self.holders -= e.holds
+            if e.tag in REGIONS:
+                self.regions.pop()
+            if e.tag in HIDDEN:
                 self.hidden -= 1
-                if name == "script" and self.script is not None:
+                if e.tag == "script" and self.script is not None:
                     self.scripts.append((self.kind, "".join(self.script)))
                     self.script = None
-            elif href != "-":
-                text = norm(" ".join(self.parts[first:]))
-                if name == "title":
+            elif e.marked or e.tag in ("title", "a"):
+                text = norm(" ".join(self.parts[e.first :]))
+                if e.tag == "title":
                     self.title = self.title or text
-                    del self.parts[first:]
-                elif name == "a" and href:
-                    self.links.append({"href": href, "text": text, "rel": ""})
-                if name in ("h1", "h2") or mark:
-                    self.marked.append({"tag": name, "mark": mark, "text": text})
+                    del self.parts[e.first :]
+                elif e.tag == "a" and e.href:
+                    self.links.append({"href": e.href, "text": text, "rel": ""})
+                if e.marked:
+                    self.marked.append({"tag": e.tag, "mark": e.mark, "text": text, "at": e.at, "last": self.count})
         del self.open[at:]
 
+    def close(self):
+        super().close()
+        self.end(0)
+        self.marked.sort(key=lambda m: m["at"])
+
     def handle_data(self, data):
         if self.script is not None:
             self.script.append(data)
         elif not self.hidden and data.strip():
             self.parts.append(data)
+            tag = self.open[-1].tag if self.open else ""
+            if tag != "title":
+                self.lines.append({"tag": tag, "text": norm(data), "at": self.open[-1].at if self.open else 0, "region": self.regions[-1]})
 
 
 def loads(raw: str) -> object:
@@ -188,22 +235,39 @@ def flatten(value: object) -> dict[str, list[str]]:
     return out
 
 
+def job_objects(value: object) -> list[dict]:
+    """All objects, however deep, with a title and a content of a posting, in reading order."""
+    out, todo = [], [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            if x.get("jobTitle") and isinstance(x.get("jobPostingContent"), dict):
+                out.append(x)
+            todo += reversed(list(x.values()))
+        elif isinstance(x, list):
+            todo += reversed(x)
+    return out
+
+
 def read_page(html: str | None) -> dict:
     reader = Reader()
     reader.feed(html or "")
     reader.close()
     embedded = [x for kind, raw in reader.scripts if kind.startswith("application/ld+json") and (x := loads(raw)) is not None]
     record = next(filter(None, map(posting_record, embedded)), None) or next((x for x in embedded if isinstance(x, dict)), None)
-    flat = flatten(next((loads(raw) for kind, raw in reader.scripts if kind.endswith("#__NEXT_DATA__")), None))
-    return {"title": reader.title, "metas": list(reader.metas.items()), "marked": reader.marked, "links": reader.links, "record": record_fields(record), "flat": list(flat.items()), "text": norm(" ".join(reader.parts))}
+    data = next((loads(raw) for kind, raw in reader.scripts if kind.endswith("#__NEXT_DATA__")), None)
+    return {"title": reader.title, "metas": list(reader.metas.items()), "marked": reader.marked, "lines": reader.lines, "links": reader.links, "record": record_fields(record), "flat": list(flatten(data).items()), "jobs": [json.dumps(x) for x in job_objects(data)], "text": norm(" ".join(reader.parts))}
 
 
 def evidence(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), html: str = "html") -> DataFrame:
-    """keep..., and the evidence of each page: title, metas, marked, links, record, flat, text.
-
-    ``marked`` are headings and elements whose attributes speak of postings, in the order
-    in which they end; ``record`` is the page's embedded job posting ('' for what it lacks),
-    ``flat`` the leaves of its application data.  Null pages have empty evidence.
+    """keep..., and the evidence of each page: title, metas, marked, lines, links, record, flat, jobs, text.
+
+    ``marked`` are headings, elements whose attributes speak of postings, and all below
+    some of these, in page order, with the numbers of their first and last element;
+    ``lines`` the runs of text with the element and the region that they stand in;
+    ``record`` is the page's embedded job posting ('' for what it lacks), ``flat`` the leaves
+    of its application data and ``jobs`` the objects in that which describe a posting, as
+    JSON.  Null pages have empty evidence.
     """
     schema = T.StructType([*(pages.schema[c] for c in keep), *EVIDENCE.fields])
 
@@ -213,7 +277,8 @@ def evidence(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), html: s
             found = [read_page(h) for h in batch.column(len(keep)).to_pylist()]
             if arrow is None:
                 s, strings = pa.string(), lambda names: pa.struct([(n, pa.string()) for n in names])
-                arrow = {"title": s, "metas": pa.map_(s, s), "marked": pa.list_(strings(("tag", "mark", "text"))), "links": pa.list_(strings(("href", "text", "rel"))), "record": strings(RECORD), "flat": pa.map_(s, pa.list_(s)), "text": s}
+                numbered = lambda texts, numbers: pa.list_(pa.struct([*((n, s) for n in texts), *((n, pa.int32()) for n in numbers)]))
+                arrow = {"title": s, "metas": pa.map_(s, s), "marked": numbered(("tag", "mark", "text"), ("at", "last")), "lines": numbered(("tag", "text"), ("at", "region")), "links": pa.list_(strings(("href", "text", "rel"))), "record": strings(RECORD), "flat": pa.map_(s, pa.list_(s)), "jobs": pa.list_(s), "text": s}
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array([f[k] for f in found], t) for k, t in arrow.items())], schema.names)
 
     return pages.select(*keep, html).mapInArrow(run, schema)

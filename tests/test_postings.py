@@ -33,7 +33,7 @@ def test_pages_are_read():
     assert got["title"] == "T" and dict(got["metas"])["og:title"] == "A b" and got["text"] == "H one go text"
     assert got["record"]["location"] == "Bonn, DE, Ulm, United States" and got["record"]["salary_value"] == "5" and got["record"]["salary_currency"] == "EUR"
     assert dict(got["flat"]) == {"b": ["1", "x"]} and got["links"] == [{"href": "/x", "text": "go", "rel": ""}]
-    assert got["marked"][0] == {"tag": "h1", "mark": "class=job-title", "text": "H one"}
+    assert got["marked"][0] == {"tag": "h1", "mark": "class=job-title", "text": "H one", "at": 5, "last": 6}
     assert read_page(None)["text"] == "" and posting_record([{"hasPart": {"jobPosting": {"t": 1}}}]) == {"t": 1} and flatten(None) == {}
 
 
