@@ -271,11 +271,18 @@ def merge_results(primary: DataFrame, fallback: DataFrame, key: str = "url", fie
     return joined.withColumns({f: pick(f) for f in fields}).drop("of", *(f"other_{f}" for f in fields))
 
 
-def through_posting_links(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Evidence of pages that point to the posting's own page, replaced by that page's evidence where the table has it."""
-    body = [c for c in pages.columns if c not in ("page_id", url)]
-    to = pages.withColumn("to", urls.url_key(posting_link(F.col("links"), F.col(url))))
-    there = pages.select(urls.url_key(F.col(url)).alias("at"), *(F.col(b).alias(f"there_{b}") for b in body)).dropDuplicates(["at"])
-    out = to.join(there, F.col("to") == F.col("at"), "left")
-    hop = F.col("at").isNotNull() & (F.col("to") != urls.url_key(F.col(url)))
-    return out.select(*(c for c in pages.columns if c not in body), *(F.when(hop, F.col(f"there_{b}")).otherwise(F.col(b)).alias(b) for b in body))
+def through_posting_links(pages: DataFrame, url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """Evidence of pages that point to the posting's own page, replaced by that page's evidence where the table has it.
+
+    Of several pages with one link the one with the smallest page_id counts.  Pages that
+    point nowhere, to themselves or to a page that is not there keep their own; they are
+    not shuffled.  Null links are no page's own and are pointed to by none.  Repeated
+    rows each give a row.  An empty table gives an empty table.
+    """
+    body = [c for c in pages.columns if c not in (page_id, url)]
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("page"), urls.url_key(posting_link(F.col("links"), F.coalesce(F.col(url), F.lit("")))).alias("to"), F.coalesce(urls.url_key(F.col(url)), F.lit("")).alias("at"))
+    points = F.coalesce((F.col("to") != "") & (F.col("to") != F.col("at")), F.lit(False))
+    there = rows.where("at <> ''").groupBy("at").agg(F.min_by("page", f"page.{page_id}").alias("other")).select(F.col("at").alias("of"), "other")
+    hops = rows.where(points).join(there, F.col("to") == F.col("of"), "left")
+    moved = hops.select(*(F.when(F.col("of").isNotNull(), F.col(f"other.`{c}`")).otherwise(F.col(f"page.`{c}`")).alias(c) if c in body else F.col(f"page.`{c}`").alias(c) for c in pages.columns))
+    return rows.where(~points).select("page.*").unionByName(moved)

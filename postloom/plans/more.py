@@ -74,9 +74,13 @@ def driver_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posting_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that only point to a canonical page take that page's title."""
-    s = "SELECT s_suppkey AS page_id, concat('https://a.example.com/p/', s_suppkey) AS url, CASE WHEN s_suppkey % 2 = 0 THEN concat('<link rel=\"canonical\" href=\"/p/', s_suppkey - 1, '?utm_source=x\"><p>Moved</p>') ELSE concat('<h1>Job ', s_suppkey, '</h1>') END AS html FROM {supplier}"
-    pages = evidence(spark.sql(s, supplier=_table(spark, sf_dir, "supplier")))
+    """Pages that only point to a canonical page take that page's title; pages with null links, and pages that share a link, are there too."""
+    rows = _table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS page_id",
+        "CASE WHEN s_suppkey % 7 = 3 THEN NULL ELSE concat('https://a.example.com/p/', s_suppkey - IF(s_suppkey % 10 = 5, 4, 0)) END AS url",
+        "CASE WHEN s_suppkey % 2 = 0 THEN concat('<link rel=\"canonical\" href=\"https://a.example.com/p/', s_suppkey - 1, '?utm_source=x\"><h1>Moved ', s_suppkey, '</h1>') ELSE concat('<h1>Job ', s_suppkey, '</h1>') END AS html",
+    )
+    pages = evidence(rows)
     return extraction.through_posting_links(pages).select("page_id", F.coalesce(F.try_element_at("marked", F.lit(1))["text"], F.lit("")).alias("heading"))
 
 
@@ -288,7 +292,9 @@ _TRACK = """o AS (SELECT c_custkey AS row, CASE WHEN c_custkey % 10 = 0 THEN ''
 ORACLE_SQL = {
     **{f"text_{name}": _example_sql(name) for name in EXAMPLES},
     "page_extraction": "SELECT c_custkey AS page_id, " + ", ".join(f"{v} AS {k}" for k, v in _PAGE.items()) + ", 'Company Website' AS source, CASE WHEN c_custkey % 6 = 4 THEN 'This job posting is no longer available.' ELSE '' END AS error FROM customer",
-    "posting_hops": "SELECT s_suppkey AS page_id, CASE WHEN s_suppkey = 0 THEN '' ELSE 'Job ' || (s_suppkey - CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END) END AS heading FROM supplier",
+    "posting_hops": """WITH p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 3 THEN NULL ELSE s_suppkey - CASE WHEN s_suppkey % 10 = 5 THEN 4 ELSE 0 END END AS own, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey - 1 END AS target,
+        CASE WHEN s_suppkey % 2 = 0 THEN 'Moved ' ELSE 'Job ' END || s_suppkey AS heading FROM supplier), o AS (SELECT own, arg_min(heading, id) AS heading FROM p WHERE own IS NOT NULL GROUP BY own)
+      SELECT p.id AS page_id, coalesce(o.heading, p.heading) AS heading FROM p LEFT JOIN o ON p.target = o.own AND p.target IS DISTINCT FROM p.own""",
     "merged_results": "SELECT CAST(c_custkey AS VARCHAR) AS url, CASE WHEN c_custkey % 2 = 1 THEN c_name WHEN c_custkey % 5 = 0 THEN 'n/a' ELSE 'Other' END AS company, 'Clerk' AS job_title, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Ohio' END AS location, 'Hybrid' AS work_type, 'none' AS salary, 'Dice' AS source FROM customer",
     "greenhouse_payloads": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Acme Labs' ELSE s_name END AS company, 'Boston, MA' AS location, 'Analyst ' || s_suppkey AS job_title, 'Remote' AS work_type, '$50,000 - $60,000 per year' AS salary, 'Greenhouse' AS source FROM supplier WHERE s_suppkey % 4 <> 0",
     "workday_payloads": "SELECT s_suppkey, s_name AS company, 'Analyst ' || s_suppkey AS job_title, CASE WHEN s_suppkey % 2 = 0 THEN 'Austin, TX' ELSE 'Toronto, Canada' END AS location, CASE WHEN s_suppkey % 3 = 0 THEN 'Hybrid' ELSE 'Remote' END AS work_type, '$90,000' AS salary, 'Workday' AS source FROM supplier",
