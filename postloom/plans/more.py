@@ -258,19 +258,13 @@ def retained_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.queue_stats(batches.retained(o, "1996-06-01 00:00:00", 86_400 * 365))
 
 
-def queue_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as requests that stay open for 40 days: how many come while fewer than 300 are open."""
-    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts"), (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 40 DAYS")).alias("finished_at"))
-    return batches.accepted(o, 300).groupBy("accepted").agg(F.count("*").alias("n"), F.max("open").alias("most_open"))
-
-
 def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as requests, three an hour for each user and kind."""
     e = _table(spark, sf_dir, "events").select(F.col("event_type").alias("scope"), F.col("user_id").alias("client"), "ts")
     return judged(e, 3, 3600).groupBy("client", "allowed").agg(F.count("*").alias("n"))
 
 
-_FUNCTIONS = (page_extraction, public_postings, driver_pages, posting_hops, merged_results, greenhouse_payloads, workday_payloads, oracle_payloads, smartrecruiters_payloads, captured_pages, capture_lines, review_guidance, history_sanitize, history_manual_keys, history_counts, history_delete, history_backfill, applied_dates, tracker_update, tracker_counts, tracker_migration, tracker_headers, tracker_rows, column_widths, input_sheet, pasted_links, merged_pastes, batch_snapshots, retained_batches, queue_admission, rate_limits)
+_FUNCTIONS = (page_extraction, public_postings, driver_pages, posting_hops, merged_results, greenhouse_payloads, workday_payloads, oracle_payloads, smartrecruiters_payloads, captured_pages, capture_lines, review_guidance, history_sanitize, history_manual_keys, history_counts, history_delete, history_backfill, applied_dates, tracker_update, tracker_counts, tracker_migration, tracker_headers, tracker_rows, column_widths, input_sheet, pasted_links, merged_pastes, batch_snapshots, retained_batches, rate_limits)
 QUERIES = {**{f.__name__: f for f in _FUNCTIONS}, **{f"text_{name}": _example_query(name) for name in EXAMPLES}}
 
 _LINK = "'https://acme.com/jobs/'"
@@ -325,8 +319,6 @@ ORACLE_SQL = {
       SELECT b AS batch_id, count(*) AS total, count(*) FILTER (WHERE s IN ('completed', 'failed')) AS processed, count(*) FILTER (WHERE s = 'completed') AS completed, count(*) FILTER (WHERE s = 'failed') AS failed,
         CASE WHEN bool_or(s = 'running') THEN 'running' WHEN bool_or(asked) THEN 'cancelled' ELSE 'completed' END AS status FROM c GROUP BY b""",
     "retained_batches": "SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS active, count(*) FILTER (WHERE o_orderstatus = 'O' OR date_diff('second', o_orderdate, TIMESTAMP '1996-06-01') < 86400 * 365) AS retained FROM orders",
-    "queue_admission": """WITH d AS (SELECT o_orderdate AS t, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT t, n, coalesce((SELECT sum(n) FROM d e WHERE e.t < d.t AND e.t + INTERVAL 40 DAY >= d.t), 0) AS open FROM d)
-      SELECT open < 300 AS accepted, CAST(sum(n) AS BIGINT) AS n, CAST(max(open) AS BIGINT) AS most_open FROM p GROUP BY 1""",
     "public_postings": "WITH p AS (SELECT c_custkey, c_custkey % 6 AS k, " + ", ".join(f"{v} AS {n}" for n, v in _PAGE.items()) + """ FROM customer)
       SELECT c_custkey AS page_id, CASE WHEN company = '' THEN 'n/a' ELSE company END AS company, CASE WHEN location = '' THEN 'n/a' ELSE location END AS location, CASE WHEN work_type = '' THEN 'n/a' ELSE work_type END AS work_type, CASE WHEN salary = '' THEN 'n/a' ELSE salary END AS salary,
         'N/A' AS found_on, 'Company Website' AS application_portal, CASE k WHEN 4 THEN 'missing_company,missing_job_title,missing_location,unavailable_posting' WHEN 5 THEN 'missing_job_title,missing_location' ELSE '' END AS issues, CASE k WHEN 4 THEN 'Company' WHEN 5 THEN 'Job title' ELSE '' END AS first_field,
