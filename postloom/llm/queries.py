@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.llm import sql
 from postloom.llm.chat import format_chats
 from postloom.llm.common import table
 from postloom.llm.decontamination import find_benchmarks
@@ -96,10 +97,4 @@ def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_simhash_near_dedup, op4_mix_sources, op5_html_extraction, op6_best_fit_packing, op7_exact_dedup, op8_chat_formatting, op9_nearest_neighbours, op10_lm_scoring, op11_importance_resampling, op12_merkle_manifest, op13_benchmark_decontamination)}
 
-ORACLE_SQL = {
-    "op7_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
-    """,
-}
+ORACLE_SQL = {"op7_exact_dedup": sql.OP7, "op11_importance_resampling": sql.OP11, "op12_merkle_manifest": sql.OP12, "op13_benchmark_decontamination": sql.OP13}
