@@ -217,10 +217,7 @@ def resolve(base: Column, href: Column) -> Column:
 
 
 def private_record(url: Column, full: bool = False) -> Column:
-    """What a log may hold of a link: its host and SHA-256, and the link itself only if allowed."""
-    return F.struct(bare_host(url).alias("domain"), F.sha2(F.coalesce(url, F.lit("")), 256).alias("url_sha256"), (url if full else F.lit(None).cast("string")).alias("url"))
-
-
-def filled(hint: Column, value: Column, generic: Column) -> Column:
-    """The value, or the hint where the value is generic and there is one."""
-    return F.when(generic & (hint != ""), hint).otherwise(first_filled(value))
+    """What a log may hold of a link: its host and SHA-256 ('' of none), and the link itself only if allowed."""
+    link = F.trim(F.coalesce(url, F.lit("")))
+    host = F.lower(found(link, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"))
+    return F.struct(host.alias("domain"), F.when(link != "", F.sha2(link, 256)).otherwise("").alias("url_hash"), (link if full else F.lit(None).cast("string")).alias("url"))

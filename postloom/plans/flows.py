@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from io import BytesIO
+from zipfile import ZipFile
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postloom.streaming import queues
+from postloom.operators import attempts, snapshots
+from postloom.sources import uploads
+from postloom.streaming import issues, queues
 
 
 def queue_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +30,79 @@ def batch_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queues.batch_life(changes, cancels, 86_400 * 7)
 
 
-QUERIES = {f.__name__: f for f in (queue_admission, batch_life)}
+#: Attempts at each customer's link: the first, the second and a plain reading, by the last digit of the key.
+LINKS = "CASE c_custkey % 10 WHEN 0 THEN concat('https://www.linkedin.com/jobs/search/?keywords=', c_custkey) WHEN 9 THEN concat('https://www.monster.com/jobs/search?q=', c_custkey) ELSE concat('https://acme.example.com/jobs/', c_custkey) END"
+TRIES = {
+    1: ("c_name", "'Clerk'", "'Boston, MA'", "CASE c_custkey % 10 WHEN 2 THEN 'Timeout of 60 s' WHEN 3 THEN 'HTTP 404' WHEN 4 THEN 'timed out' WHEN 6 THEN 'timed out' WHEN 8 THEN 'net error' ELSE '' END"),
+    2: ("concat(c_name, ' two')", "CASE WHEN c_custkey % 10 = 8 THEN '' ELSE 'Buyer' END", "CASE WHEN c_custkey % 10 IN (4, 6) THEN '' ELSE 'Denver, CO' END", "CASE c_custkey % 10 WHEN 4 THEN 'timed out' WHEN 6 THEN 'Page timeout' WHEN 8 THEN 'net error' ELSE '' END"),
+}
+
+
+def link_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result for each customer's link: whole at once, after a second attempt, after a terminal error, from a plain reading, or of a list."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("*", f"{LINKS} AS url", "c_custkey % 10 AS k")
+    rest = ("'' AS work_type", "'' AS salary", "'Company Website' AS source")
+    tried = None
+    for n, (company, title, place, error) in TRIES.items():
+        # the texts that make a difference: a failed reading holds no fields, one has no place, one the title of a list
+        none = f"({error}) <> '' AND k <> 8"
+        one = rows.selectExpr("url", f"{n} AS attempt", f"IF({none}, '', {company}) AS company", f"IF({none}, '', IF(k = 7, '1,200+ Data Analyst jobs in Boston', {title})) AS job_title", f"IF({none} OR k = 5, '', {place}) AS location", *rest, f"{error} AS error")
+        tried = one if tried is None else tried.unionByName(one)
+    plain = rows.where("k IN (2, 3, 4, 5, 6, 8)").selectExpr("url", "IF(k IN (4, 5), concat(c_name, ' plain'), '') AS company", "IF(k IN (4, 8), 'Plain clerk', '') AS job_title", "IF(k IN (4, 5), 'Austin, TX', '') AS location", "'Hybrid' AS work_type", "'' AS salary", "'' AS source")
+    out = attempts.settled(tried, plain)
+    return out.select("url", "company", "job_title", "location", "work_type", "salary", "source", "error", F.array_join("review_issues", ",").alias("issues"), "found_on", "application_portal")
+
+
+def list_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items of snapshots in two versions, applied to lists of customers and then applied again; duplicates are updated."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_nationkey AS owner", "cast(c_custkey AS bigint) AS place", "concat('https://a.com/jobs/', c_custkey % 400) AS job_link", "c_name AS job", "c_custkey % 2 = 0 AS selected", "cast(NULL AS bigint) AS batch_id")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("cast(o_custkey % 25 AS int) AS owner", "cast(o_orderkey % 40 AS bigint) AS batch_id", "cast(o_orderkey AS bigint) AS item", "concat('https://www.a.com/jobs/', o_orderkey % 900, '?utm_source=x') AS url", "o_orderstatus")
+    state = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN IF(version = 1, 'running', 'failed') ELSE 'queued' END"
+    items = orders.selectExpr("*", "explode(array(1L, 2L)) AS version").selectExpr("owner", "batch_id", "version", "item", "url", f"{state} AS status", "cast(NULL AS string) AS job_link", "concat('v', version, ' ', item) AS job")
+    none = spark.createDataFrame([], "owner int, batch_id bigint, item bigint")
+    once, applied = snapshots.apply_snapshots(rows, items, none, "update")
+    again, _ = snapshots.apply_snapshots(once, items, applied, "update")
+    return again.select("owner", "place", "job_link", "job", "selected")
+
+
+def _workbook(k: int) -> bytes | None:
+    """An upload in one of eight states."""
+    if k % 8 in (1, 2):
+        return None if k % 8 == 1 else b"PK not an archive"
+    raw = BytesIO()
+    with ZipFile(raw, "w") as archive:
+        for name in ("[Content_Types].xml", *(() if k % 8 == 3 else ("xl/workbook.xml",)), *(f"xl/{i}" for i in range(30 if k % 8 == 4 else k % 8))):
+            archive.writestr(name, "x" * (5000 if k % 8 == 5 else 10))
+    out = raw.getvalue()
+    if k % 8 == 6:  # the flag of an encrypted member in its entry of the directory
+        at = out.index(b"PK\x01\x02") + 8
+        out = out[:at] + b"\x01" + out[at + 1 :]
+    return out
+
+
+def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upload of each supplier: missing, broken, no workbook, too many members, too large, encrypted, of another kind, or good."""
+
+    def build(batches):
+        for b in batches:
+            yield b.assign(content=[_workbook(int(k)) for k in b["s_suppkey"]])
+
+    names = "CASE WHEN s_suppkey % 8 = 7 AND s_suppkey % 3 = 0 THEN concat('dir.xlsx/', s_suppkey, '.csv') WHEN s_suppkey % 2 = 0 THEN concat(s_suppkey, '.XLSX') ELSE concat('a/', s_suppkey, '.xlsm') END AS path"
+    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey", names).mapInPandas(build, "s_suppkey long, path string, content binary")
+    return uploads.checked(files, most_bytes=20_000, most_members=20)
+
+
+def issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log holds of each customer's posting: hashed links, issues, bounded values and errors."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        "IF(c_custkey % 9 = 0, NULL, concat(' https://User@WWW.Example', c_custkey % 5, '.com:81/p/', c_custkey)) AS url", "cast('2024-01-01' AS timestamp) AS ts", "repeat(c_name, 1 + c_custkey % 60) AS company", "IF(c_custkey % 4 = 0, '', 'Clerk') AS job_title",
+        "IF(c_custkey % 5 = 0, NULL, 'Boston, MA') AS location", "'Mix' AS work_type", "'' AS salary", "'N/A' AS found_on", "'' AS application_portal", "'' AS source", "IF(c_custkey % 7 = 0, repeat('fail ', 500), '') AS error",
+    )
+    out = issues.records(rows)
+    return out.select("domain", "url_hash", F.array_join("issues", ",").alias("issues"), F.col("result.company").alias("company"), F.col("result.location").alias("location"), F.length("technical_error").alias("error_length"))
+
+
+QUERIES = {f.__name__: f for f in (queue_admission, batch_life, link_results, list_snapshots, upload_checks, issue_log)}
 
 ORACLE_SQL = {
     "queue_admission": """
@@ -43,4 +121,26 @@ ORACLE_SQL = {
       f AS (SELECT *, completed + failed + cancelled = total AS done FROM b), g AS (SELECT *, asked IS NOT NULL AND (NOT done OR asked <= last) AS cancel_requested FROM f)
       SELECT batch_id, CASE WHEN done AND cancel_requested THEN 'cancelled' WHEN done THEN 'completed' WHEN begun > 0 THEN 'running' ELSE 'queued' END AS status, total, completed, failed, cancelled, cancel_requested,
         CASE WHEN done THEN last END AS finished_at, CASE WHEN done THEN last + INTERVAL 7 DAY END AS expires_at FROM g""",
+    "link_results": f"""WITH r AS (SELECT *, {LINKS} AS url, c_custkey % 10 AS k FROM customer)
+      SELECT url, CASE WHEN k IN (0, 9, 3, 6, 7) THEN 'n/a' WHEN k = 2 THEN c_name || ' two' WHEN k = 4 THEN c_name || ' plain' WHEN k = 8 THEN c_name || ' two' ELSE c_name END AS company,
+        CASE WHEN k IN (0, 9, 3, 6, 7) THEN 'n/a' WHEN k = 2 THEN 'Buyer' WHEN k IN (4, 8) THEN 'Plain clerk' ELSE 'Clerk' END AS job_title,
+        CASE WHEN k IN (0, 9, 3, 6, 7) THEN 'n/a' WHEN k IN (2, 8) THEN 'Denver, CO' WHEN k IN (4, 5) THEN 'Austin, TX' ELSE 'Boston, MA' END AS location,
+        CASE WHEN k IN (0, 9, 3, 7) THEN 'n/a' WHEN k IN (4, 5, 6, 8) THEN 'Hybrid' ELSE 'Onsite' END AS work_type, 'n/a' AS salary, CASE k WHEN 0 THEN 'LinkedIn' WHEN 9 THEN 'Monster' ELSE 'Company Website' END AS source,
+        CASE k WHEN 9 THEN 'A Monster search page contains many jobs. Open the employer''s own posting and use that link instead.' WHEN 3 THEN 'This posting is unavailable or has expired.' WHEN 6 THEN 'The website took too long to respond. Try this job again.'
+          WHEN 0 THEN 'This link opens a list of jobs. Open one specific posting and paste that link instead.' WHEN 7 THEN 'This link opens a list of jobs. Open one specific posting and paste that link instead.' ELSE '' END AS error,
+        CASE k WHEN 0 THEN 'job_search_page' WHEN 9 THEN 'monster_search_page' WHEN 3 THEN 'missing_company,missing_job_title,missing_location,unavailable_posting' WHEN 6 THEN 'missing_company,missing_job_title,missing_location,scrape_error'
+          WHEN 7 THEN 'job_search_page,missing_company,missing_job_title,missing_location,scrape_error' ELSE '' END AS issues,
+        CASE k WHEN 0 THEN 'LinkedIn' WHEN 9 THEN 'Monster' ELSE 'N/A' END AS found_on, CASE k WHEN 0 THEN 'LinkedIn' WHEN 9 THEN 'Monster' ELSE 'Company Website' END AS application_portal FROM r""",
+    "list_snapshots": """WITH r AS (SELECT c_nationkey AS owner, CAST(c_custkey AS BIGINT) AS place, 'https://a.com/jobs/' || (c_custkey % 400) AS job_link, c_custkey % 400 AS k, c_name AS job, c_custkey % 2 = 0 AS selected FROM customer),
+      i AS (SELECT o_custkey % 25 AS owner, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS version, CAST(o_orderkey AS BIGINT) AS item, o_orderkey % 900 AS k, 'https://www.a.com/jobs/' || (o_orderkey % 900) || '?utm_source=x' AS url FROM orders WHERE o_orderstatus IN ('F', 'O')),
+      f AS (SELECT owner, k, min(place) AS place FROM r GROUP BY ALL), m AS (SELECT i.*, f.place FROM i LEFT JOIN f ON f.owner = i.owner AND f.k = i.k),
+      u AS (SELECT owner, place, max({'v': version, 'i': item, 'u': url}) AS x FROM m WHERE place IS NOT NULL GROUP BY ALL), e AS (SELECT owner, max(place) AS last FROM r GROUP BY 1)
+      SELECT r.owner, r.place, coalesce(u.x.u, r.job_link) AS job_link, CASE WHEN u.x IS NULL THEN r.job ELSE 'v' || u.x.v || ' ' || u.x.i END AS job, r.selected FROM r LEFT JOIN u ON u.owner = r.owner AND u.place = r.place
+      UNION ALL SELECT m.owner, coalesce(e.last, 0) + 1 + m.version * 1048576 + m.item, m.url, 'v' || m.version || ' ' || m.item, false FROM m LEFT JOIN e ON e.owner = m.owner WHERE m.place IS NULL""",
+    "upload_checks": """SELECT CASE WHEN s_suppkey % 8 = 7 AND s_suppkey % 3 = 0 THEN 'dir.xlsx/' || s_suppkey || '.csv' WHEN s_suppkey % 2 = 0 THEN s_suppkey || '.XLSX' ELSE 'a/' || s_suppkey || '.xlsm' END AS path,
+      CASE WHEN s_suppkey % 8 = 7 AND s_suppkey % 3 = 0 THEN 'Upload an .xlsx or .xlsm Excel workbook.' WHEN s_suppkey % 8 IN (1, 2, 3) THEN 'This file is not a readable Excel workbook.' WHEN s_suppkey % 8 = 4 THEN 'This workbook contains too many internal files.'
+        WHEN s_suppkey % 8 = 5 THEN 'This workbook expands beyond the allowed size.' WHEN s_suppkey % 8 = 6 THEN 'Password-protected workbooks are not supported.' END AS problem FROM supplier""",
+    "issue_log": """SELECT CASE WHEN c_custkey % 9 = 0 THEN '' ELSE 'www.example' || (c_custkey % 5) || '.com' END AS domain, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE sha256('https://User@WWW.Example' || (c_custkey % 5) || '.com:81/p/' || c_custkey) END AS url_hash,
+      concat_ws(',', CASE WHEN length(c_name) * (1 + c_custkey % 60) > 55 THEN 'company_looks_like_page_text' END, 'invalid_work_type', CASE WHEN c_custkey % 4 = 0 THEN 'missing_job_title' END, CASE WHEN c_custkey % 5 = 0 THEN 'missing_location' END, CASE WHEN c_custkey % 7 = 0 THEN 'scrape_error' END) AS issues,
+      substr(repeat(c_name, 1 + c_custkey % 60), 1, 500) AS company, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Boston, MA' END AS location, CAST(CASE WHEN c_custkey % 7 = 0 THEN 2000 ELSE 0 END AS INTEGER) AS error_length FROM customer""",
 }
