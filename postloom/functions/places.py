@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postloom.functions.text import ARRANGEMENT, bind, clean_title, clean_value, dropped, first_filled, found, norm, title_case
+from postloom.functions.text import ARRANGEMENT, after_label, bind, clean_title, clean_value, dropped, first_filled, found, norm, title_case
 from postloom.functions.urls import first_of, lookup, path
 
 # States of the United States and their abbreviations.
@@ -196,18 +196,22 @@ def from_title(c: Column) -> Column:
 
 
 def taleo_location(c: Column) -> Column:
-    """City and state of "Location: Country-State-City", up to the next label."""
-    words = r"[A-Za-z]+(?:\s+[A-Za-z]+)*"
-    end = r"(?=\s+(?:Industry|Schedule|Employee\s+Status|BusinessClass|Job\s+Posting)\s*:|\s*[^A-Za-z\s]|\s*$)"
-    parts = rf"-({words})-({words}?){end}"
-    labelled, bare = rf"(?i)\bLocation\s*:\s*[A-Za-z ]+{parts}", rf"(?i)\b(?:United States|USA|US){parts}"
-    pick = lambda g: first_filled(found(c, labelled, g), found(c, bare, g))
-    return bind(state_abbrev(pick(1)), lambda state: F.when(state != "", F.concat(title_case(norm(pick(2))), F.lit(", "), state)).otherwise(""))
+    """City and state of "Location: Country-State-City", up to the next label, or of such a place in the United States."""
+    labels = ["Industry", "Schedule", "Employee Status", "BusinessClass", "Job Posting"]
+    bare = found(c, rf"(?i)\b({US}-[A-Za-z ]+-[A-Za-z ]+)")
+
+    def read(raw):
+        parts = F.split(raw, r"\s*-\s*")
+        part = lambda k: F.coalesce(F.try_element_at(parts, F.lit(k)), F.lit(""))
+        city = title_case(F.trim(found(part(3), "^([A-Za-z ]+)")))
+        return bind(state_abbrev(part(2)), lambda state: F.when((state != "") & (city != ""), F.concat(city, F.lit(", "), state)).otherwise(""))
+
+    return bind(F.array(after_label(c, "location", labels), bare), lambda x: first_filled(read(x[0]), read(x[1])))
 
 
 def listed_countries(c: Column) -> Column:
     """The place between "Countries" and "Cities" of a programme's page."""
-    return clean_location(found(c, r"(?i)\bCountries\s+(.{2,160}?)\s+Cities\b"))
+    return bind(after_label(c, "countries", ["Cities"]), lambda v: F.when(F.length(v).between(2, 160), clean_location(v)).otherwise(""))
 
 
 def workday_location(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,9 +23,20 @@ COMPANY_NAMES = {
     "alphasights": "AlphaSights", "nyulangone": "NYU Langone Health", "nyu langone": "NYU Langone Health", "nyu langone health": "NYU Langone Health", "le2201 newrez llc - corporate": "Newrez",
     "newrez llc - corporate": "Newrez", "newrez llc": "Newrez", "gaic great american insurance company": "Great American Insurance Group", "great american insurance company": "Great American Insurance Group",
 }
+# Words of links that are no part of a title.
+NO_TITLE_WORDS = ["job", "jobs", "opening", "openings", "apply", "freelance", "clone"]
 # Words of titles that are written in capitals.
 ACRONYMS = ["AI", "ML", "HR", "IT", "QA", "QC", "SQL", "API", "CRM", "UX", "UI"]
-ARRANGEMENT = r"(?:Remote|Hybrid|On[-\s]?site|In[-\s]?office|In[-\s]?person)"
+# Words for where the work is done.
+KINDS = ["remote", "hybrid", "on site", "in office", "in person"]
+
+
+def phrases(*texts: str, join: str = r"[\s-]*") -> str:
+    """A pattern of any of the phrases, the longest first; blanks in them stand for ``join``."""
+    return "(?:" + "|".join(join.join(map(re.escape, x.split())) for x in sorted(texts, key=len, reverse=True)) + ")"
+
+
+ARRANGEMENT = phrases(*KINDS, join=r"[-\s]?")
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -81,8 +93,15 @@ def title_case(c: Column) -> Column:
 def clean_company(c: Column) -> Column:
     """An employer's name without ratings, copyright marks, codes and the word Careers; '' if it is none."""
     named = lookup(COMPANY_NAMES)
-    cut = lambda v: F.trim(dropped(v, r"(?i)\s+\d+(?:\.\d+)?\s*(?:out of 5 stars?|stars?)?.*$", r"^©\s*\d{4}\s*", r"(?i),?\s+all rights reserved.*$", r"(?i)\s+Careers(?:\s+Site)?$"))
-    coded = lambda v: F.regexp_replace(v, r"^(?=[A-Z0-9]*[A-Z])(?=[A-Z0-9]*\d)[A-Z0-9]{3,8}\s+(.+)$", "$1")
+    rating, year, rights, site = r"\s+\d.*$", r"^©\s*[0-9]{4}", r"(?i)\W*\ball rights reserved\b.*$", r"(?i)\scareers(?: site)?$"
+    cut = lambda v: F.trim(dropped(v, rating, year, rights, site))
+
+    def coded(v):
+        """Without a first word of three to eight capitals and digits, both of them there."""
+        first, rest = F.substring_index(v, " ", 1), F.trim(F.substr(v, F.length(F.substring_index(v, " ", 1)) + 1))
+        code = (rest != "") & F.length(first).between(3, 8) & first.rlike("^[A-Z0-9]+$") & first.rlike("[A-Z]") & first.rlike("[0-9]")
+        return F.when(code, rest).otherwise(v)
+
     known = lambda v: F.when(v.rlike(r"(?i)\b(?:MS\s+Smith\s+Barney|Morgan\s+Stanley)\b"), "Morgan Stanley").otherwise(F.coalesce(F.try_element_at(named, F.lower(v)), v))
     none = lambda v: F.lower(v).isin(NO_COMPANY) | ~v.rlike("[A-Za-z0-9]")
     return bind(clean_value(c), lambda v: F.when(none(v), "").otherwise(steps(v, cut, coded, known)))
@@ -108,8 +127,14 @@ def first_filled(*values: Column) -> Column:
 
 def company_from_page_title(c: Column) -> Column:
     """The employer in a page's title: "Job Application for ... at X", "... at X | ..."."""
-    v = clean_value(c)
-    return bind(v, lambda t: first_filled(*(clean_company(found(t, p)) for p in (r"(?i)^Job Application for .+\s+at\s+([^|]+?)(?:\s*\|\s*.*)?$", r"(?i)\bat\s+([^|]+?)\s*\|\s*[^|]+$"))))
+
+    def read(t):
+        parts = F.split(t, r"\s*\|\s*")
+        head = F.element_at(parts, 1)
+        named = bind(F.split(head, r"(?i)\s+at\s+"), lambda x: F.when(F.size(x) > 1, F.element_at(x, -1)).otherwise(""))
+        return F.when(F.lower(t).startswith("job application for ") | (F.size(parts) > 1), clean_company(named)).otherwise("")
+
+    return bind(clean_value(c), read)
 
 
 def job_from_page_title(c: Column) -> Column:
@@ -142,8 +167,10 @@ def slug_name(c: Column) -> Column:
 
 def slug_title(c: Column) -> Column:
     """A title from a part of a link: without numbers, long hexadecimal ids and words such as job or apply."""
-    v = dropped(F.regexp_replace(F.coalesce(F.try_url_decode(c), c, F.lit("")), r"[_+]+", "-"), r"(?i)--[0-9a-f-]{12,}$", r"[-_]*~[A-Za-z0-9_-]+$")
-    words = F.filter(F.split(F.lower(v), r"[-/\s]+"), lambda w: (w != "") & ~w.isin("job", "jobs", "opening", "openings", "apply", "freelance", "clone") & ~w.rlike(r"^(?:\d+|[0-9a-f]{8,})$"))
+    whole = F.replace(F.replace(F.coalesce(F.try_url_decode(c), c, F.lit("")), F.lit("_"), F.lit("-")), F.lit("+"), F.lit("-"))
+    ids = F.regexp_replace(F.lower(F.element_at(F.split(whole, "[-_]*~", 2), 1)), "--[-0-9a-f]{12,}$", "")  # what stands behind a tilde or a double dash names no title
+    number = lambda w: w.rlike("^[0-9]+$") | (w.rlike("^[0-9a-f]+$") & (F.length(w) >= 8))
+    words = F.filter(F.split(ids, r"[-/\s]+"), lambda w: (w != "") & ~w.isin(NO_TITLE_WORDS) & ~number(w))
     return clean_title(title_case(F.array_join(words, " ")))
 
 

@@ -28,8 +28,10 @@ SELECTORS = {
 }
 # Keys of application data that hold a field, by precedence.
 FLAT_KEYS = {"job_title": ["title", "jobtitle", "job_title", "name"], "company": ["company", "companyname", "organization"], "location": ["location", "joblocation", "city"], "work_type": ["workplacetype", "joblocationtype", "formattedlocationtype", "workarrangement"], "salary": ["salary", "compensation", "pay"], "description": ["description", "jobdescription"]}
-# Texts of links that lead to an employer's own posting.
-APPLY_LINK = r"(?i)\b(?:apply\s+(?:on|at|with)\s+(?:the\s+)?(?:company|employer|external)|company\s+(?:site|website)|employer\s+(?:site|website)|apply\s+externally|external\s+apply|view\s+on\s+company)\b"
+# What links to an employer's own posting say: apply there, its site, or elsewhere.
+WHOSE = ["company", "employer", "external", "the company", "the employer", "the external"]
+ELSEWHERE = ["company site", "company website", "employer site", "employer website", "apply externally", "external apply", "view on company"]
+APPLY_LINK = rf"(?i)\b(?:apply\s+{t.phrases('on', 'at', 'with')}\s+{t.phrases(*WHOSE, join=chr(92) + 's+')}|{t.phrases(*ELSEWHERE, join=chr(92) + 's+')})\b"
 
 # Postings of one board whose shown text leaves out a field.
 SIGNATURES = [{"company": "atc", "job_title": "data analyst", "location": "new york, united states", "description_markers": ["american technology consulting (atc) is a service-first tech company", "as an entry-level data analyst at atc"], "fields": {"work_type": "Onsite"}}]

@@ -16,23 +16,27 @@ CITIES = [
     "new york", "san francisco", "los angeles", "jersey city", "long island city", "white plains", "salt lake city", "garden city", "great neck", "palo alto", "santa clara", "las vegas", "st louis", "st paul",
     "washington", "manhattan", "brooklyn", "queens", "bronx", "trenton", "woodmere", "baltimore", "seattle", "franklin", "chicago",
 ]
-NAME = r"[A-Z][A-Za-z.'&-]+"
+# What may stand behind a posting's place.
+BEHIND_PLACE = ["•", "$", "hybrid", "remote", "onsite", "on-site", "posted"]
+
+
+def _parts(c: Column, by: str) -> Column:
+    """The text before and behind the first separator, '' where there is none."""
+    return bind(F.split(c, by, 2), lambda x: F.struct(F.when(F.size(x) > 1, x[0]).otherwise("").alias("before"), F.coalesce(F.get(x, F.lit(1)), F.lit("")).alias("behind")))
 
 
 def split_company_place(c: Column) -> Column:
     """struct<company, location> of a text such as "Acme Labs Jersey City, NJ": the longest known city before the comma, else its last word."""
-    states = "|".join(sorted((s.title() for s in places.STATES), key=len, reverse=True))
-    pattern = rf"^(.*?)\b({NAME}(?:\s+{NAME}){{0,5}}),\s*({places.ABBR}|{states})\b"
-    known = rf"(?i)(?:^|\s)({'|'.join(sorted((x.replace(' ', r'[.]?\s+') for x in CITIES), key=len, reverse=True))})$"
-    remote = r"^(.+?)\s+(Remote|United States)(?=\s*(?:•|\$|Hybrid|Remote|Onsite|On-site|Posted|$))"
-    no = F.lit("")
+    states = t.phrases(*places.STATES, join=r"\s+")
+    state_behind = rf",\s*(?-i:{places.ABBR}|(?i:{states}))\b"
+    known = rf"(?i)(?:^|\s)({t.phrases(*CITIES, join=r'[.]?' + chr(92) + 's+')})$"
+    whole = rf"(?i)^(.+?)\s+(Remote|United States)\s*(?:$|{t.phrases(*BEHIND_PLACE)})"
 
     def read(text):
-        words, state = found(text, pattern, 2), found(text, pattern, 3)
-        city = t.first_filled(found(words, known), found(words, r"(\S+)$"))
-        company = F.concat_ws(" ", found(text, pattern, 1), F.substr(words, F.lit(1), F.length(words) - F.length(city)))
-        place = F.concat(t.title_case(city), F.lit(", "), t.first_filled(places.state_abbrev(state), state))
-        return first_of([(text.rlike(pattern), F.struct(company.alias("company"), place.alias("location"))), (text.rlike(remote), F.struct(found(text, remote).alias("company"), found(text, remote, 2).alias("location")))], F.struct(no.alias("company"), no.alias("location")))
+        head, state = F.element_at(F.split(text, state_behind, 2), 1), found(text, rf"({state_behind})")
+        city = t.first_filled(found(head, known), F.substring_index(head, " ", -1))
+        named = F.struct(F.trim(F.substr(head, F.lit(1), F.length(head) - F.length(city))).alias("company"), F.concat(t.title_case(city), state).alias("location"))
+        return F.when(state != "", named).otherwise(F.struct(found(text, whole).alias("company"), found(text, whole, 2).alias("location")))
 
     return bind(bind(t.norm(c), read), lambda x: F.struct(t.clean_company(x["company"]).alias("company"), places.clean_location(x["location"]).alias("location")))
 
@@ -46,39 +50,45 @@ def ziprecruiter(title: Column, meta_title: Column, heading: Column, text: Colum
     """"X job in Y" of the title; employer and place behind the posting's title, or from "About" and the page's title."""
     source = F.when(title.rlike(r"(?i)\bjob\s+in\b"), title).otherwise(t.first_filled(meta_title, title))
     prefix = F.element_at(F.split(text, " Job description ", 2), 1)
-    about = found(text, r"(?i)\bAbout\s+(.+?)(?=\s+(?:Industry|Company size|Headquarters location|Year founded|Website|Social media)\b)")
+    about = t.after_label(text, "About", ["Industry", "Company size", "Headquarters location", "Year founded", "Website", "Social media"])
 
     def read(x):
         name = x["name"]
         behind = F.when((name == "") | ~F.contains(F.lower(x["prefix"]), F.lower(name)), x["prefix"]).otherwise(t.after_last_title(x["prefix"], name))
-        return F.struct(name.alias("name"), behind.alias("behind"), F.substring(x["prefix"], 1, 1000).alias("head"), split_company_place(behind).alias("split"))
+        return F.struct(name.alias("name"), behind.alias("behind"), F.substring(x["prefix"], 1, 1000).alias("head"), split_company_place(behind).alias("split"), x["town"].alias("town"))
 
     def shown(x):
         top = F.substring(x["behind"], 1, 500)
         kind = bind(work.extract_work_type(top), lambda v: F.when(v == "", "n/a").otherwise(v))
         paid = F.coalesce(F.try_element_at(F.filter(F.transform(F.array(top, x["head"]), pay.extract_salary), lambda s: s != ""), F.lit(1)), F.lit(""))
-        return fields(name_of(x), t.first_filled(x["split"]["company"], about), t.first_filled(x["split"]["location"], found(source, r"(?i)\bjob\s+in\s+(.+?)\s+at\s+ZipRecruiter\b")), paid, kind)
+        company = t.first_filled(x["split"]["company"], F.when(F.contains(text, F.lit(" About ")), about).otherwise(""))
+        return fields(x["name"], company, t.first_filled(x["split"]["location"], x["town"]), paid, kind)
 
-    name_of = lambda x: x["name"]
-    named = t.first_filled(t.clean_title(found(source, r"(?i)^(.*?)\s+job\s+in\s+")), heading)
-    return bind(bind(F.struct(named.alias("name"), prefix.alias("prefix")), read), shown)
+    def stated(s):
+        town = _parts(s["behind"], r"(?i)\s+at\s+ZipRecruiter\b")["before"]
+        return F.struct(t.first_filled(t.clean_title(s["before"]), heading).alias("name"), town.alias("town"), prefix.alias("prefix"))
+
+    return bind(bind(bind(_parts(source, r"(?i)\s+job\s+in\s+"), stated), read), shown)
 
 
 def simplyhired(title: Column, heading: Column, text: Column) -> Column:
     """"X - Employer | Place" of the page's title; a work type only behind a label or in that title."""
-    pattern = r"^(.*?)\s+-\s+(.+?)\s+\|\s+(.+)$"
-    label = found(text, r"(?i)\b((?:Location|Work\s*type|Workplace)\s*:\s*(?:Remote|Hybrid|On[-\s]?site|In[-\s]?office|In[-\s]?person))\b")
-    kind = bind(work.extract_work_type(t.first_filled(label, title)), lambda v: F.when(v == "", "n/a").otherwise(v))
-    return fields(t.first_filled(heading, found(title, pattern)), found(title, pattern, 2), t.first_filled(found(title, pattern, 3), places.locations_in(text)), None, kind)
+    label = work.told(text, rf"{t.phrases('location', 'work type', 'workplace')}\s*:\s*")
+    kind = F.coalesce(F.try_element_at(F.filter(F.array(label, work.extract_work_type(title), F.lit("n/a")), lambda v: v != ""), F.lit(1)), F.lit(""))
+    names = lambda x: bind(_parts(x["before"], r"\s+-\s+"), lambda y: fields(t.first_filled(heading, y["before"]), y["behind"], t.first_filled(F.when(y["behind"] != "", x["behind"]).otherwise(""), places.locations_in(text)), None, kind))
+    return bind(_parts(title, r"\s+\|\s+"), names)
 
 
 def breezy(title: Column, headings: Column, text: Column) -> Column:
     """"X at Employer" of the page's title; the second heading where it says more than that."""
-    pattern = r"(?i)^(.*?)\s+at\s+(.+?)$"
     first, second = (F.coalesce(F.try_element_at(headings, F.lit(k)), F.lit("")) for k in (1, 2))
-    name = found(title, pattern)
-    longer = (second != "") & ((name == "") | (F.lower(second).startswith(F.lower(name)) & (F.length(second) > F.length(name))))
-    return fields(F.when(longer, second).otherwise(name), t.first_filled(found(title, pattern, 2), F.when(second != "", first).otherwise("")), None, None, work.extract_work_type(text))
+
+    def read(x):
+        name = x["before"]
+        longer = (second != "") & ((name == "") | (F.lower(second).startswith(F.lower(name)) & (F.length(second) > F.length(name))))
+        return fields(F.when(longer, second).otherwise(name), t.first_filled(x["behind"], F.when(second != "", first).otherwise("")), None, None, work.extract_work_type(text))
+
+    return bind(_parts(title, r"(?i)\s+at\s+"), read)
 
 
 def dayforce(jobs: Column, url: Column) -> Column:
@@ -104,31 +114,37 @@ def dayforce(jobs: Column, url: Column) -> Column:
     return F.when(F.size(jobs) > 0, bind(one, read)).otherwise(fields())
 
 
-def behind_labels(lines: Column, label: str, tags: tuple[str, ...], icon: str = "$^") -> Column:
+def behind_labels(lines: Column, labels: list[str], tags: tuple[str, ...], icon: str | None = None) -> Column:
     """The text next to each label that is a line of its own, in page order: the next line of the label's region.
 
     A line in another region, such as a list of similar postings, is not the label's.
     """
-    is_label = lambda x: (x["tag"].isin(*tags) & x["text"].rlike(label)) | ((x["tag"] == "img") & x["text"].rlike(icon))
+    bare = lambda x: F.lower(F.rtrim(x["text"], F.lit(" :")))
+    is_label = lambda x: (x["tag"].isin(*tags) & bare(x).isin(*labels)) | ((x["tag"] == "img") & F.contains(F.lower(x["text"]), F.lit(icon)) if icon else F.lit(False))
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x["region"].alias("region"), x["text"].alias("text"), is_label(x).alias("label")))
     behind = lambda y, all_of: F.try_element_at(F.filter(F.slice(all_of, y["i"] + 2, F.greatest(F.size(all_of), F.lit(1))), lambda z: z["region"] == y["region"]), F.lit(1))["text"]
     return bind(numbered, lambda all_of: F.filter(F.transform(F.filter(all_of, lambda y: y["label"]), lambda y: behind(y, all_of)), lambda v: v.isNotNull()))
 
 
+# Labels of places and work types, and of what else a line may state.
+PLACE_LABELS = ["location", "job location"]
+WORK_LABELS = ["workplace type", "workplace", "work type", "worktype", "job location type", "location type"]
+OTHER_LABELS = ["type", "experience", "salary", "compensation", "employment"]
+
+
 def labelled_places(lines: Column) -> Column:
     """What stands behind location labels and icons, then in lines such as "Location: X" that state nothing else."""
-    inline = r"(?i)^(?:job\s+)?location\s*:\s*(.+)$"
-    more = r"(?i)\||\b(?:type|experience|salary|compensation|employment)\s*:"
-    single = F.filter(lines, lambda x: x["tag"].isin("dd", "div", "li", "p") & (F.length(x["text"]) <= 160) & x["text"].rlike(inline) & ~found(x["text"], inline).rlike(more))
-    own = behind_labels(lines, r"(?i)^(?:job\s+)?location\s*:?$", ("dt", "h2", "h3", "h4", "h5", "strong"), "(?i)location")
-    return F.concat(own, F.transform(single, lambda x: found(x["text"], inline)))
+    more = rf"(?i)[|]|\b{t.phrases(*OTHER_LABELS)}\s*:"
+    read = F.transform(F.filter(lines, lambda x: x["tag"].isin("dd", "div", "li", "p") & (F.length(x["text"]) <= 160)), lambda x: _parts(x["text"], r"\s*:\s*"))
+    single = F.filter(read, lambda x: F.lower(x["before"]).isin(*PLACE_LABELS) & ~x["behind"].rlike(more))
+    own = behind_labels(lines, PLACE_LABELS, ("dt", "h2", "h3", "h4", "h5", "strong"), "location")
+    return F.concat(own, F.transform(single, lambda x: x["behind"]))
 
 
 def labelled_work_types(marked: Column, lines: Column, selected) -> Column:
     """What elements for workplaces hold, then what stands behind labels such as "Workplace type"."""
     chips = selected(marked, [("", "(?im)^class=.*workplace", r"(?m)^class=(?:.* )?posting-categories(?: |$)"), ("", "(?im)^(?:data-testid|data-qa)=.*workplace-type", "")])
-    label = r"(?i)^(?:workplace(?:\s+type)?|work\s*type|(?:job\s+)?location\s+type)\s*:?$"
-    return F.concat(F.transform(chips, lambda m: m["text"]), behind_labels(lines, label, ("dt", "h2", "h3", "h4", "h5", "strong", "span", "div")))
+    return F.concat(F.transform(chips, lambda m: m["text"]), behind_labels(lines, WORK_LABELS, ("dt", "h2", "h3", "h4", "h5", "strong", "span", "div")))
 
 
 def linkedin_chips(marked: Column) -> Column:
@@ -140,8 +156,8 @@ def linkedin_chips(marked: Column) -> Column:
 def linkedin_criteria(marked: Column) -> Column:
     """The text of a posting's criteria, and of attributes that speak of workplaces."""
     listed = r"(?m)^class=(?:.* )?(?:top-card-layout__second-subline|topcard__flavor-row|topcard__flavor--bullet)(?: |$)|(?im)^(?:class=.*(?:job-criteria|workplace|location-type)|data-testid=.*(?:workplace|location-type))"
-    spoken = r"(?i)\b(?:workplace|work\s*type|remote|hybrid|on[-\s]?site|in[-\s]?office)\b"
-    tracked = r"(?i)\b(?:workplace|work\s*type|(?:job[-\s]?)?location[-\s]?type)\b"
+    spoken = rf"(?i)\b{t.phrases('workplace', 'work type', *t.KINDS[:4])}\b"
+    tracked = rf"(?i)\b{t.phrases('workplace', 'work type', 'job location type', 'location type')}\b"
 
     def told(m):
         value = lambda k: found(m["mark"], f"(?m)^{k}=(.*)$")
@@ -163,7 +179,7 @@ def linkedin_about(marked: Column, selected) -> Column:
 
 def described_work(about: Column) -> Column:
     """What a description says of where the work is done."""
-    low = F.lower(about)
-    remote = r"\b(?:fully\s+remote|remote\s+(?:role|position|job|opportunity)|work\s+(?:remotely|from\s+home)|telecommute)\b"
-    onsite = r"\b(?:on[-\s]?site\s+(?:role|position|job)|in[-\s]?office|office[-\s]?based|based\s+(?:out\s+of|in))\b"
-    return first_of([(low.rlike(r"\bhybrid\b"), "Hybrid"), (low.rlike(remote), "Remote"), (low.rlike(onsite), "Onsite")], "")
+    remote = t.phrases("fully remote", "work remotely", "work from home", "telecommute", *(f"remote {w}" for w in (*work.WORK, "opportunity")), join=r"\s+")
+    onsite = t.phrases("in office", "office based", "based out of", "based in", *(f"on site {w}" for w in work.WORK))
+    says = lambda words: F.lower(about).rlike(rf"\b{words}\b")
+    return first_of([(says("hybrid"), "Hybrid"), (says(remote), "Remote"), (says(onsite), "Onsite")], "")
