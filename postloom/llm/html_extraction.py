@@ -23,9 +23,12 @@ TEXT = HEADINGS | frozenset("p li pre dt dd blockquote td th caption figcaption
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar tablist toolbar".split())
 #: Words of class names and ids that stand for boilerplate, those that do so outside of articles only, and words of layout.
 ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr notice notices newsletter".split())
-NAMES = ADVERTS | frozenset("banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus replies responses alert popup modal overlay subscribe signup login share sharing social related recommended pagination pager skip widget widgets toolbar".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies responses".split())
+NAMES = ADVERTS | COMMENTS | frozenset("banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead alert popup modal overlay subscribe signup login share sharing social related recommended pagination pager skip widget widgets toolbar".split())
 OUTSIDE = frozenset("header topbar".split())
 LAYOUT = frozenset("area article articles bar block body bottom box button buttons buttons card cards column container content count entry footer global group header inner item items js left link links list main outer page panel policy post posts primary right row secondary section site slot stories story text thread top unit wrap wrapper".split())
+#: Words that name whose comments they are, or in what form.
+WHOSE = frozenset("user users reader readers visitor visitors public guest guests feed stream tree threads reply discussion new all view".split())
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"])}
 WORD = re.compile("[a-z]+")
 HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
@@ -40,11 +43,18 @@ def boilerplate_name(name: str, listed: frozenset[str]) -> bool:
     return any(w in listed for w in words) and all(w in listed or w in LAYOUT or len(w) == 1 for w in words)
 
 
+def comments_name(name: str) -> bool:
+    """A name of reader comments, theirs or in a form of list: user-comments, comment-thread, but not comments-open."""
+    words = WORD.findall(name.lower())
+    return any(w in COMMENTS for w in words) and all(w in COMMENTS or w in LAYOUT or w in WHOSE or len(w) == 1 for w in words)
+
+
 class Lines(HTMLParser):
     """Events to lines, one per block of text outside of boilerplate elements.
 
     A line is (text, tags, link characters, node); nodes are the open blocks as a tree:
-    ``parent``, ``kind`` (tag) and ``named`` (by its class or id boilerplate) by number.
+    ``parent``, ``kind`` (tag), ``named`` (by its class or id boilerplate) and ``said``
+    (by these reader comments) by number.
     Every event takes amortised constant time: open elements are found by tag, and
     those closed out of order are struck out where they stand.
     """
@@ -56,7 +66,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.skipped = 0
-        self.parent, self.kind, self.named, self.inside = [0], ["html"], [False], [False]
+        self.parent, self.kind, self.named, self.said, self.inside = [0], ["html"], [False], [False], [False]
         self.node = 0
 
     def flush(self) -> None:
@@ -106,6 +116,7 @@ class Lines(HTMLParser):
             self.parent.append(self.node)
             self.kind.append(tag)
             self.named.append(self.names(tag if tag in BLOCK else "div", known))
+            self.said.append(tag not in ("html", "body", "main") and tag not in TEXT and any(comments_name(n) for n in (*(known.get("class") or "").split(), known.get("id") or "")))
             self.inside.append(self.inside[self.node] or tag in ("article", "main"))
             self.node = len(self.parent) - 1
 
@@ -187,20 +198,82 @@ def below(parent: Sequence[int], start: Sequence[bool]) -> np.ndarray:
     return out
 
 
+def within(weights: np.ndarray, parent: Sequence[int], blocked: np.ndarray) -> np.ndarray:
+    """As ``subtree``, but what lies in a blocked node does not count above it."""
+    out = weights.astype(float).copy()
+    for k in range(len(parent) - 1, 0, -1):
+        if not blocked[k]:
+            out[parent[k]] += out[k]
+    return out
+
+
+def boilerplate(page: Lines, weight: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Nodes in blocks that class or id name as boilerplate.
+
+    Reader comments always are, unless a page has nothing else.  Other named blocks stay
+    around the page's own article or main element: the one with most text outside of named
+    blocks, and rather one outside of them unless that has less than a quarter of the
+    most; on pages without such elements, if they hold most of the text.
+    """
+    parent, of_lines = page.parent, np.bincount(node, weight, len(page.parent))
+    said = below(parent, page.said)
+    if not of_lines[~said].any():
+        said[:] = False
+    named = np.array(page.named) & ~said
+    own = within(of_lines, parent, named | said)
+    marked = np.array([k in ("article", "main") for k in page.kind]) & ~said & (own > 0)
+    stays = np.zeros(len(parent), bool)
+    if marked.any():
+        apart = marked & ~below(parent, named)
+        pick = apart if apart.any() and 4 * own[apart].max() >= own[marked].max() else marked
+        k = int(np.argmax(np.where(pick, own, -1)))
+        while k:
+            stays[k], k = True, parent[k]
+    else:
+        all_of = subtree(of_lines, parent)
+        stays = 2 * all_of > all_of[0]
+    return said | below(parent, named & ~stays)
+
+
+def regions(page: Lines, mass: np.ndarray, high: np.ndarray) -> list[int]:
+    """The nodes that hold the page's main text: article elements, a main element, or a container.
+
+    A main element counts if it has more than half of the mass, and in it, or in a page
+    without one, all outermost articles that hold a line of the upper cluster, if they
+    have more than half of it together.  Else the page shrinks to the one container that has all but a
+    tenth of the mass, again and again.
+    """
+    parent, kind = page.parent, page.kind
+    main = max((k for k, t in enumerate(kind) if t == "main"), key=lambda k: mass[k], default=0)
+    top = main if 2 * mass[main] > mass[0] else 0
+    inner = below(parent, np.arange(len(parent)) == top)
+    article = np.array([t == "article" for t in kind])
+    outer = article & ~below(parent, article)[np.array(parent)] & inner & (high > 0)
+    found = np.flatnonzero(outer).tolist()
+    if found and 2 * mass[found].sum() > mass[top]:
+        return found
+    if top:
+        return [top]
+    children: dict[int, list[int]] = {}
+    for k in range(1, len(parent)):
+        children.setdefault(parent[k], []).append(k)
+    region = 0
+    while (best := max(children.get(region, ()), key=lambda k: mass[k], default=None)) is not None and kind[best] not in TEXT and 10 * mass[best] >= 9 * mass[region] > 0:
+        region = best
+    return [region]
+
+
 def select(page: Lines, sigma: float = 1.0) -> list[int]:
-    """The numbers of the lines of the content region, in page order.
+    """The numbers of the lines of the content regions, in page order.
 
     Each line's ratio is its characters outside of links by its tags.  Ratios are
     smoothed over neighbouring lines and split in two clusters; the characters of
     the upper cluster are the mass of the blocks that hold them, ``BONUS`` times as
-    much in an article or main element.  Blocks whose class or id names boilerplate
-    go, unless they hold the page's article or main element or, where a page has none,
-    most of its characters.  From the whole page the region
-    shrinks to the container inside it that has more than half the mass, down to an
-    article or to where no container has.  An article or main region is kept whole;
-    of any other the lines from the first to the last of the upper cluster and the
-    paragraphs, items and headings that adjoin them, without those that are mostly
-    links.  Headings right before the region belong to it.
+    much in an article or main element.  Boilerplate goes, then the regions with the
+    mass are kept: articles and main elements whole; of any other container the lines from the
+    first to the last of the upper cluster and the paragraphs, items and headings that
+    adjoin them, without items and cells that are mostly links.  Headings right before
+    the first region belong to it.
     """
     if not page.lines:
         return []
@@ -210,10 +283,7 @@ def select(page: Lines, sigma: float = 1.0) -> list[int]:
     tags = np.array([max(1, x[1]) for x in page.lines])
     node = np.array([x[3] for x in page.lines])
     of_nodes = lambda w: subtree(np.bincount(node, w, len(parent)), parent)
-    chars = of_nodes(free if free.any() else size)
-    marks = subtree(np.array([k in ("article", "main") for k in kind]), parent)
-    holds = marks > 0 if marks[0] else 2 * chars > chars[0]
-    fine = ~below(parent, np.array(page.named) & ~holds)[node]
+    fine = ~boilerplate(page, free if free.any() else size, node)[node]
     if not fine.any():
         return []
     high = np.zeros(len(size), bool)
@@ -223,18 +293,10 @@ def select(page: Lines, sigma: float = 1.0) -> list[int]:
     mass = of_nodes(np.where(high, free, 0) * np.where(marked[node], BONUS, 1.0))
     if not mass[0]:
         mass = of_nodes(np.where(fine, size, 0))
-    children: dict[int, list[int]] = {}
-    for k in range(1, len(parent)):
-        children.setdefault(parent[k], []).append(k)
-    region = 0
-    while kind[region] != "article":
-        best = max(children.get(region, ()), key=lambda k: mass[k], default=None)
-        if best is None or kind[best] in TEXT or 2 * mass[best] <= mass[region] or (kind[region] == "main" and kind[best] != "article" and not any(kind[k] == "article" for k in _chain(best, children, mass))):
-            break
-        region = best
-    inside = below(parent, np.arange(len(parent)) == region)[node] & fine
-    if kind[region] not in ("article", "main"):
-        inside &= 2 * free >= size
+    found = regions(page, mass, of_nodes(high))
+    inside = below(parent, np.isin(np.arange(len(parent)), found))[node] & fine
+    if kind[found[0]] not in ("article", "main"):
+        inside &= (2 * free >= size) | np.array([k == "p" for k in kind])[node]
         at = np.flatnonzero(inside & high)
         if len(at):
             first, last = int(at[0]), int(at[-1])
@@ -250,14 +312,6 @@ def select(page: Lines, sigma: float = 1.0) -> list[int]:
     return kept
 
 
-def _chain(start: int, children: dict[int, list[int]], mass: np.ndarray):
-    """The node and, step by step, its heaviest child that has more than half of its mass."""
-    while start is not None:
-        yield start
-        best = max(children.get(start, ()), key=lambda k: mass[k], default=None)
-        start = best if best is not None and 2 * mass[best] > mass[start] else None
-
-
 def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html or "")

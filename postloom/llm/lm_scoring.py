@@ -9,9 +9,8 @@ from postloom.llm.common import cut
 from postloom.llm.ngrams import context, explode, score, suffix
 
 #: Bytes of an n-gram, the factor for each order given up, and how often the corpus must hold an n-gram of two or
-#: more bytes for it to count as seen.  The corpus holds the documents that are scored: an n-gram that occurs once
-#: is in one document only, which would vouch for itself.
-ORDER, BACKOFF, LEAST = 5, 0.4, 2
+#: more bytes for it to count as seen.  With 2 a document does not vouch for n-grams that only it has.
+ORDER, BACKOFF, LEAST = 5, 0.4, 1
 
 
 def stupid_backoff(grams: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST) -> DataFrame:
