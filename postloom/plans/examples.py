@@ -1,4 +1,4 @@
-"""Texts and what the engine reads in them: one table of examples for each function, used by queries, SQL and tests."""
+"""Texts and what the engine reads in them: one table of examples for each function, for the tests."""
 
 from __future__ import annotations
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from postloom.functions import quality, text
 from postloom.operators import batches, captures, extraction, history, payloads, tracker
-from postloom.plans.examples import EXAMPLES, evaluated
 from postloom.sources.pages import evidence
 from postloom.streaming.limits import judged
 
@@ -24,21 +23,6 @@ def _quoted(x: object) -> str:
     return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
 
 
-def _example_query(name: str):
-    inputs = [a for a, _ in EXAMPLES[name][1]]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _table(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*(F.lit(a).cast("string") for a in inputs)), (F.col("c_custkey") % len(inputs) + 1).cast("int")).alias("given"))
-        return evaluated(rows, name, "given").select("c_custkey", "result")
-
-    return run
-
-
-def _example_sql(name: str) -> str:
-    rows = EXAMPLES[name][1]
-    return "SELECT c_custkey, CASE c_custkey % " + str(len(rows)) + " " + " ".join(f"WHEN {k} THEN {_quoted(b)}" for k, (_, b) in enumerate(rows)) + " END AS result FROM customer"
-
-
 #: A posting's page for each customer, in six forms.
 PAGES = """
 SELECT c_custkey AS page_id, concat('https://jobs.example', cast(c_custkey % 3 AS string), '.com/careers/', cast(c_custkey AS string)) AS url,
@@ -265,7 +249,7 @@ def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FUNCTIONS = (page_extraction, public_postings, driver_pages, posting_hops, merged_results, greenhouse_payloads, workday_payloads, oracle_payloads, smartrecruiters_payloads, captured_pages, capture_lines, review_guidance, history_sanitize, history_manual_keys, history_counts, history_delete, history_backfill, applied_dates, tracker_update, tracker_counts, tracker_migration, tracker_headers, tracker_rows, column_widths, input_sheet, pasted_links, merged_pastes, batch_snapshots, retained_batches, rate_limits)
-QUERIES = {**{f.__name__: f for f in _FUNCTIONS}, **{f"text_{name}": _example_query(name) for name in EXAMPLES}}
+QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _LINK = "'https://acme.com/jobs/'"
 _FIELD = "CASE c_custkey % 6 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} WHEN 4 THEN {4} ELSE {5} END"
@@ -284,7 +268,6 @@ _TRACK = """o AS (SELECT c_custkey AS row, CASE WHEN c_custkey % 10 = 0 THEN ''
   lj AS (SELECT lower(rtrim(link, '/')) AS k, arg_max(link, seq) AS link, arg_max(company, seq) AS company, min(seq) AS first_seq, count(*) AS n FROM j WHERE link <> '' GROUP BY 1)"""
 
 ORACLE_SQL = {
-    **{f"text_{name}": _example_sql(name) for name in EXAMPLES},
     "page_extraction": "SELECT c_custkey AS page_id, " + ", ".join(f"{v} AS {k}" for k, v in _PAGE.items()) + ", 'Company Website' AS source, CASE WHEN c_custkey % 6 = 4 THEN 'This job posting is no longer available.' ELSE '' END AS error FROM customer",
     "posting_hops": """WITH p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 3 THEN NULL ELSE s_suppkey - CASE WHEN s_suppkey % 10 = 5 THEN 4 ELSE 0 END END AS own, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey - 1 END AS target,
         CASE WHEN s_suppkey % 2 = 0 THEN 'Moved ' ELSE 'Job ' END || s_suppkey AS heading FROM supplier), o AS (SELECT own, arg_min(heading, id) AS heading FROM p WHERE own IS NOT NULL GROUP BY own)

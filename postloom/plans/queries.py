@@ -9,7 +9,7 @@ from postloom.functions import quality as q
 from postloom.functions import urls as u
 from postloom.functions.salary import convert_salary, parse_salary
 from postloom.operators import batches, history, tracker
-from postloom.plans import boards, flows, more
+from postloom.plans import boards, fields, flows, more
 
 #: Posting records derived from the star schema; the same text runs on both engines.
 POSTINGS = """
@@ -103,7 +103,7 @@ def rejected_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").select("s_suppkey", u.url_problem(link).alias("problem"))
 
 
-QUERIES = {f.__name__: f for f in (url_identity, url_admission, source_tracking, posting_quality, issue_counts, salary_conversion, work_type_default, history_upsert, history_search, tracker_append, rejected_links)} | more.QUERIES | boards.QUERIES | flows.QUERIES
+QUERIES = {f.__name__: f for f in (url_identity, url_admission, source_tracking, posting_quality, issue_counts, salary_conversion, work_type_default, history_upsert, history_search, tracker_append, rejected_links)} | more.QUERIES | boards.QUERIES | flows.QUERIES | fields.QUERIES
 
 _P = "WITH p AS (" + POSTINGS.format(customer="customer", nation="nation") + ")"
 _KEY = """{h} || CASE WHEN {p} = '' THEN '/' ELSE {p} END || CASE WHEN len({k}) > 0 THEN '?' || array_to_string({k}, '&') ELSE '' END"""
@@ -135,6 +135,7 @@ ORACLE_SQL = {
     **more.ORACLE_SQL,
     **boards.ORACLE_SQL,
     **flows.ORACLE_SQL,
+    **fields.ORACLE_SQL,
     "url_identity": _PAGES + " SELECT page_id, url_key, h AS host FROM w",
     "url_admission": _PAGES + " SELECT url_key AS key, arg_min(link, page_id) AS link, min(page_id) AS place, count(*) AS times FROM w GROUP BY url_key",
     "source_tracking": _P + f""" SELECT id, CASE WHEN {_HOST} = 'linkedin.com' THEN 'linkedin' WHEN {_HOST} LIKE '%greenhouse.io' THEN 'greenhouse' WHEN {_HOST} = 'monster.com' THEN 'monster' WHEN {_HOST} LIKE '%myworkdayjobs.com' THEN 'workday' ELSE 'company_website' END AS platform,
