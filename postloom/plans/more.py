@@ -261,7 +261,6 @@ _PAGE = {
     "work_type": _FIELD.format("'Remote'", "'Hybrid'", "'Onsite'", "'Remote'", "''", "''"),
     "salary": _FIELD.format("''", "'$' || (20 + c_custkey % 50) || ' - $' || (80 + c_custkey % 10) || ' per hour'", "''", "''", "''", "''"),
 }
-_GUIDE = sorted(quality.GUIDANCE)
 _TRACK = """o AS (SELECT c_custkey AS row, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE 'https://Acme.com/Jobs/' || (c_custkey % 500) || CASE WHEN c_custkey % 2 = 0 THEN '/' ELSE '' END END AS link, c_name AS company FROM customer),
   j AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'https://acme.com/jobs/' || (o_custkey % 900) END AS link, 'C' || o_orderkey AS company FROM orders),
   lr AS (SELECT lower(rtrim(link, '/')) AS k, max(row) AS row FROM o WHERE link <> '' GROUP BY 1),
@@ -278,7 +277,25 @@ ORACLE_SQL = {
     "oracle_payloads": "SELECT s_suppkey, 'JPMorgan Chase & Co.' AS company, 'Analyst ' || s_suppkey AS job_title, 'Boston, MA' AS location, 'Hybrid' AS work_type, CASE WHEN s_suppkey % 2 = 0 THEN '$20 - $30 per hour' ELSE '$70,000 per year' END AS salary, 'Company Website' AS source FROM supplier",
     "smartrecruiters_payloads": "SELECT s_suppkey, s_name AS company, 'Analyst ' || s_suppkey AS job_title, 'Berlin, Germany' AS location, CASE WHEN s_suppkey % 3 = 0 THEN 'Hybrid' WHEN s_suppkey % 2 = 0 THEN 'Remote' ELSE 'Onsite' END AS work_type, '$10 per hour' AS salary, 'SmartRecruiters' AS source FROM supplier",
     "capture_lines": "SELECT s_suppkey, s_name || '|Boston|Row ' || (s_suppkey % 5) AS lines FROM supplier",
-    "review_guidance": "WITH g AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {_quoted(c)}, {_quoted(quality.GUIDANCE[c][0])}, {_quoted('/'.join(quality.GUIDANCE[c][1:]))})" for k, c in enumerate(_GUIDE)) + f") AS t(k, code, note, detail)) SELECT s_suppkey, CASE WHEN code < 'odd_code' THEN note || ' odd code' ELSE 'odd code ' || note END AS notes, CASE WHEN code < 'odd_code' THEN detail || '; Odd Code/Row/Review this row.' ELSE 'Odd Code/Row/Review this row.; ' || detail END AS details FROM supplier JOIN g ON s_suppkey % {len(_GUIDE)} = k",
+    "review_guidance": """WITH g AS (SELECT * FROM (VALUES
+        (0, 'capture_low_confidence', 'The capture did not have clear labels for these fields.', 'Capture needs a closer look/Captured row/Choose one of the suggestions or type the correct value.'),
+        (1, 'captured_page_review', 'The browser capture may include extra site text.', 'Check this browser capture/Captured row/Remove any menu, button, or footer text that slipped into the fields.'),
+        (2, 'company_looks_like_page_text', 'Company may be copied from page text.', 'Company has extra text/Company/Keep only the employer name.'),
+        (3, 'generic_company', 'Company name looks too generic.', 'Company too generic/Company/Replace the job-board name with the real employer.'),
+        (4, 'generic_job_title', 'Job title looks like a blocked or generic page.', 'Title too generic/Job title/Replace blocked-page text with the real role title.'),
+        (5, 'invalid_work_type', 'Work type should be Remote, Hybrid, Onsite, or n/a.', 'Work type invalid/Work Type/Use Remote, Hybrid, Onsite, or n/a.'),
+        (6, 'job_search_page', 'This link opened a list of jobs instead of one posting.', 'Job list link/Link/Open one specific job posting and paste that link instead.'),
+        (7, 'linkedin_work_type_hidden', 'LinkedIn hid the work type from its public page.', 'Work type hidden/Work Type/Open the signed-in LinkedIn posting and use browser capture to read the visible tag.'),
+        (8, 'location_looks_like_page_text', 'Location may include extra page text.', 'Location has extra text/Location/Keep only the city/state/country.'),
+        (9, 'location_looks_like_work_type', 'Location may be a work type instead of a place.', 'Location looks wrong/Location/Move Remote/Hybrid/Onsite to Work Type and enter the actual place if listed.'),
+        (10, 'low_confidence', 'This row is not certain.', 'Needs a closer look/Row/Check this row before saving it.'),
+        (11, 'missing_company', 'Company is missing.', 'Company missing/Company/Open the posting and fill in the employer name.'),
+        (12, 'missing_job_title', 'Job title is missing.', 'Job title missing/Job title/Open the posting and fill in the role title.'),
+        (13, 'missing_location', 'Location is missing.', 'Location missing/Location/Fill in the location if the posting shows one.'),
+        (14, 'monster_search_page', 'Monster search pages show many jobs at once. Use the employer/company link from Monster instead.', 'Monster unsupported/Link/Use the employer/company job page that Monster opens.'),
+        (15, 'scrape_error', 'The page could not be read.', 'Page could not be read/Link/Retry, use browser capture, or fix the fields yourself and choose the checkmark.'),
+        (16, 'unavailable_posting', 'The posting is unavailable or has expired.', 'Posting unavailable/Link/Remove this row or replace the link with an active posting.')) AS t(k, code, note, detail))
+      SELECT s_suppkey, CASE WHEN code < 'odd_code' THEN note || ' odd code' ELSE 'odd code ' || note END AS notes, CASE WHEN code < 'odd_code' THEN detail || '; Odd Code/Row/Review this row.' ELSE 'Odd Code/Row/Review this row.; ' || detail END AS details FROM supplier JOIN g ON s_suppkey % 17 = k""",
     "history_sanitize": """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'https://a.com/' || c_custkey WHEN 1 THEN 'javascript:x' ELSE '' END AS job_link, 500 AS n_company, CAST(greatest(0, least(100, c_custkey - 20)) AS INTEGER) AS confidence_score, 20 AS n_issues,
       CASE c_custkey % 4 WHEN 1 THEN 'History can only save complete http:// or https:// job links.' WHEN 3 THEN 'A history row needs a job link or a company and job title.' END AS problem FROM customer""",
     "history_manual_keys": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'url:acme.com/jobs/' || c_custkey ELSE 'manual:' || sha256('01/02/2024' || chr(10) || lower(c_name) || chr(10) || 'clerk' || chr(10)) END AS key FROM customer",
@@ -309,4 +326,9 @@ ORACLE_SQL = {
     "captured_pages": """SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Acme Labs' ELSE 'Globex' END AS company, CASE WHEN s_suppkey % 2 = 0 THEN 'Analyst ' ELSE 'Buyer ' END || s_suppkey AS job_title, CASE WHEN s_suppkey % 2 = 0 THEN 'Austin, TX' ELSE 'Boston, MA' END AS location,
       CASE WHEN s_suppkey % 2 = 0 THEN 'Hybrid' ELSE '' END AS work_type, CASE WHEN s_suppkey % 2 = 0 THEN '$50,000 - $60,000 per year' ELSE '$30 - $40 per hour' END AS salary, CASE WHEN s_suppkey % 2 = 0 THEN 'page_label' ELSE 'text' END AS company_from, CASE WHEN s_suppkey % 2 = 0 THEN 'page_label' ELSE 'text' END AS location_from,
       CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'captured_page_review' END AS issues, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 79 ELSE 71 END AS INTEGER) AS confidence_score, CASE WHEN s_suppkey % 2 = 0 THEN 'Austin, TX' ELSE '' END AS places FROM supplier""",
+    "rate_limits": """WITH RECURSIVE e AS (SELECT event_type AS scope, user_id AS client, CAST(ts AS TIMESTAMP) AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts) AS n FROM events),
+      s AS (SELECT DISTINCT scope, client, CAST(0 AS BIGINT) AS n, CAST([] AS TIMESTAMP[]) AS held, false AS allowed FROM e
+        UNION ALL SELECT e.scope, e.client, e.n, CASE WHEN len(list_filter(s.held, lambda x: x >= e.t - INTERVAL 1 HOUR)) < 3 THEN list_append(list_filter(s.held, lambda x: x >= e.t - INTERVAL 1 HOUR), e.t) ELSE list_filter(s.held, lambda x: x >= e.t - INTERVAL 1 HOUR) END,
+          len(list_filter(s.held, lambda x: x >= e.t - INTERVAL 1 HOUR)) < 3 FROM s JOIN e ON e.scope = s.scope AND e.client = s.client AND e.n = s.n + 1)
+      SELECT client, allowed, count(*) AS n FROM s WHERE n > 0 GROUP BY ALL""",
 }

@@ -50,9 +50,13 @@ def url_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.admit(links).select("key", "link", "place", "times")
 
 
+#: Links to lists and to postings of boards, and each posting's own.
+LISTED = "CASE id % 9 WHEN 0 THEN concat('https://www.indeed.com/q-', id, '-jobs.html') WHEN 1 THEN concat('https://uk.linkedin.com/jobs/search/?keywords=', id) WHEN 2 THEN concat('https://www.linkedin.com/jobs/view/', id) WHEN 3 THEN concat('https://www.glassdoor.com/Job/ohio-', id, '-jobs-SRCH_1.htm') WHEN 4 THEN 'https://www.ziprecruiter.com/jobs/search/' WHEN 5 THEN concat('https://www.simplyhired.com/job/', id) WHEN 6 THEN 'https://www.monster.com/jobs/search?q=x' ELSE job_link END"
+
+
 def source_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     link, old = F.col("job_link"), F.col("source")
-    return postings(spark, sf_dir).select("id", u.platform(link).alias("platform"), u.application_portal(link, old).alias("application_portal"), u.found_on(link, None, old).alias("found_on"), u.is_search_page(link).alias("is_search"))
+    return postings(spark, sf_dir).select("id", u.platform(link).alias("platform"), u.application_portal(link, old).alias("application_portal"), u.found_on(link, None, old).alias("found_on"), u.is_search_page(F.expr(LISTED)).alias("is_search"))
 
 
 def posting_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +131,7 @@ _ISSUES = _P + """, i AS (SELECT *, CASE WHEN job_link LIKE '%monster.com%' THEN
     CASE WHEN work_type = 'Mix' THEN 'invalid_work_type' END,
     CASE WHEN work_type = '' AND (source = 'LinkedIn' OR job_link LIKE '%linkedin.com/%') THEN 'linkedin_work_type_hidden' END,
     CASE WHEN error LIKE 'HTTP 404%' THEN 'unavailable_posting' WHEN error <> '' THEN 'scrape_error' END] if x IS NOT NULL]) AS codes FROM p),
-  f AS (SELECT code, penalty FROM (VALUES """ + ", ".join(f"('{k}', {v})" for k, v in q.PENALTIES.items()) + """) AS t(code, penalty)),
+  f AS (SELECT code, penalty FROM (VALUES ('missing_company', 18), ('missing_job_title', 22), ('missing_location', 16), ('generic_company', 16), ('generic_job_title', 18), ('job_search_page', 42), ('company_looks_like_page_text', 18), ('location_looks_like_page_text', 14), ('location_looks_like_work_type', 14), ('invalid_work_type', 10), ('linkedin_work_type_hidden', 8), ('captured_page_review', 8), ('capture_low_confidence', 15), ('unavailable_posting', 28), ('scrape_error', 28), ('monster_search_page', 35)) AS t(code, penalty)),
   d AS (SELECT i.id, sum(penalty) AS lost FROM (SELECT id, unnest(codes) AS code FROM i) i JOIN f USING (code) GROUP BY i.id),
   s AS (SELECT i.*, CAST(greatest(0, 95 - CASE reliability WHEN 'Limited' THEN 18 WHEN 'Okay' THEN 8 ELSE 0 END - coalesce(lost, 0)) AS INTEGER) AS confidence_score FROM i LEFT JOIN d USING (id))"""
 
@@ -141,7 +145,7 @@ ORACLE_SQL = {
     "source_tracking": _P + f""" SELECT id, CASE WHEN {_HOST} = 'linkedin.com' THEN 'linkedin' WHEN {_HOST} LIKE '%greenhouse.io' THEN 'greenhouse' WHEN {_HOST} = 'monster.com' THEN 'monster' WHEN {_HOST} LIKE '%myworkdayjobs.com' THEN 'workday' ELSE 'company_website' END AS platform,
         CASE WHEN {_HOST} = 'linkedin.com' THEN 'LinkedIn' WHEN {_HOST} LIKE '%greenhouse.io' THEN 'Greenhouse' WHEN {_HOST} = 'monster.com' THEN 'Monster' WHEN {_HOST} LIKE '%myworkdayjobs.com' THEN 'Workday' WHEN {_HOST} LIKE '%taleo.net' THEN 'Taleo' ELSE 'Company Website' END AS application_portal,
         CASE WHEN job_link LIKE '%utm_source=indeed%' THEN 'Indeed' WHEN source = 'LinkedIn' THEN 'LinkedIn' WHEN {_HOST} = 'linkedin.com' THEN 'LinkedIn' WHEN {_HOST} = 'monster.com' THEN 'Monster' ELSE 'N/A' END AS found_on,
-        false AS is_search FROM p""",
+        id % 9 IN (0, 1, 3, 4, 6) AS is_search FROM p""",
     "posting_quality": _ISSUES + """ SELECT id, array_to_string(codes, ',') AS issues, reliability, confidence_score,
         CASE WHEN error <> '' THEN 'Low' WHEN confidence_score >= 82 THEN 'High' WHEN confidence_score >= 58 THEN 'Medium' ELSE 'Low' END AS confidence FROM s""",
     "issue_counts": _ISSUES + " SELECT issue, count(*) AS n, min(confidence_score) AS least_score FROM (SELECT unnest(codes) AS issue, confidence_score FROM s) GROUP BY issue",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,15 +15,19 @@ def seconds(times: pd.Series) -> list[float]:
     return (times.dt.tz_localize("UTC") if times.dt.tz is None else times).map(pd.Timestamp.timestamp).tolist()
 
 
-def admitted(times: list[float], held: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
-    """Which requests (in order of time) are allowed: fewer than ``limit`` allowed ones lie within the window before; rejected ones do not count."""
-    out = []
-    for t in times:
-        held = [x for x in held if x >= t - window]
-        out.append(len(held) < limit)
-        if out[-1]:
-            held.append(t)
-    return out, held
+class Window:
+    """The times of the allowed requests of one key that lie within ``seconds`` before the last: ``limit`` at most."""
+
+    def __init__(self, limit: int, seconds: float, held: Iterable[float] = ()):
+        self.limit, self.seconds, self.held = limit, seconds, deque(held)
+
+    def take(self, t: float) -> bool:
+        """Whether a request, not earlier than the last, is allowed; rejected ones do not count."""
+        while self.held and self.held[0] < t - self.seconds:
+            self.held.popleft()
+        if ok := len(self.held) < self.limit:
+            self.held.append(t)
+        return ok
 
 
 def rate_limit(requests: DataFrame, limit: int, window_seconds: int = 600, key: str = "client", scope: str = "scope", at: str = "ts", watermark: str = "10 minutes") -> DataFrame:
@@ -37,7 +42,8 @@ def rate_limit(requests: DataFrame, limit: int, window_seconds: int = 600, key:
             state.remove()
             return
         rows = pd.concat([b[[at]] for b in batches]).sort_values(at, kind="stable")  # times only
-        allowed, held = admitted(seconds(rows[at]), list(state.get[0]) if state.exists else [], limit, window_seconds)
+        window = Window(limit, window_seconds, state.get[0] if state.exists else ())
+        allowed, held = [window.take(t) for t in seconds(rows[at])], list(window.held)
         yield pd.DataFrame({scope: name[0], key: name[1], at: rows[at].to_numpy(), "allowed": allowed})
         state.update((held,))
         state.setTimeoutTimestamp(max(int(1000 * (max(held, default=0) + window_seconds)), state.getCurrentWatermarkMs() + 1))
@@ -55,13 +61,13 @@ def judged(requests: DataFrame, limit: int, window_seconds: int = 600, key: str
     schema = requests.select(scope, key, F.col(at).cast("timestamp").alias(at)).withColumn("allowed", F.lit(True)).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, now = [], None
+        window, now = None, None
         for batch in batches:
             allowed = []
             for s, k, t in zip(batch[scope], batch[key], seconds(batch[at]), strict=True):
-                held, now = (held if (s, k) == now else []), (s, k)
-                (ok,), held = admitted([t], held, limit, window_seconds)
-                allowed.append(ok)
+                if window is None or (s, k) != now:
+                    window, now = Window(limit, window_seconds), (s, k)
+                allowed.append(window.take(t))
             yield batch.assign(allowed=allowed)
 
     rows = requests.select(scope, key, F.col(at).cast("timestamp").alias(at))
