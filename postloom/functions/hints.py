@@ -63,10 +63,11 @@ def split_slug(slug: Column) -> Column:
     return bind(bare, read)
 
 
-def link_hints(url: Column) -> Column:
+def link_hints(url: Column, board: Column | None = None, link_place: Column | None = None) -> Column:
     """struct<company, job_title, location> from the path of boards whose links name the posting; '' where they do not.
 
     First the parts of the path that hold each are chosen, then all are cleaned alike.
+    ``board`` and ``link_place`` are the link's platform and place, if they are known.
     """
     cities = lookup(INDIAN_CITIES)
     no = F.lit("")
@@ -104,12 +105,12 @@ def link_hints(url: Column) -> Column:
                 (h.contains("naukri.com"), bind(F.filter(F.split(naukri, "-"), lambda t: t != ""), indian)),
                 (h.contains("glassdoor.com") & (behind("job-listing") != ""), glassdoor(dropped(behind("job-listing"), r"(?i)-JV_.*$"))),
                 (h.contains("dayforcehcm.com"), raw(_client(parts))),
-                (h.contains("talents.vaia.com") & (behind("companies") != ""), raw(behind("companies"), dropped(F.coalesce(F.try_element_at(parts, F.lit(3)), no), r"-\d+$"), from_link(url))),
+                (h.contains("talents.vaia.com") & (behind("companies") != ""), raw(behind("companies"), dropped(F.coalesce(F.try_element_at(parts, F.lit(3)), no), r"-\d+$"), from_link(url) if link_place is None else link_place)),
             ],
             raw(),
         )
 
-    known = F.struct(bare_host(url).alias("h"), platform(url).alias("board"), segments(url).alias("parts"))
+    known = F.struct(bare_host(url).alias("h"), (platform(url) if board is None else board).alias("board"), segments(url).alias("parts"))
     chosen = bind(known, lambda x: F.struct(choose(x).alias("raw"), (x["board"] == "linkedin").alias("linkedin")))
     company = lambda y: bind(slug_name(y["raw"]["company"]), lambda v: F.when(y["linkedin"], acronyms(v)).otherwise(v))
     return bind(chosen, lambda y: F.struct(company(y).alias("company"), slug_title(y["raw"]["title"]).alias("job_title"), y["raw"]["place"].alias("location")))
@@ -124,9 +125,9 @@ def dayforce_company(url: Column) -> Column:
     return slug_name(_client(segments(url)))
 
 
-def company_from_link(url: Column) -> Column:
+def company_from_link(url: Column, board: Column | None = None) -> Column:
     """The employer by the board's path, a tenant's host or the host's own name; '' on boards that do not say."""
-    h, board, first = bare_host(url), platform(url), F.coalesce(F.try_element_at(segments(url), F.lit(1)), F.lit(""))
+    h, board, first = bare_host(url), platform(url) if board is None else board, F.coalesce(F.try_element_at(segments(url), F.lit(1)), F.lit(""))
     of_query = F.coalesce(F.try_element_at(F.filter(query_pairs(url), lambda x: (x["k"] == "for") & (x["v"] != "")), F.lit(1))["v"], F.lit(""))
     parts = F.split(h, r"\.")
     blocked = ["jobs", "careers", "boards", "apply", "job-boards", "job"]

@@ -153,18 +153,31 @@ def looks_internal(c: Column) -> Column:
     return t.rlike(r"\b[A-Z]{2,}\d*\s*[-_][A-Za-z]") | F.lower(t).startswith("locations ")
 
 
+def location_hits(c: Column) -> Column:
+    """All places that a text names, as they are written."""
+    pattern = rf"\b((?:Remote|Hybrid|United States|US|USA|{CITY},\s*(?:{ABBR}|United States|USA|Canada|UK|[A-Z][a-z]+)))\b"
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1))
+
+
+def listed_hits(c: Column) -> Column:
+    """Places of lists such as "USA, WA, Seattle USA, NY, New York Job details", city first."""
+    pattern = r"\bUSA,\s*([A-Z]{2},\s*[A-Za-z][A-Za-z.' -]+?)(?=\s+USA,|\s+Job details|\s+Recommended jobs|\s*$)"
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1)), lambda x: F.regexp_replace(x, r"^([A-Z]{2}),\s*(.+)$", "$2, $1"))
+
+
+def first_places(cleaned: Column, most: int, by: str) -> Column:
+    """The first cleaned places that are any, each once."""
+    return F.array_join(F.slice(F.array_distinct(F.filter(cleaned, lambda x: x != "")), 1, most), by)
+
+
 def locations_in(c: Column, most: int = 2) -> Column:
     """The first places that a text names, each once."""
-    pattern = rf"\b((?:Remote|Hybrid|United States|US|USA|{CITY},\s*(?:{ABBR}|United States|USA|Canada|UK|[A-Z][a-z]+)))\b"
-    hits = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1)), clean_location)
-    return F.array_join(F.slice(F.array_distinct(F.filter(hits, lambda x: x != "")), 1, most), ", ")
+    return first_places(F.transform(location_hits(c), lambda x: clean_location(x)), most, ", ")
 
 
 def listed_locations(c: Column, most: int = 3) -> Column:
-    """Places of lists such as "USA, WA, Seattle USA, NY, New York Job details", each once."""
-    pattern = r"\bUSA,\s*([A-Z]{2},\s*[A-Za-z][A-Za-z.' -]+?)(?=\s+USA,|\s+Job details|\s+Recommended jobs|\s*$)"
-    hits = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1)), lambda x: clean_location(F.regexp_replace(x, r"^([A-Z]{2}),\s*(.+)$", "$2, $1")))
-    return F.array_join(F.slice(F.array_distinct(F.filter(hits, lambda x: x != "")), 1, most), "; ")
+    """Places of a list, each once."""
+    return first_places(F.transform(listed_hits(c), lambda x: clean_location(x)), most, "; ")
 
 
 def without_title(location: Column, title: Column) -> Column:
@@ -209,9 +222,9 @@ def taleo_location(c: Column) -> Column:
     return bind(F.array(after_label(c, "location", labels), bare), lambda x: first_filled(read(x[0]), read(x[1])))
 
 
-def listed_countries(c: Column) -> Column:
-    """The place between "Countries" and "Cities" of a programme's page."""
-    return bind(after_label(c, "countries", ["Cities"]), lambda v: F.when(F.length(v).between(2, 160), clean_location(v)).otherwise(""))
+def countries_hit(c: Column) -> Column:
+    """The place between "Countries" and "Cities" of a programme's page, as it is written."""
+    return bind(after_label(c, "countries", ["Cities"]), lambda v: F.when(F.length(v).between(2, 160), v).otherwise(""))
 
 
 def workday_location(c: Column) -> Column:

@@ -124,7 +124,8 @@ def decisions(application: str) -> tuple[list[dict[str, Column]], list[Column]]:
     record = lambda k: F.coalesce(c(f"record.{k}"), no)
     first = lambda values: F.coalesce(F.try_element_at(F.filter(values, lambda v: v != ""), F.lit(1)), no)
     many = lambda *names: {n: F.coalesce(c(n), F.array().cast(PAGE[n])) for n in names}
-    steps.append({"board": urls.platform(c("url")), "host": urls.bare_host(c("url")), "hint": hints.link_hints(c("url")), **many("marked", "lines", "jobs")})
+    steps.append({"board": urls.platform(c("url")), "host": urls.bare_host(c("url")), "link_place": places.from_link(c("url")), **many("marked", "lines", "jobs")})
+    steps.append({"hint": hints.link_hints(c("url"), c("board"), c("link_place"))})
     paid = pay.structured_salary(record("salary_low"), record("salary_high"), record("salary_value"), record("salary_unit"), record("salary_currency"))
     steps.append({
         "found_title": stated("job_title", c("marked"), t.dropped(record("job_title"), r"(?i)\s*\|\s*LinkedIn$"), flat_text("job_title", c("flat"))),
@@ -165,21 +166,25 @@ def decisions(application: str) -> tuple[list[dict[str, Column]], list[Column]]:
         "criteria": F.when(c("linkedin"), sites.linkedin_criteria(c("marked"))).otherwise(no),
         "words": F.concat_ws(" ", "about", "meta_about", "text"),
     })
-    steps.append({f"found_{k}": first_filled(c(f"site.{f}"), c(f"found_{k}")) for k, f in (("title", "job_title"), ("company", "company"), ("location", "location"), ("salary", "salary"), ("work", "work_type"))})
+    steps.append({f"found_{k}": first_filled(pay.extract_salary(c("site.salary")) if k == "salary" else c(f"site.{f}"), c(f"found_{k}")) for k, f in (("title", "job_title"), ("company", "company"), ("location", "location"), ("salary", "salary"), ("work", "work_type"))})
     # one board's salaries stand in its own description or salary elements, all others' in the words of the page
     paying = F.when(c("linkedin"), F.concat(F.array("linkedin_about"), F.transform(F.array_sort(selected(c("marked"), SELECTORS["salary"])), lambda m: m["text"]))).otherwise(F.array("words"))
     label_text = F.when(c("linkedin"), F.concat_ws(" ", "criteria", F.substring("text", 1, 12000))).otherwise(c("text"))
     loose_text = F.when(c("linkedin"), c("criteria")).otherwise(F.concat_ws(" ", "found_location", first_filled(c("about"), c("text"))))
     labels = F.transform(sites.labelled_work_types(c("marked"), c("lines"), selected), work.normalize_work_type)
-    vendor = F.when(c("board") == "workday", places.workday_location(c("words"))).when(on("taleo.net"), places.taleo_location(c("text"))).when(on("amazon.jobs"), places.listed_locations(c("text"))).when(on("tal.net"), places.listed_countries(c("text"))).otherwise("")
+    # places that stand in labels, lists and the text are cleaned together, then taken apart again
+    none = F.array().cast("array<string>")
+    raw = {"label": sites.labelled_places(c("lines")), "text": places.location_hits(c("text")), "list": F.when(on("amazon.jobs"), places.listed_hits(c("text"))).otherwise(none), "country": F.when(on("tal.net"), F.array(places.countries_hit(c("text")))).otherwise(none)}
+    tagged = F.concat(*(F.transform(v, lambda x: F.struct(F.lit(k).alias("kind"), x.alias("place"))) for k, v in raw.items()))
+    spots = lambda kind, most, by: places.first_places(F.transform(F.filter("spots", lambda x: x["kind"] == kind), lambda x: x["place"]), most, by)
+    vendor = F.when(c("board") == "workday", places.workday_location(c("words"))).when(on("taleo.net"), places.taleo_location(c("text"))).otherwise("")
     steps.append({
         "pays": F.transform(paying, pay.salary_evidence),
         "header_pay": F.when(c("board") == "wellfound", pay.header_salary(c("text"))).otherwise(""),
-        "link_place": places.from_link(c("url")),
         "vendor": vendor,
-        "labelled_place": first(F.transform(sites.labelled_places(c("lines")), places.clean_location)),
+        "spots": F.transform(tagged, lambda x: F.struct(x["kind"].alias("kind"), places.clean_location(x["place"]).alias("place"))),
         "own": hints.own_company(c("url")),
-        "link_company": hints.company_from_link(c("url")),
+        "link_company": hints.company_from_link(c("url"), c("board")),
         "work_label": F.when(c("linkedin"), "").otherwise(first_filled(first(labels), work.strong_label(c("text")), work.statement(c("about")))),
         "chips": F.when(c("linkedin"), first(F.transform(sites.linkedin_chips(c("marked")), work.extract_work_type))).otherwise(no),
         "weak": F.struct(work.labelled(label_text).alias("label"), work.extract_work_type(loose_text).alias("words")),
@@ -189,6 +194,8 @@ def decisions(application: str) -> tuple[list[dict[str, Column]], list[Column]]:
     steps.append({
         "found_work": first_of([(c("found_work") == "n/a", F.when(c("linkedin"), loose).otherwise(no)), (c("work_label") != "", c("work_label")), (work.normalize_work_type(c("found_work")) != "", c("found_work"))], loose),
         "paid": F.coalesce(told, F.try_element_at("pays", F.lit(1))),
+        "labelled_place": spots("label", 1, ""),
+        "vendor": first_filled(c("vendor"), spots("country", 1, ""), spots("list", 3, "; ")),
     })
     # base pay, a more complete salary of the text, what was found, any; the vendor's place, what was found, the link's, the text's
     best = first_filled(c("header_pay"), c("paid.base"), c("paid.best"))
@@ -196,7 +203,7 @@ def decisions(application: str) -> tuple[list[dict[str, Column]], list[Column]]:
     only_type = F.lower("found_location").isin("remote", "hybrid", "onsite", "on-site") & (c("link_place") != "")
     steps.append({
         "found_salary": F.when(c("linkedin"), best).otherwise(first_filled(F.when(better, best).otherwise(""), c("found_salary"), best, c("paid.any"))),
-        "found_location": first_filled(c("vendor"), F.when(only_type, c("link_place")).otherwise(c("found_location")), c("link_place"), places.locations_in(c("text")), c("hint.location")),
+        "found_location": first_filled(c("vendor"), F.when(only_type, c("link_place")).otherwise(c("found_location")), c("link_place"), spots("text", 2, ", "), c("hint.location")),
         "company_": F.when(c("own") != "", c("own")).otherwise(bind(first_filled(t.clean_company(first_filled(c("found_company"), t.company_from_text(c("text")), c("link_company"))), c("link_company")), lambda v: F.when(quality.generic_employer(v), first_filled(c("hint.company"), c("title_company"), v)).otherwise(v))),
     })
     types = ("remote", "hybrid", "onsite", "on-site")

@@ -1,11 +1,14 @@
-"""What single boards show in their own layouts: titles of pages, headings, lines of text, nested application data."""
+"""What single boards show in their own layouts: titles of pages, headings, lines of text, nested application data.
+
+Places are as they are written, and salaries the texts that may hold them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postloom.functions import hints, pay, places, work
+from postloom.functions import hints, places, work
 from postloom.functions import text as t
 from postloom.functions.text import bind, found
 from postloom.functions.urls import first_of
@@ -38,7 +41,7 @@ def split_company_place(c: Column) -> Column:
         named = F.struct(F.trim(F.substr(head, F.lit(1), F.length(head) - F.length(city))).alias("company"), F.concat(t.title_case(city), state).alias("location"))
         return F.when(state != "", named).otherwise(F.struct(found(text, whole).alias("company"), found(text, whole, 2).alias("location")))
 
-    return bind(bind(t.norm(c), read), lambda x: F.struct(t.clean_company(x["company"]).alias("company"), places.clean_location(x["location"]).alias("location")))
+    return bind(bind(t.norm(c), read), lambda x: F.struct(t.clean_company(x["company"]).alias("company"), x["location"].alias("location")))
 
 
 def fields(title=None, company=None, location=None, salary=None, work_type=None) -> Column:
@@ -60,7 +63,7 @@ def ziprecruiter(title: Column, meta_title: Column, heading: Column, text: Colum
     def shown(x):
         top = F.substring(x["behind"], 1, 500)
         kind = bind(work.extract_work_type(top), lambda v: F.when(v == "", "n/a").otherwise(v))
-        paid = F.coalesce(F.try_element_at(F.filter(F.transform(F.array(top, x["head"]), pay.extract_salary), lambda s: s != ""), F.lit(1)), F.lit(""))
+        paid = F.concat_ws(" | ", top, x["head"])
         company = t.first_filled(x["split"]["company"], F.when(F.contains(text, F.lit(" About ")), about).otherwise(""))
         return fields(x["name"], company, t.first_filled(x["split"]["location"], x["town"]), paid, kind)
 
@@ -104,11 +107,11 @@ def dayforce(jobs: Column, url: Column) -> Column:
 
         def shown(s):
             city, state = get(s, "cityName"), places.state_abbrev(get(s, "stateCode"))
-            return F.when((city != "") & (state != ""), F.concat(t.clean_value(city), F.lit(", "), state)).otherwise(places.clean_location(get(s, "formattedAddress")))
+            return F.when((city != "") & (state != ""), F.concat(t.clean_value(city), F.lit(", "), state)).otherwise(t.clean_value(get(s, "formattedAddress")))
 
         where = F.coalesce(F.try_element_at(F.filter(F.transform(spots, shown), lambda v: v != ""), F.lit(1)), F.lit(""))
         remote = F.when(F.coalesce(F.try_variant_get(x, "$.hasVirtualLocation", "boolean"), F.lit(False)) & (F.size(spots) == 0), "Remote").otherwise("")
-        return bind(about, lambda a: fields(get(x, "jobTitle"), hints.dayforce_company(url), where, pay.extract_salary(a), t.first_filled(work.extract_work_type(a), remote)))
+        return bind(about, lambda a: fields(get(x, "jobTitle"), hints.dayforce_company(url), where, a, t.first_filled(work.extract_work_type(a), remote)))
 
     one = F.coalesce(F.try_element_at(mine, F.lit(1)), F.try_element_at(parsed, F.lit(1)))
     return F.when(F.size(jobs) > 0, bind(one, read)).otherwise(fields())

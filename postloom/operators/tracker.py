@@ -111,7 +111,7 @@ def append(tracker: DataFrame, jobs: DataFrame, mode: str = "skip", link: str =
     tracker.  A job whose link the tracker or an earlier job has is skipped or, with
     ``update``, its columns replace those of the link's last row, in place; other columns
     and other rows of the link stay.  Added rows follow the last one in order of seq.
-    Jobs and rows without a link are never matched.  One shuffle by link key.
+    Jobs and rows without a link are never matched.
     """
     common = [c for c in jobs.columns if c in tracker.columns and c not in ("row", "seq")]
     new = jobs.withColumn("key", link_key(F.col(f"`{link}`")))
@@ -120,7 +120,8 @@ def append(tracker: DataFrame, jobs: DataFrame, mode: str = "skip", link: str =
     new = new.groupBy("key").agg((F.max_by if mode == "update" else F.min_by)(body, F.col("seq")).alias("n"), F.min("seq").alias("seq"))
     old = tracker.withColumn("key", F.concat(F.lit("link:"), link_key(F.col(f"`{link}`"))))
     last = old.where("key <> 'link:'").groupBy("key").agg(F.max("row").alias("last_row"))
-    joined = old.join(last.join(new, "key"), "key", "left") if mode == "update" else old.withColumn("n", F.lit(None).cast(new.schema["n"].dataType)).withColumn("last_row", F.lit(None).cast("long"))
+    # rows meet what replaces them by their own number, so a link that many rows share, or none, is no large group
+    joined = old.join(last.join(new, "key").select("last_row", "n"), F.col("row") == F.col("last_row"), "left") if mode == "update" else old.withColumn("n", F.lit(None).cast(new.schema["n"].dataType)).withColumn("last_row", F.lit(None).cast("long"))
     hit = F.col("n").isNotNull() & (F.col("row") == F.col("last_row"))
     kept = joined.select(*(F.when(hit, F.col(f"n.`{c}`")).otherwise(F.col(f"`{c}`")).alias(c) if c in common else F.col(f"`{c}`") for c in tracker.columns), F.when(hit, "updated").otherwise("kept").alias("change"))
     added = new.join(last, "key", "left_anti")
