@@ -78,7 +78,8 @@ def simplyhired(title: Column, heading: Column, text: Column) -> Column:
     """"X - Employer | Place" of the page's title; a work type only behind a label or in that title."""
     label = work.told(text, rf"{t.phrases('location', 'work type', 'workplace')}\s*:\s*")
     kind = F.coalesce(F.try_element_at(F.filter(F.array(label, work.extract_work_type(title), F.lit("n/a")), lambda v: v != ""), F.lit(1)), F.lit(""))
-    names = lambda x: bind(_parts(x["before"], r"\s+-\s+"), lambda y: fields(t.first_filled(heading, y["before"]), y["behind"], t.first_filled(F.when(y["behind"] != "", x["behind"]).otherwise(""), places.locations_in(text)), None, kind))
+    named = F.array_join(F.slice(F.array_distinct(places.location_hits(text)), 1, 2), ", ")
+    names = lambda x: bind(_parts(x["before"], r"\s+-\s+"), lambda y: fields(t.first_filled(heading, y["before"]), y["behind"], t.first_filled(F.when(y["behind"] != "", x["behind"]).otherwise(""), named), None, kind))
     return bind(_parts(title, r"\s+\|\s+"), names)
 
 
