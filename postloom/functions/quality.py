@@ -183,11 +183,24 @@ def capture_issues(company: Column, title: Column, location: Column, evidence: C
     return F.filter(F.array(F.when(bare, "capture_low_confidence"), F.when(noisy, "captured_page_review")), lambda x: x.isNotNull())
 
 
-def client_status(error: Column, manual: Column, codes: Column, notes: Column, company: Column, title: Column, location: Column) -> Column:
-    """The status that a list shows: error, ready, or review where anything is missing or noted."""
+# What makes a listed row look copied from a page.
+KINDS_AS_PLACE = ["remote", "hybrid", "onsite", "on-site"]
+NO_COMPANY_NAMES = ["early career", "careers", "jobs", "talent", "recruiting"]
+COMPANY_MARKS = ["this position", "company reserves", "benefit programs", "base salary", "apply now", "select how often"]
+PLACE_MARKS = ["posted", "time type", "apply", "salary", "experience", "job segment", "view all jobs"]
+
+
+def suspicious(company: Column, location: Column, work_type: Column) -> Column:
+    """Work types as places, no real company, long texts and words of pages."""
+    who, where = F.lower(text(company)), F.lower(text(location))
+    return where.isin(KINDS_AS_PLACE) | who.isin(NO_COMPANY_NAMES) | (F.length(who) > 55) | _any(who, COMPANY_MARKS) | (F.length(F.coalesce(location, F.lit(""))) > 70) | _any(where, PLACE_MARKS) | (F.lower(text(work_type)) == "mix")
+
+
+def client_status(error: Column, manual: Column, codes: Column, notes: Column, company: Column, title: Column, location: Column, work_type: Column) -> Column:
+    """The status that a list shows: error, ready if whole and by hand, review where anything is noted, missing or looks wrong."""
     lacks = missing(company) | missing(title) | missing(location)
     noted = (F.coalesce(F.size(codes), F.lit(0)) > 0) | (F.coalesce(notes, F.lit("")) != "")
-    return first_of([(~missing(error), "error"), (F.coalesce(manual, F.lit(False)) & ~lacks, "ready"), (noted | lacks, "review")], "ready")
+    return first_of([(F.coalesce(error, F.lit("")) != "", "error"), (F.coalesce(manual, F.lit(False)) & ~lacks, "ready"), (noted | lacks | suspicious(company, location, work_type), "review")], "ready")
 
 
 def needs_manual_review(company: Column, title: Column, location: Column) -> Column:

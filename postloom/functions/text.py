@@ -254,3 +254,18 @@ def employer_of_lines(lines: Column, title: Column) -> Column:
     beside = pick(F.flatten(F.transform(F.slice(lines, 1, 40), lambda t, i: F.when((title != "") & (t == title), F.array(get(i + 2), F.when(i > 0, get(i)))).otherwise(F.array(F.lit(""))))))
     about = pick(F.array(clean_value(found(F.array_join(top, " "), r"(?i)\bAbout\s+([^|]{2,80})"))))
     return first_filled(behind, beside, about)
+
+
+def unique_short(values: Column, most: int = 40, longest: int = 220) -> Column:
+    """The first texts of a list that are not empty or too long, each once whatever its case, as it is first written."""
+    texts = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), norm), lambda v: (v != "") & (F.length(v) <= longest))
+    keyed = F.transform(texts, lambda v, i: F.struct(F.lower(v).alias("key"), v.alias("text"), i.alias("i")))
+    keys = lambda all_of: F.transform(all_of, lambda x: x["key"])
+    firsts = bind(keyed, lambda all_of: F.filter(all_of, lambda x: F.array_position(keys(all_of), x["key"]) == x["i"] + 1))
+    return F.slice(F.transform(firsts, lambda x: x["text"]), 1, most)
+
+
+def json_text(c: Column, key: str) -> Column:
+    """The string behind the first place of a key in a JSON text, however deep, decoded; '' if there is none."""
+    raw = found(F.coalesce(c, F.lit("")), rf'"{re.escape(key)}"\s*:\s*("(?:[^"\\]|\\.)*")')
+    return F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", "string"), F.lit(""))

@@ -8,7 +8,7 @@ from zipfile import ZipFile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.operators import attempts, snapshots
+from postloom.operators import attempts, edits, snapshots
 from postloom.sources import uploads
 from postloom.streaming import issues, queues
 
@@ -102,7 +102,29 @@ def issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("domain", "url_hash", F.array_join("issues", ",").alias("issues"), F.col("result.company").alias("company"), F.col("result.location").alias("location"), F.length("technical_error").alias("error_length"))
 
 
-QUERIES = {f.__name__: f for f in (queue_admission, batch_life, link_results, list_snapshots, upload_checks, issue_log)}
+#: Rows of a list, one of a customer: with errors, issues and missing fields, half of them edited.
+LISTED = """c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS company, CASE WHEN c_custkey % 5 = 0 THEN 'n/a' ELSE 'Clerk' END AS job_title, CASE WHEN c_custkey % 3 = 0 THEN 'Remote' WHEN c_custkey % 11 = 0 THEN NULL ELSE 'Boston, MA' END AS location,
+  CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE 'Hybrid' END AS work_type, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '$20' END AS salary, CASE WHEN c_custkey % 13 = 0 THEN 'timeout' ELSE '' END AS error, CASE WHEN c_custkey % 17 = 0 THEN 'check it' ELSE '' END AS review_notes, c_custkey % 6 = 1 AS manual, 'Low' AS confidence, 10 AS confidence_score,
+  '' AS found_on, '' AS application_portal, '' AS source, CASE WHEN c_custkey % 19 = 0 THEN '' ELSE concat('https://www.linkedin.com/jobs/view/', c_custkey) END AS job_link, c_custkey % 2 = 0 AS edited"""
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(f"SELECT {LISTED} FROM {{customer}}", customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return rows.withColumn("review_issues", F.expr("IF(review_notes = '', array(), array('low_confidence'))").cast("array<string>"))
+
+
+def edited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's row after the edited ones are approved."""
+    out = edits.approved(_listed(spark, sf_dir))
+    return out.select("id", "problem", "work_type", "salary", "error", F.size("review_issues").alias("n_issues"), "manual", "confidence", "confidence_score", "found_on", "application_portal")
+
+
+def rows_to_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that trying all again tries, with their status."""
+    return edits.to_retry(_listed(spark, sf_dir)).select("id", "list_status")
+
+
+QUERIES = {f.__name__: f for f in (queue_admission, batch_life, link_results, list_snapshots, upload_checks, issue_log, edited_rows, rows_to_retry)}
 
 ORACLE_SQL = {
     "queue_admission": """
@@ -143,4 +165,10 @@ ORACLE_SQL = {
     "issue_log": """SELECT CASE WHEN c_custkey % 9 = 0 THEN '' ELSE 'www.example' || (c_custkey % 5) || '.com' END AS domain, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE sha256('https://User@WWW.Example' || (c_custkey % 5) || '.com:81/p/' || c_custkey) END AS url_hash,
       concat_ws(',', CASE WHEN length(c_name) * (1 + c_custkey % 60) > 55 THEN 'company_looks_like_page_text' END, 'invalid_work_type', CASE WHEN c_custkey % 4 = 0 THEN 'missing_job_title' END, CASE WHEN c_custkey % 5 = 0 THEN 'missing_location' END, CASE WHEN c_custkey % 7 = 0 THEN 'scrape_error' END) AS issues,
       substr(repeat(c_name, 1 + c_custkey % 60), 1, 500) AS company, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Boston, MA' END AS location, CAST(CASE WHEN c_custkey % 7 = 0 THEN 2000 ELSE 0 END AS INTEGER) AS error_length FROM customer""",
+    "edited_rows": f"""WITH r AS (SELECT {LISTED} FROM customer), m AS (SELECT *, concat_ws(', ', CASE WHEN company = '' THEN 'company' END, CASE WHEN job_title = 'n/a' THEN 'job title' END, CASE WHEN location IS NULL THEN 'location' END) AS lacks FROM r), g AS (SELECT *, edited AND lacks = '' AS good FROM m)
+      SELECT id, CASE WHEN edited AND lacks <> '' THEN 'Add ' || lacks || ' first' END AS problem, CASE WHEN good AND work_type = 'none' THEN 'n/a' ELSE work_type END AS work_type, CASE WHEN good AND salary = '' THEN 'n/a' ELSE salary END AS salary, CASE WHEN good THEN '' ELSE error END AS error,
+        CAST(CASE WHEN good OR review_notes = '' THEN 0 ELSE 1 END AS INTEGER) AS n_issues, good OR manual AS manual, CASE WHEN good THEN 'Manual' ELSE 'Low' END AS confidence, CASE WHEN good THEN 100 ELSE 10 END AS confidence_score,
+        CASE WHEN NOT good THEN '' WHEN job_link = '' THEN 'N/A' ELSE 'LinkedIn' END AS found_on, CASE WHEN NOT good THEN '' WHEN job_link = '' THEN 'Company Website' ELSE 'LinkedIn' END AS application_portal FROM g""",
+    "rows_to_retry": f"""WITH r AS (SELECT {LISTED} FROM customer), s AS (SELECT id, job_link, CASE WHEN error <> '' THEN 'error' WHEN manual AND company <> '' AND job_title <> 'n/a' AND location IS NOT NULL THEN 'ready' WHEN review_notes <> '' OR company = '' OR job_title = 'n/a' OR location IS NULL OR location = 'Remote' THEN 'review' ELSE 'ready' END AS list_status FROM r)
+      SELECT id, list_status FROM s WHERE list_status <> 'ready' AND job_link <> ''""",
 }

@@ -6,7 +6,8 @@ from zipfile import ZipFile
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.operators import attempts, snapshots
+from postloom.functions import text
+from postloom.operators import attempts, edits, snapshots
 from postloom.sources import uploads
 from postloom.streaming import issues
 
@@ -134,3 +135,20 @@ def test_records_of_nulls(spark):
     rows = spark.createDataFrame([(None,) * 11], POSTING)
     row = issues.records(rows, full_links=True).first()
     assert (row["domain"], row["url_hash"], row["url"], row["technical_error"], row["timestamp"]) == ("", "", "", "", None) and "missing_company" in row["issues"]
+
+
+def test_rows_by_hand(spark):
+    form = "date_applied string, company string, job_title string, job_link string, location string, work_type string, salary string, found_on string, application_portal string"
+    rows = spark.createDataFrame([("d", " A ", "Clerk", "https://boards.greenhouse.io/a/1", "Bonn", None, "", "", ""), ("d", "A", "", "", None, "Hybrid", "$1", "LinkedIn", "Mine"), ("d", "A", "B", "ftp://x", "C", "", "", "", ""), ("d", "A", "B", None, "C", "", "", "LinkedIn", "")], form)
+    got = {r["job_link"] or r["problem"]: r for r in edits.entered(rows).collect()}
+    first = got["https://boards.greenhouse.io/a/1"]
+    assert (first["company"], first["work_type"], first["salary"], first["status"], first["confidence_score"], first["application_portal"], first["problem"]) == ("A", "n/a", "n/a", "Applied", 100, "Greenhouse", None)
+    assert got["ftp://x"]["problem"] == edits.NO_LINK and "Add job title, location first." in got
+    assert sorted(r["found_on"] for r in edits.entered(rows).where("problem is null").collect()) == ["LinkedIn", "N/A"]
+    assert edits.entered(rows.limit(0)).count() == 0
+
+
+def test_short_lists_and_json_texts(spark):
+    rows = spark.createDataFrame([(["A b", " a  B ", "", None, "x" * 300, "C", "c", "D"], '{"k": 1, "deep": {"k": "a\\"b", "j": "x"}}'), (None, None), ([], "no json")], "v array<string>, j string")
+    got = rows.select(text.unique_short(F.col("v"), 2), text.unique_short(F.col("v")), text.json_text(F.col("j"), "k"), text.json_text(F.col("j"), "z")).collect()
+    assert list(map(tuple, got)) == [(["A b", "C"], ["A b", "C", "D"], 'a"b', ""), ([], [], "", ""), ([], [], "", "")]
