@@ -181,7 +181,7 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool, step: int = 2
 
 
 def _verify(radius: int):
-    """Rows sorted by (probe, key, i, j): within each run compare, and keep a spanning forest's links."""
+    """Rows sorted by (bucket, i, j): within each run compare, and keep a spanning forest's links."""
 
     def links(run):
         fp, home = run["fp"].view(np.uint64), run["home"]
@@ -193,17 +193,17 @@ def _verify(radius: int):
     def run(batches):
         held = None
         for batch in batches:
-            cols = {k: batch.column(x).to_numpy() for x, k in enumerate(("probe", "key", "i", "j", "home", "fp"))}
+            cols = {k: batch.column(x).to_numpy() for x, k in enumerate(("bucket", "i", "j", "home", "fp"))}
             if held is not None:
                 cols = {k: np.concatenate((held[k], v)) for k, v in cols.items()}
-            if not len(cols["key"]):
+            if not len(cols["bucket"]):
                 continue
-            new = np.flatnonzero(np.any([np.diff(cols[k]) != 0 for k in ("probe", "key", "i", "j")], axis=0)) + 1
+            new = np.flatnonzero(np.any([np.diff(cols[k]) != 0 for k in ("bucket", "i", "j")], axis=0)) + 1
             last = int(new[-1]) if len(new) else 0
             held = {k: v[last:] for k, v in cols.items()}
             yield from _emit(cols, np.concatenate(([0], new)), links)
         if held is not None:
-            yield from _emit(held, np.array([0, len(held["key"])]), links)
+            yield from _emit(held, np.array([0, len(held["bucket"])]), links)
 
     def _emit(cols, edges, links):
         size, out = np.diff(edges), []
@@ -248,16 +248,17 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, block: int = BLOCK, dense
     """
     n, both = bit_statistics(fps)
     groups, thresholds = choose_partitions(n, both, radius)
-    rows = fps.select("fp").mapInArrow(_probe(_masks(groups, thresholds)), "probe int, key long, fp long")
-    sizes = rows.groupBy("probe", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, ["probe", "key"])
+    probes = fps.select("fp").mapInArrow(_probe(_masks(groups, thresholds)), "probe int, key long, fp long")
+    probes = probes.select(F.xxhash64("probe", "key").alias("bucket"), "fp")  # buckets that fall together only add comparisons
+    sizes = cut(probes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = cut(attach_groups(probes, sizes, "bucket", "n"))
     far = rows.where(F.col("n") > dense).select("fp").distinct() if radius % 2 == 0 else None
     few = rows.where(F.col("n") <= dense) if far is not None else rows
     blocks = F.ceil(F.col("n") / block).cast("int")
     few = few.withColumn("home", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
     few = few.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    few = few.select("probe", "key", F.least("home", "o").alias("i"), F.greatest("home", "o").alias("j"), "home", "fp")
-    few = few.repartition("probe", "key", "i", "j").sortWithinPartitions("probe", "key", "i", "j", "fp")
+    few = few.select("bucket", F.least("home", "o").alias("i"), F.greatest("home", "o").alias("j"), "home", "fp")
+    few = few.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "fp")
     found = few.mapInArrow(_verify(radius), "a long, b long")
     if far is not None:
         z = far.mapInArrow(_neighbours(radius), "z long, fp long")
