@@ -29,45 +29,55 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; edges as in ``token_counts.count_tokens``."""
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and judgement of every document; edges as in ``quality.score_quality``."""
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; edges as in ``simhash.near_duplicates``."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document, one source each; edges as in ``mixing.mix``."""
     docs = table(spark, sf_dir, "documents")
     out = mix(docs, F.array("source"), word_count("text"), cycling_targets())
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; edges as in ``html_extraction.extract``."""
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document's tokens in sequences; edges as in ``packing.pack``."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document; edges as in ``exact_dedup.exact_duplicates``."""
     return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, placed in its thread; edges as in ``chat.format_chats``."""
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every 50th vector among all; edges as in ``nearest.search``."""
     return search(table(spark, sf_dir, "embeddings"), every=50)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document; edges as in ``lm_scoring.lm_scores``."""
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
