@@ -320,10 +320,12 @@ def slow_backoff(texts, order, backoff, least):
     return [sum(weight((b"\xff" * (order - 1) + t)[i : i + order]) for i in range(len(t))) for t in texts]
 
 
-def test_lm_scores(docs, none):
-    got = sorted((str(r["doc_id"]), r["n_grams"], round(r["log_score"], 4)) for r in lm_scoring.lm_scores(docs, order=3).collect())
+@pytest.mark.parametrize("given", [{}, {"least": 2}])
+def test_lm_scores(docs, none, given):
+    """All n-grams count unless they must be seen twice."""
+    got = sorted((str(r["doc_id"]), r["n_grams"], round(r["log_score"], 4)) for r in lm_scoring.lm_scores(docs, order=3, **given).collect())
     texts = rows_of(docs)
-    want = slow_backoff([(t or "").encode() for _, t in texts], 3, 0.4, 2)
+    want = slow_backoff([(t or "").encode() for _, t in texts], 3, 0.4, given.get("least", 1))
     assert got == sorted((str(i), len((t or "").encode()), round(s, 4)) for (i, t), s in zip(texts, want, strict=True))
     assert lm_scoring.lm_scores(none).count() == 0
 
