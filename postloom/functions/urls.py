@@ -128,13 +128,16 @@ def _problem(u: Column) -> Column:
     octet = lambda k: F.regexp_extract(h, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).try_cast("int")
     a, b, c3 = octet(1), octet(2), octet(3)
     private = a.isNotNull() & (a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | ((a == 192) & (b == 0) & c3.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c3 == 100)) | ((a == 203) & (b == 0) & (c3 == 113)))
+    # a host that ends in a number is an address; what is no address of four octets stands for one or is none
+    octets = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    unclear = (six == "") & h.rlike(r"(?:^|[.])(?:\d+|0x[0-9a-f]*)$") & ~h.rlike(rf"^(?:{octets}[.]){{3}}{octets}$")
     return first_of(
         [
             (F.length(u) > 4096, "The job link is too long."),
             (bad_port | (authority(u).contains("[") & (six == "")), "Add a complete job link."),
             (~F.lower(F.regexp_extract(u, "^([A-Za-z]+)://", 1)).isin("http", "https") | (h == ""), "The link must start with http:// or https://."),
             (authority(u).contains("@"), "Links containing usernames or passwords are not supported."),
-            (h.isin(BLOCKED_HOSTS) | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal") | F.coalesce(private | hidden, F.lit(False)), "Local and private network links are not allowed."),
+            (h.isin(BLOCKED_HOSTS) | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal") | F.coalesce(private | hidden, F.lit(False)) | unclear, "Local and private network links are not allowed."),
         ],
         F.lit(None).cast("string"),
     )
