@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from postloom.functions import quality, text
 from postloom.operators import batches, captures, extraction, history, payloads, tracker
 from postloom.sources.pages import evidence
+from postloom.sources.tables import spread
 from postloom.streaming.limits import judged
 
 
@@ -38,7 +39,7 @@ FROM CUSTOMERS
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PAGES, customer=_table(spark, sf_dir, "customer"))
+    return spark.sql(PAGES, customer=spread(_table(spark, sf_dir, "customer")))
 
 
 def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
