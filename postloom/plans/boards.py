@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postloom.operators import extraction
 from postloom.sources.pages import evidence
+from postloom.sources.tables import spread, table
 
 #: What a page of each customer states; the same expressions run on both engines.
 STATED = """c_custkey AS page_id, c_custkey % 9 AS form, concat('Analyst ', c_custkey) AS title, concat('North ', upper(substr(c_mktsegment, 1, 1)), lower(substr(c_mktsegment, 2))) AS employer,
@@ -28,7 +29,7 @@ FORMS = {
 
 def board_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of pages whose marks lie below others, behind labels, in headings, titles or nested data, a page a customer."""
-    rows = spark.sql(f"SELECT {STATED} FROM {{customer}}", customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    rows = spark.sql(f"SELECT {STATED} FROM {{customer}}", customer=spread(table(spark, sf_dir, "customer")))
     url = "CASE form " + " ".join(f"WHEN {k} THEN concat('{u}', page_id)" for k, u in enumerate(FORMS)) + " END AS url"
     html = "CASE form " + " ".join(f"WHEN {k} THEN {h}" for k, h in enumerate(FORMS.values())) + " END AS html"
     out = extraction.extract_postings(evidence(rows.selectExpr("page_id", url, html)))
