@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postloom.functions import quality, text
 from postloom.operators import batches, captures, extraction, history, payloads, tracker
 from postloom.sources.pages import evidence
-from postloom.sources.tables import spread
+from postloom.sources.tables import dealt, spread
 from postloom.streaming.limits import judged
 
 
@@ -226,6 +226,7 @@ def merged_pastes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("item"), F.col("l_returnflag").alias("flag"))
+    l = dealt(l, "batch_id")
     last = F.when(F.col("flag") == "N", F.lit(None).cast("string")).when(F.col("flag") == "R", "failed").otherwise("completed")
     states = F.array(F.struct(F.lit(1).alias("ts"), F.lit("queued").alias("state")), F.struct((F.col("item") * 10).alias("ts"), F.lit("running").alias("state")), F.struct((F.col("item") * 10 + 5).alias("ts"), last.alias("state")))
     return l.select("batch_id", "item", F.explode(states).alias("x")).select("batch_id", "item", "x.*").where("state is not null")
