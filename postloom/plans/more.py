@@ -55,12 +55,12 @@ def public_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def driver_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fields that the driver's pages have: a title, and the employer by the host."""
-    return extraction.extract_postings(evidence(_table(spark, sf_dir, "pages"))).select("page_id", "company", "job_title", "error")
+    return extraction.extract_postings(evidence(spread(_table(spark, sf_dir, "pages")))).select("page_id", "company", "job_title", "error")
 
 
 def posting_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that only point to a canonical page take that page's title; pages with null links, and pages that share a link, are there too."""
-    rows = _table(spark, sf_dir, "supplier").selectExpr(
+    rows = spread(_table(spark, sf_dir, "supplier")).selectExpr(
         "s_suppkey AS page_id",
         "CASE WHEN s_suppkey % 7 = 3 THEN NULL ELSE concat('https://a.example.com/p/', s_suppkey - IF(s_suppkey % 10 = 5, 4, 0)) END AS url",
         "CASE WHEN s_suppkey % 2 = 0 THEN concat('<link rel=\"canonical\" href=\"https://a.example.com/p/', s_suppkey - 1, '?utm_source=x\"><h1>Moved ', s_suppkey, '</h1>') ELSE concat('<h1>Job ', s_suppkey, '</h1>') END AS html",
@@ -78,7 +78,7 @@ def merged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payload(spark: SparkSession, sf_dir: str, url: str, payload: str) -> DataFrame:
-    return _table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(url).alias("url"), F.expr(payload).alias("payload"))
+    return spread(_table(spark, sf_dir, "supplier")).select("s_suppkey", F.expr(url).alias("url"), F.expr(payload).alias("payload"))
 
 
 def greenhouse_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = """SELECT s_suppkey, concat('https://www.dice.com/job-detail/', s_suppkey) AS url, CASE WHEN s_suppkey % 2 = 0 THEN concat('Analyst ', s_suppkey, ' at ', 'Acme Labs | Dice.com') ELSE '' END AS page_title,
       CASE WHEN s_suppkey % 2 = 1 THEN concat('Sign in\nBuyer ', s_suppkey, '\nCompany\nGlobex\nBoston, MA\nPay: $30 - $40 per hour\nsign in') ELSE 'Cookie policy' END AS page_text, '' AS html,
       named_struct('headings', cast(array() AS array<string>), 'workTypeTags', CASE WHEN s_suppkey % 2 = 0 THEN array('Hybrid') ELSE array() END, 'labelPairs', CASE WHEN s_suppkey % 2 = 0 THEN array(named_struct('label', 'Location', 'value', 'Location\nAustin, TX'), named_struct('label', 'Base pay', 'value', '$50,000 - $60,000 per year')) ELSE cast(array() AS array<struct<label: string, value: string>>) END, 'headerBlocks', cast(array() AS array<string>), 'keywordLines', cast(array() AS array<string>)) AS candidates FROM {supplier}"""
-    rows = evidence(spark.sql(s, supplier=_table(spark, sf_dir, "supplier")), keep=("s_suppkey", "url", "page_title", "page_text", "candidates"))
+    rows = evidence(spark.sql(s, supplier=spread(_table(spark, sf_dir, "supplier"))), keep=("s_suppkey", "url", "page_title", "page_text", "candidates"))
     out = captures.extract_captures(rows, ("s_suppkey", "url"))
     from_ = lambda f: F.coalesce(F.try_element_at("evidence", F.lit(f)), F.lit(""))
     return out.select("s_suppkey", "company", "job_title", "location", "work_type", "salary", from_("company").alias("company_from"), from_("location").alias("location_from"), F.array_join("review_issues", ",").alias("issues"), "confidence_score", F.array_join(F.try_element_at("field_options", F.lit("location")), ";").alias("places"))
@@ -114,7 +114,7 @@ def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of texts, cleaned and each once."""
-    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", F.expr("concat(' ', s_name, '\nApply now\n', lower(s_name), '\n\nLocation: Boston\nCookie settings\nRow ', s_suppkey % 5)").alias("t"))
+    rows = spread(_table(spark, sf_dir, "supplier")).select("s_suppkey", F.expr("concat(' ', s_name, '\nApply now\n', lower(s_name), '\n\nLocation: Boston\nCookie settings\nRow ', s_suppkey % 5)").alias("t"))
     return rows.select("s_suppkey", F.array_join(text.lines_of(F.col("t")), "|").alias("lines"))
 
 
