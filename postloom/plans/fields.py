@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions import hints, pay, places, text, urls, work
+from postloom.sources import tables
 
 
 def _of(spark: SparkSession, sf_dir: str, table: str, columns: str) -> DataFrame:
-    return spark.sql(f"SELECT {columns} FROM {{t}}", t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.sql(f"SELECT {columns} FROM {{t}}", t=tables.spread(tables.table(spark, sf_dir, table)))
 
 
 def _case(by: str, *forms: str) -> str:
