@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postloom.operators import attempts, edits, snapshots
 from postloom.sources import uploads
+from postloom.sources.tables import spread, table
 from postloom.streaming import issues, queues
 
 
@@ -94,7 +95,7 @@ def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the log holds of each customer's posting: hashed links, issues, bounded values and errors."""
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+    rows = spread(table(spark, sf_dir, "customer")).selectExpr(
         "IF(c_custkey % 9 = 0, NULL, concat(' https://User@WWW.Example', c_custkey % 5, '.com:81/p/', c_custkey)) AS url", "cast('2024-01-01' AS timestamp) AS ts", "repeat(c_name, 1 + c_custkey % 60) AS company", "IF(c_custkey % 4 = 0, '', 'Clerk') AS job_title",
         "IF(c_custkey % 5 = 0, NULL, 'Boston, MA') AS location", "'Mix' AS work_type", "'' AS salary", "'N/A' AS found_on", "'' AS application_portal", "'' AS source", "IF(c_custkey % 7 = 0, repeat('fail ', 500), '') AS error",
     )
@@ -109,7 +110,7 @@ LISTED = """c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(f"SELECT {LISTED} FROM {{customer}}", customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    rows = spark.sql(f"SELECT {LISTED} FROM {{customer}}", customer=spread(table(spark, sf_dir, "customer")))
     return rows.withColumn("review_issues", F.expr("IF(review_notes = '', array(), array('low_confidence'))").cast("array<string>"))
 
 
