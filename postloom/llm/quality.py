@@ -35,7 +35,8 @@ def kneser_ney(train: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFr
     ``train`` has distinct n-grams of the order and their counts (gram, c).  Lower
     orders count distinct left extensions.  Counts, contexts and probabilities are
     tables hashed by n-gram and joined order by order; lower-order probabilities
-    are interpolated, down to the uniform one of 256 bytes, so none is zero.
+    are interpolated, down to the uniform one of 256 bytes, so none is zero.  The
+    probabilities of each lower order are written before the next order is planned.
     """
     levels = {order: train.where("c > 0").select("gram", "c")}
     for k in range(order - 1, 0, -1):
@@ -63,7 +64,8 @@ def kneser_ney(train: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFr
             lower = F.col("p_low")
         p = F.when(F.col("total").isNull(), lower).otherwise((F.coalesce("kept", F.lit(0.0)) + F.col("freed") * lower) / F.col("total"))
         got = got.select("gram", p.alias("p"))
-        below, k_below = got.select(F.col("gram").alias("low"), F.col("p").alias("p_low")), k
+        if k < order:  # a plan of one order's joins at a time: the driver holds a plan anew for each of its stages
+            below, k_below = cut(got.select(F.col("gram").alias("low"), F.col("p").alias("p_low"))), k
     return got.select("gram", F.log("p").alias("logp"))
 
 
