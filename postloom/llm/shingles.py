@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose links, exact sets verify them."""
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash fingerprints propose links, exact sets verify them."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from postloom.llm.common import attach_groups, cut, field, map_texts
 from postloom.llm.graph import components
+from postloom.llm.set_simhash import apart, candidate_links, differing, fingerprint, radius_of, width_for
 
 #: Pairs of one document that are verified, and members of a bucket that are paired, in one task.
 BLOCK = 2048
@@ -33,36 +34,23 @@ def shingles(text: bytes | None, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(flat[i:j], seed) for i, j in bounds), np.uint64, n))
 
 
-def band_keys(grams: np.ndarray, bands: int, rows: int, seed: int) -> list[int]:
-    """One number for the ``rows`` least hashes of each band; without shingles the bands agree."""
-    from xxhash import xxh64_intdigest
-
-    rng = np.random.default_rng(seed)
-    times = rng.integers(0, 1 << 64, (bands * rows, 1), np.uint64) | np.uint64(1)
-    plus = rng.integers(0, 1 << 64, (bands * rows, 1), np.uint64)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max)
-    for at in range(0, len(grams), 1024):
-        least = np.minimum(least, (grams[None, at : at + 1024] * times + plus).min(axis=1))
-    return [xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(bands, rows))]
-
-
 def digest(grams: np.ndarray) -> int:
     from xxhash import xxh3_64_intdigest
 
     return xxh3_64_intdigest(grams.tobytes())
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, words: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(doc_id, h, node, n, keys): the text's XXH64, the digest and size of its set of shingles, its band keys."""
-    schema = T.StructType([field(docs, doc_id, "doc_id"), *T._parse_datatype_string("h long, node long, n int, keys array<long>").fields])
+def signatures(docs: DataFrame, doc_id: str, text: str, words: int, width: int, seed: int) -> DataFrame:
+    """(doc_id, h, node, n, fp): the text's XXH64, the digest and size of its set of shingles, the set's SimHash of ``width`` 64-bit numbers."""
+    schema = T.StructType([field(docs, doc_id, "doc_id"), *T._parse_datatype_string("h long, node long, n int, fp array<long>").fields])
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t, words, seed) for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
             node = np.fromiter(map(digest, sets), np.uint64, len(sets)).view(np.int64)
-            keys = np.array([k for x in sets for k in band_keys(x, bands, rows, seed)], np.uint64).view(np.int64)
-            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(keys))], schema.names)
+            fps = np.array([fingerprint(x, width, seed) for x in sets], np.uint64).ravel().view(np.int64)
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * width), pa.array(fps))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), fps], schema.names)
 
     return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")), run, schema)
 
@@ -133,15 +121,18 @@ def _possible(n, m, u, v, least: float, lesser, i=None, j=None):
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, node, n, u, label) of the buckets that still hold more than one component, with the bucket's size."""
+    """Members (key, node, n, u, f, g, label) of the buckets that still hold more than one component, with the bucket's size."""
     labels = labels.withColumnRenamed("node", "of")
-    labelled = cut(members.join(labels, F.col("node") == F.col("of"), "left").select("key", "node", "n", "u", F.coalesce("label", "node").alias("label")))
+    labelled = cut(members.join(labels, F.col("node") == F.col("of"), "left").select("key", "node", "n", "u", "f", "g", F.coalesce("label", "node").alias("label")))
     groups = cut(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"))
-    return cut(attach_groups(labelled, groups, "key", "size").select("key", "node", "n", "u", "label", "size"))
+    return cut(attach_groups(labelled, groups, "key", "size").select("key", "node", "n", "u", "f", "g", "label", "size"))
 
 
 def shingle_components(members: DataFrame, sets: DataFrame, least: float, block: int = BLOCK, rounds=ROUNDS) -> DataFrame:
-    """(node, label): components of the verified links between members (key, node, n, size) of equal keys, of buckets of that size, with that similarity.
+    """(node, label): components of the verified links between members (key, node, n, f, g, size) of equal keys, of buckets of that size, with that similarity.
+
+    f and g are two words of a member's SimHash; pairs that differ there in more bits
+    than pairs of the similarity do are never compared.
 
     A large group of near copies has far more pairs than members.  So all members
     meet a few of their bucket first, the one with the least share of shingles of its
@@ -154,15 +145,17 @@ def shingle_components(members: DataFrame, sets: DataFrame, least: float, block:
     large = cut(members.where(F.col("size") > most).select("node").distinct())
     own = cut(own_shingles(sets, large)).withColumnRenamed("node", "of")
     u = F.when(F.col("size") > most, F.coalesce("u", F.lit(0))).otherwise(0)
-    members = cut(members.join(own, F.col("node") == F.col("of"), "left").select("key", "node", "n", u.alias("u"), "size"))
+    members = cut(members.join(own, F.col("node") == F.col("of"), "left").select("key", "node", "n", u.alias("u"), "f", "g", "size"))
+    radius = radius_of(differing(least))
     links, labels, pivots, close = None, None, None, _possible(F.col("n"), F.col("m"), F.col("u"), F.col("v"), least, F.least)
     left = members.withColumn("label", F.col("node"))
     for r, heads in enumerate(rounds):
         order = lambda k: F.col("u") / F.greatest("n", F.lit(1)) if r + k == 0 else F.lit(0.0)
-        picks = [F.min(F.struct(order(k).alias("own"), F.xxhash64(F.lit(r * 100 + k), "node").alias("o"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("label").alias("other"))) for k in range(heads)]
+        picks = [F.min(F.struct(order(k).alias("own"), F.xxhash64(F.lit(r * 100 + k), "node").alias("o"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), "f", "g", F.col("label").alias("other"))) for k in range(heads)]
         chosen = cut(left.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("heads"), F.count("*").alias("count")))
-        met = attach_groups(left.select("key", "node", "n", "u", "label"), chosen, "key", "count").withColumn("x", F.explode("heads"))
-        met = met.select("x.a", F.col("node").alias("b"), "n", "u", "x.m", "x.v", "label", "x.other").where("label <> other").where(close).select("a", "b").distinct()
+        met = attach_groups(left.select("key", "node", "n", "u", "f", "g", "label"), chosen, "key", "count").withColumn("x", F.explode("heads"))
+        near = F.bit_count(F.col("f").bitwiseXOR(F.col("x.f"))) + F.bit_count(F.col("g").bitwiseXOR(F.col("x.g"))) <= radius
+        met = met.where(near).select("x.a", F.col("node").alias("b"), "n", "u", "x.m", "x.v", "label", "x.other").where("label <> other").where(close).select("a", "b").distinct()
         checked = cut(verified(cut(met), sets, least, block))
         if pivots is None:
             pivots, shared = chosen.select("key", F.col("heads")[0]["a"].alias("pivot"), "count"), checked.select(F.col("a").alias("pivot"), F.col("b").alias("of"), "both")
@@ -189,11 +182,13 @@ def shingle_components(members: DataFrame, sets: DataFrame, least: float, block:
     def emit(rows, edges):
         node, n, u, label, home, i, j = (rows.column(c).to_numpy() for c in ("node", "n", "u", "label", "home", "i", "j"))
         inside = rows.column("inside").to_numpy(zero_copy_only=False).astype(float)
+        f, g = (rows.column(c).to_numpy().view(np.uint64) for c in ("f", "g"))
         for s, e in zip(np.concatenate(([0], edges[:-1])).tolist(), edges.tolist(), strict=True) if len(edges) else ():
             first, second = s + np.flatnonzero(home[s:e] == i[s]), s + np.flatnonzero(home[s:e] == j[s])
             for x in first.tolist():
                 y = second[(label[second] != label[x]) & _possible(n[second], n[x], u[second], u[x], least, np.minimum, inside[second], inside[x])]
                 y = y[node[y] > node[x]] if i[s] == j[s] else y
+                y = y[apart(f[y], g[y], f[x], g[x]) <= radius]
                 if len(y):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[y], node[x])), pa.array(np.maximum(node[y], node[x]))], ["a", "b"])
 
@@ -204,7 +199,7 @@ def shingle_components(members: DataFrame, sets: DataFrame, least: float, block:
         left = placed.join(shared, (F.col("p") == F.col("pivot")) & (F.col("node") == F.col("of")), "left").withColumn("inside", F.when(F.col("p") == F.col("node"), F.col("n")).otherwise(F.col("both")))
     blocks = F.ceil(F.col("size") / block).cast("int")
     rows = left.withColumn("home", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("home", "o").alias("i"), F.greatest("home", "o").alias("j"), "home", "node", "n", "u", "inside", "label")
+    rows = rows.select("key", F.least("home", "o").alias("i"), F.greatest("home", "o").alias("j"), "home", "node", "n", "u", "f", "g", "inside", "label")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = cut(rows.mapInArrow(run, "a long, b long").distinct())
     more = cut(verified(pairs, sets, least, block).where("linked").select("a", "b"))
@@ -213,21 +208,24 @@ def shingle_components(members: DataFrame, sets: DataFrame, least: float, block:
     return cut(components(more if links is None else links.union(more)))
 
 
-def shingle_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bands: int = 20, rows: int = 5, seed: int = 42, block: int = BLOCK, rounds=ROUNDS) -> DataFrame:
+def shingle_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, miss: float = 4e-4, seed: int = 42, block: int = BLOCK, rounds=ROUNDS) -> DataFrame:
     """Near-duplicate groups: doc_id, component_id (the smallest doc_id reachable, itself included).
 
     Two texts are linked if the Jaccard similarity of their sets of shingles is at
-    least ``least``, verified on the sets.  A pair of similarity s shares a bucket with
-    probability 1 - (1 - s^rows)^bands: 0.9996 at 0.8.  Null and empty texts are alike.
-    Repeated rows each give a row.  Other columns are not read.
+    least ``least``, verified on the sets.  Only texts of one component of the links that
+    their SimHash proposes are verified; a pair of that similarity shares no bucket with
+    a probability of about ``miss``.  Null and empty texts are alike.  Repeated rows each
+    give a row.  Other columns are not read.
     """
-    marked = cut(signatures(docs, doc_id, text, words, bands, rows, seed))
-    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    spread = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = cut(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    members = cut(attach_groups(spread, shared, "key", "size").select("key", "node", "n", "size"))
-    asked = cut(nodes.join(members.select("node").distinct(), "node", "left_semi").select("h"))
-    sets = cut(shingle_sets(docs, asked, text, words, seed))
+    p = differing(least)
+    width, parts = width_for(docs.count(), p, miss)
+    marked = cut(signatures(docs, doc_id, text, words, width, seed))
+    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    proposed = cut(components(cut(candidate_links(nodes, width, parts, p, miss, block))).select(F.col("node").alias("of"), F.col("label").alias("key")))
+    sizes = cut(proposed.groupBy("key").agg(F.count("*").alias("size")))
+    spread = cut(nodes.join(proposed, F.col("node") == F.col("of")).select("key", "node", "n", "h", "fp"))
+    members = cut(attach_groups(spread, sizes, "key", "size").select("key", "node", "n", F.col("fp")[0].alias("f"), F.col("fp")[1].alias("g"), "size"))
+    sets = cut(shingle_sets(docs, spread.select("h"), text, words, seed))
     labels = shingle_components(members, sets, least, block, rounds).withColumnRenamed("node", "of")
     labelled = nodes.join(labels, F.col("node") == F.col("of"), "left").select("node", "least", "size", F.coalesce("label", "node").alias("label"))
     labelled = cut(labelled)

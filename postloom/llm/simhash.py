@@ -140,7 +140,7 @@ def choose_partitions(n: int, both: np.ndarray, radius: int, parts: tuple[int, .
     return found[1], found[2]
 
 
-def _masks(groups: list[list[int]], thresholds: list[int]) -> np.ndarray:
+def probe_masks(groups: list[list[int]], thresholds: list[int]) -> np.ndarray:
     """The visible bits of every probe: a partition's bits without each choice of t of them."""
     return np.array([sum(1 << b for b in g if b not in hidden) for g, t in zip(groups, thresholds, strict=True) if t >= 0 for hidden in combinations(g, t)], np.uint64)
 
@@ -248,7 +248,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, block: int = BLOCK, dense
     """
     n, both = bit_statistics(fps)
     groups, thresholds = choose_partitions(n, both, radius)
-    probes = fps.select("fp").mapInArrow(_probe(_masks(groups, thresholds)), "probe int, key long, fp long")
+    probes = fps.select("fp").mapInArrow(_probe(probe_masks(groups, thresholds)), "probe int, key long, fp long")
     probes = probes.select(F.xxhash64("probe", "key").alias("bucket"), "fp")  # buckets that fall together only add comparisons
     sizes = cut(probes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     rows = cut(attach_groups(probes, sizes, "bucket", "n"))
