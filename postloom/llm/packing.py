@@ -62,6 +62,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc
             row, piece, start, length, crc, parts, nth = zip(*out, strict=True) if out else ((),) * 7
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(keep))), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(parts, pa.int32()), pa.array(nth, pa.int64())], schema.names)
+        words_of.forget()
 
     return map_texts(docs.select(*keep, text), run, schema)
 

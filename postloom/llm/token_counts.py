@@ -38,5 +38,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
                     tokens[row] += sum(map(size, w))
             sizes = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)], names)
+        words_of.forget()
 
     return map_texts(docs.select(*keep, text), run, schema)
