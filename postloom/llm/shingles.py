@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postloom.llm.common import attach_groups, cut, field, map_texts
+from postloom.llm.common import attach_cut, cut, field, map_texts
 from postloom.llm.graph import components
 from postloom.llm.set_simhash import apart, candidate_links, differing, fingerprint, radius_of, width_for
 
@@ -69,7 +69,10 @@ def shingle_sets(docs: DataFrame, asked: DataFrame, text: str, words: int, seed:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, both, linked): how many shingles each pair (a, b) shares, and whether its Jaccard similarity is at least that; a's set meets at most ``block`` or so others in a task."""
+    """(a, b, both, linked): how many shingles each pair (a, b, size) shares, and whether its Jaccard similarity is at least that.
+
+    ``size`` is how many pairs a has, at most; its set meets ``block`` or so others in a task.
+    """
 
     def run(batches):
         head = None
@@ -88,7 +91,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float, block: int = BLOCK
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], t) for k, t in enumerate(kinds)], ["a", "b", "both", "linked"])
 
     parts = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / block)).cast("int")
-    salted = attach_groups(pairs, cut(pairs.groupBy("a").agg(F.count("*").alias("size"))), "a", "size").select("a", "b", parts.alias("part"))
+    salted = pairs.select("a", "b", parts.alias("part"))
     heads = salted.select("a", "part").distinct().join(sets, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("long").alias("b"), "grams")
     others = salted.join(sets, F.col("b") == F.col("node")).select("a", "part", "b", "grams")
     rows = heads.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -120,12 +123,12 @@ def _possible(n, m, u, v, least: float, lesser, i=None, j=None):
     return shared >= least * (n + m - shared)
 
 
-def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, node, n, u, f, g, label) of the buckets that still hold more than one component, with the bucket's size."""
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Members (key, node, n, u, f, g, label) of the buckets that still hold more than one component, with the bucket's size; None if no bucket does."""
     labels = labels.withColumnRenamed("node", "of")
     labelled = cut(members.join(labels, F.col("node") == F.col("of"), "left").select("key", "node", "n", "u", "f", "g", F.coalesce("label", "node").alias("label")))
     groups = cut(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"))
-    return cut(attach_groups(labelled, groups, "key", "size").select("key", "node", "n", "u", "f", "g", "label", "size"))
+    return None if groups.isEmpty() else attach_cut(labelled, groups, "key", "size").select("key", "node", "n", "u", "f", "g", "label", "size")
 
 
 def shingle_components(members: DataFrame, sets: DataFrame, least: float, block: int = BLOCK, rounds=ROUNDS) -> DataFrame:
@@ -142,8 +145,7 @@ def shingle_components(members: DataFrame, sets: DataFrame, least: float, block:
     head, leave too few to share are never compared.
     """
     most = max(rounds, default=0) + 1
-    large = cut(members.where(F.col("size") > most).select("node").distinct())
-    own = cut(own_shingles(sets, large)).withColumnRenamed("node", "of")
+    own = own_shingles(sets, members.where(F.col("size") > most).select("node")).withColumnRenamed("node", "of")
     u = F.when(F.col("size") > most, F.coalesce("u", F.lit(0))).otherwise(0)
     members = cut(members.join(own, F.col("node") == F.col("of"), "left").select("key", "node", "n", u.alias("u"), "f", "g", "size"))
     radius = radius_of(differing(least))
@@ -153,9 +155,9 @@ def shingle_components(members: DataFrame, sets: DataFrame, least: float, block:
         order = lambda k: F.col("u") / F.greatest("n", F.lit(1)) if r + k == 0 else F.lit(0.0)
         picks = [F.min(F.struct(order(k).alias("own"), F.xxhash64(F.lit(r * 100 + k), "node").alias("o"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), "f", "g", F.col("label").alias("other"))) for k in range(heads)]
         chosen = cut(left.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("heads"), F.count("*").alias("count")))
-        met = attach_groups(left.select("key", "node", "n", "u", "f", "g", "label"), chosen, "key", "count").withColumn("x", F.explode("heads"))
+        met = attach_cut(left.select("key", "node", "n", "u", "f", "g", "label"), chosen, "key", "count").withColumn("x", F.explode("heads"))
         near = F.bit_count(F.col("f").bitwiseXOR(F.col("x.f"))) + F.bit_count(F.col("g").bitwiseXOR(F.col("x.g"))) <= radius
-        met = met.where(near).select("x.a", F.col("node").alias("b"), "n", "u", "x.m", "x.v", "label", "x.other").where("label <> other").where(close).select("a", "b").distinct()
+        met = met.where(near).select("x.a", F.col("node").alias("b"), "n", "u", "x.m", "x.v", "label", "x.other", F.col("count").alias("size")).where("label <> other").where(close).select("a", "b", "size")  # a node has one key, so pairs are distinct
         checked = cut(verified(cut(met), sets, least, block))
         if pivots is None:
             pivots, shared = chosen.select("key", F.col("heads")[0]["a"].alias("pivot"), "count"), checked.select(F.col("a").alias("pivot"), F.col("b").alias("of"), "both")
@@ -163,7 +165,7 @@ def shingle_components(members: DataFrame, sets: DataFrame, least: float, block:
         links = new if links is None else cut(links.union(new))
         labels = cut(components(links))
         left = _apart(members.drop("size"), labels)
-        if left.isEmpty():
+        if left is None:
             return labels
 
     def run(batches):
@@ -195,17 +197,20 @@ def shingle_components(members: DataFrame, sets: DataFrame, least: float, block:
     if pivots is None:
         left = left.withColumn("inside", F.lit(None).cast("int"))
     else:  # what each member shares with its bucket's first head
-        placed = attach_groups(left, cut(pivots), "key", "count").drop("count").withColumnRenamed("pivot", "p")
+        placed = attach_cut(left, pivots, "key", "count").drop("count").withColumnRenamed("pivot", "p")
         left = placed.join(shared, (F.col("p") == F.col("pivot")) & (F.col("node") == F.col("of")), "left").withColumn("inside", F.when(F.col("p") == F.col("node"), F.col("n")).otherwise(F.col("both")))
     blocks = F.ceil(F.col("size") / block).cast("int")
     rows = left.withColumn("home", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("home", "o").alias("i"), F.greatest("home", "o").alias("j"), "home", "node", "n", "u", "f", "g", "inside", "label")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = cut(rows.mapInArrow(run, "a long, b long").distinct())
-    more = cut(verified(pairs, sets, least, block).where("linked").select("a", "b"))
+    if labels is not None and pairs.isEmpty():
+        return labels
+    sizes = cut(pairs.groupBy("a").agg(F.count("*").alias("size")))
+    more = cut(verified(cut(attach_cut(pairs, sizes, "a", "size")), sets, least, block).where("linked").select("a", "b"))
     if labels is not None and more.isEmpty():
         return labels
-    return cut(components(more if links is None else links.union(more)))
+    return cut(components(more if labels is None else labels.select(F.col("label").alias("a"), F.col("node").alias("b")).union(more)))
 
 
 def shingle_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, miss: float = 4e-4, seed: int = 42, block: int = BLOCK, rounds=ROUNDS) -> DataFrame:
@@ -223,12 +228,11 @@ def shingle_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("fp").alias("fp")))
     proposed = cut(components(cut(candidate_links(nodes, width, parts, p, miss, block))).select(F.col("node").alias("of"), F.col("label").alias("key")))
     sizes = cut(proposed.groupBy("key").agg(F.count("*").alias("size")))
-    spread = cut(nodes.join(proposed, F.col("node") == F.col("of")).select("key", "node", "n", "h", "fp"))
-    members = cut(attach_groups(spread, sizes, "key", "size").select("key", "node", "n", F.col("fp")[0].alias("f"), F.col("fp")[1].alias("g"), "size"))
-    sets = cut(shingle_sets(docs, spread.select("h"), text, words, seed))
-    labels = shingle_components(members, sets, least, block, rounds).withColumnRenamed("node", "of")
-    labelled = nodes.join(labels, F.col("node") == F.col("of"), "left").select("node", "least", "size", F.coalesce("label", "node").alias("label"))
-    labelled = cut(labelled)
+    placed = attach_cut(proposed, sizes, "key", "size")
+    members = cut(nodes.drop("size").join(placed, F.col("node") == F.col("of")).select("key", "node", "n", "h", F.col("fp")[0].alias("f"), F.col("fp")[1].alias("g"), "size"))
+    sets = cut(shingle_sets(docs, members.select("h"), text, words, seed))
+    labels = shingle_components(members.drop("h"), sets, least, block, rounds).withColumnRenamed("node", "of")
+    labelled = cut(nodes.join(labels, F.col("node") == F.col("of"), "left").select("node", "least", "size", F.coalesce("label", "node").alias("label")))
     smallest = cut(labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
-    groups = cut(attach_groups(labelled, smallest, "label", "members").select("node", "size", "component_id"))
-    return attach_groups(marked.select("doc_id", "node"), groups, "node", "size").select("doc_id", "component_id")
+    groups = cut(attach_cut(labelled, smallest, "label", "members").select("node", "size", "component_id"))
+    return attach_cut(marked.select("doc_id", "node"), groups, "node", "size").select("doc_id", "component_id")
